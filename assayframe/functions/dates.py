@@ -27,7 +27,7 @@ LATEST = "2262-04-11 23:47:16.854775"
 
 _ISO = r"^\d{4}-\d{2}-\d{2}$"
 _SEP = r"(?: ?[/.] ?|-| )"
-_M, _D2, _Y4, _Y2 = r"(0?[1-9]|1[0-2])", r"(\d{1,2})", r"(\d{4})", r"(\d{1,2})"
+_M, _D2, _Y4 = r"(0?[1-9]|1[0-2])", r"(\d{1,2})", r"(\d{4})"
 _DAY_OVER_12 = r"(1[3-9]|2\d|3[01])"
 _YEAR_OVER_31 = r"(3[2-9]|[4-9]\d)"
 _MONTH = (
@@ -37,30 +37,25 @@ _MONTH = (
 _TH = r"(?:st|nd|rd|th)?"
 _WEEKDAY = r"^(?:mon|tue|wed|thu|fri|sat|sun)(?:day|s|sday|nesday|rs|rsday|urday)?[,.]? +"
 
-# Shape -> year-month-day. A short year, a month name or a quarter is resolved afterwards.
+# Shape -> year-month-day. A short year, a month name or a quarter is resolved afterwards. The
+# mark in front keeps what one shape has rewritten from every later one.
 _SHAPES = (
-    (rf"^{_M}{_SEP}{_D2}{_SEP}{_Y4}$", "$3-$1-$2"),
-    (rf"^{_DAY_OVER_12}{_SEP}{_M}{_SEP}{_Y4}$", "$3-$2-$1"),
-    (rf"^{_Y4}{_SEP}{_D2}{_SEP}{_D2}$", "$1-$2-$3"),
-    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
-    (rf"^{_M}{_SEP}{_D2}{_SEP}{_Y2}$", "$3-$1-$2"),
-    (rf"^{_DAY_OVER_12}{_SEP}{_M}{_SEP}{_Y2}$", "$3-$2-$1"),
-    (rf"^{_YEAR_OVER_31}{_SEP}{_M}{_SEP}{_D2}$", "$1-$2-$3"),
-    (r"^(0[1-9]|1[0-2])(\d{2})(\d{2})$", "$3-$1-$2"),
-    (r"^(1[3-9]|2\d|3[01])(0[1-9]|1[0-2])(\d{2})$", "$3-$2-$1"),
-    (r"^(3[2-9]|[4-9]\d)(0[1-9]|1[0-2])(\d{2})$", "$1-$2-$3"),
-    (rf"^{_D2}{_TH}[-/ .,]*{_MONTH}[-/ .,]*(\d{{4}}|\d{{2}})$", "$3-$2-$1"),
-    (rf"^{_MONTH}[-/ ]*{_D2}{_TH}(?:,? +|,|[-/])(\d{{4}}|\d{{2}})$", "$3-$1-$2"),
-    (rf"^{_Y4}[-/ .]+{_MONTH}[-/ .]+{_D2}$", "$1-$2-$3"),
-    (rf"^{_MONTH}[-/ .]*{_Y4}$", "$2-$1-1"),
-    (rf"^{_Y4}[-/ ]{_MONTH}$", "$1-$2-1"),
-    (r"^(\d{4})$", "$1-1-1"),
-    (rf"^{_Y4}[-/.]{_D2}$", "$1-$2-1"),
-    (rf"^{_D2}[-/]{_Y4}$", "$2-$1-1"),
-    (r"^(\d{4})-?q([1-4])$", "$1-q$2-1"),
-    (r"^([1-4])q-?(\d{4})$", "$2-q$1-1"),
-    (r"^(\d{2})q([1-4])$", "20$1-q$2-1"),
-    (r"^([1-4])q(\d{2})$", "20$2-q$1-1"),
+    (r"^(\d{2})(\d{2})(\d{2})$", "$1-$2-$3"),
+    (rf"^{_M}{_SEP}{_D2}{_SEP}(\d{{4}}|\d{{1,2}})$", "=$3-$1-$2"),
+    (rf"^{_DAY_OVER_12}{_SEP}{_M}{_SEP}(\d{{4}}|\d{{1,2}})$", "=$3-$2-$1"),
+    (rf"^{_YEAR_OVER_31}{_SEP}{_M}{_SEP}{_D2}$", "=$1-$2-$3"),
+    (rf"^{_Y4}{_SEP}{_D2}{_SEP}{_D2}$", "=$1-$2-$3"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "=$1-$2-$3"),
+    (rf"^{_D2}{_TH}[-/ .,]*{_MONTH}[-/ .,]*(\d{{4}}|\d{{2}})$", "=$3-$2-$1"),
+    (rf"^{_MONTH}[-/ ]*{_D2}{_TH}(?:,? +|,|[-/])(\d{{4}}|\d{{2}})$", "=$3-$1-$2"),
+    (rf"^{_Y4}[-/ .]+{_MONTH}(?:[-/ .]+{_D2})?$", "=$1-$2-$3"),
+    (rf"^{_MONTH}[-/ .]*{_Y4}$", "=$2-$1-"),
+    (r"^(\d{4})(?:[-/.](\d{1,2}))?$", "=$1-$2-"),
+    (rf"^{_D2}[-/]{_Y4}$", "=$2-$1-"),
+    (r"^(\d{4})-?(q[1-4])$", "=$1-$2-"),
+    (r"^(\d{2})(q[1-4])$", "=20$1-$2-"),
+    (r"^([1-4])q-?(\d{4})$", "=$2-q$1-"),
+    (r"^([1-4])q(\d{2})$", "=20$2-q$1-"),
 )
 
 # Times written without a colon get one first.
@@ -93,7 +88,8 @@ def _full_year(year: Column, as_of: datetime) -> Column:
 def _month_number(month: Column) -> Column:
     named = (F.instr(F.lit(_MONTHS), F.substring(month, 1, 3)) + 2) / 3
     return (
-        F.when(month.rlike(r"^\d"), month.try_cast("int"))
+        F.when(month == "", 1)
+        .when(month.rlike(r"^\d"), month.try_cast("int"))
         .when(month.startswith("q"), F.substring(month, 2, 1).try_cast("int") * 3 - 2)
         .otherwise(named.cast("int"))
     )
@@ -101,9 +97,9 @@ def _month_number(month: Column) -> Column:
 
 def _in_order(text: Column) -> Column:
     """Year-month-day of a lower-case date in any listed shape, else null."""
-    return F.coalesce(*[
-        F.when(text.rlike(shape), F.regexp_replace(text, shape, order)) for shape, order in _SHAPES
-    ])
+    for shape, order in _SHAPES:
+        text = F.regexp_replace(text, shape, order)
+    return text
 
 
 def _with_colons(text: Column) -> Column:
@@ -131,15 +127,14 @@ def _offset_minutes(zone: Column) -> Column:
 def date_steps(
     source: str, clean: str, as_of: datetime, earliest: str = EARLIEST, latest: str = LATEST,
 ) -> tuple[Prepared, ...]:
-    """Steps from a stripped value (column ``clean``) to ``_moment_*``, ``_zoned_*``, ``_undated_*``.
+    """Steps from a stripped value (column ``clean``) to ``_moment_*`` and ``_zone_*``.
 
-    ``_moment_*`` is the parsed date and time (shifted to UTC where the text gave an offset),
-    ``_zoned_*`` says whether it did, ``_undated_*`` marks text that is no date. Each step is one
-    projection, so a text is matched once however many rules use the date. For ISO dates all
-    steps between the first and the last are null and cost next to nothing.
+    ``_moment_*`` is the parsed date and time (shifted to UTC where the text gave an offset) or
+    null, ``_zone_*`` the offset's text. Each step is one projection, so a text is matched once
+    however many rules use the date. For ISO dates the steps in between are null.
     """
-    iso, text, day, zone = f"_iso_{source}", f"_text_{source}", f"_day_{source}", f"_zone_{source}"
-    clock, moment = f"_clock_{source}", f"_moment_{source}"
+    text, parts, clock, zone = f"_text_{source}", f"_parts_{source}", f"_clock_{source}", f"_zone_{source}"
+    moment = f"_moment_{source}"
     c = F.col
 
     def clock_of(text: Column) -> Column:
@@ -153,33 +148,32 @@ def date_steps(
         )
 
     def moment_of() -> Column:
-        parts = F.split(c(day), "-")
-        written = F.concat(
-            _full_year(F.get(parts, F.lit(0)), as_of).cast("string"), F.lit("-"),
-            _month_number(F.get(parts, F.lit(1))).cast("string"), F.lit("-"), F.get(parts, F.lit(2)),
+        year, month, number = (F.get(c(parts), F.lit(i)) for i in range(3))
+        written = F.when(year.startswith("="), F.concat(
+            _full_year(F.substring(year, 2, 4), as_of).cast("string"), F.lit("-"),
+            _month_number(month).cast("string"), F.lit("-"), F.when(number == "", "1").otherwise(number),
             F.coalesce(c(clock), F.lit("")),
-        ).try_cast("timestamp_ntz")
+        )).try_cast("timestamp_ntz")
         shift = F.make_dt_interval(mins=F.coalesce(_offset_minutes(c(zone)), F.lit(0)))
+        low, high = (F.lit(b).cast("timestamp_ntz") for b in (earliest, latest))
+        # ISO dates sort as text, so theirs are compared before the cast
         return (
-            F.when(c(iso), c(clean).try_cast("timestamp_ntz"))
+            F.when(c(text).isNull(), F.when(
+                (c(clean) >= earliest) & (c(clean) <= latest), c(clean).try_cast("timestamp_ntz")))
             .when(c(clean).isin(*RUN_TIME), F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz"))
-            .when(c(zone).isNotNull(), written - shift)
-            .otherwise(written)
+            .when(written.between(low, high), F.when(c(zone).isNull(), written).otherwise(written - shift))
         )
 
-    low, high = (F.lit(b).cast("timestamp_ntz") for b in (earliest, latest))
     return (
-        Prepared(iso, (clean,), lambda: c(clean).rlike(_ISO)),
-        Prepared(text, (clean, iso), lambda: F.when(~c(iso), _with_colons(F.lower(c(clean))))),
-        Prepared(day, (text,), lambda: _in_order(
-            F.regexp_replace(F.regexp_replace(c(text), _CLOCK, ""), _WEEKDAY, ""))),
+        Prepared(text, (clean,), lambda: F.when(~c(clean).rlike(_ISO), _with_colons(F.lower(c(clean))))),
+        Prepared(parts, (text,), lambda: F.split(_in_order(
+            F.regexp_replace(F.regexp_replace(c(text), _CLOCK, ""), _WEEKDAY, "")), "-")),
         Prepared(clock, (text,), lambda: F.when(c(text).rlike(_CLOCK), clock_of(c(text)))),
         Prepared(zone, (text,), lambda: F.nullif(_clock_part(c(text), 6), F.lit("gmt"))),
-        Prepared(f"_parsed_{source}", (clean, iso, day, clock, zone), moment_of),
-        Prepared(moment, (f"_parsed_{source}",), lambda: F.when(
-            c(f"_parsed_{source}").between(low, high), c(f"_parsed_{source}"))),
-        Prepared(f"_zoned_{source}", (moment, zone),
-                 lambda: c(moment).isNotNull() & c(zone).isNotNull()),
-        Prepared(f"_undated_{source}", (clean, moment), lambda:
-                 c(moment).isNull() & (c(clean) != "") & ~c(clean).isin(*NO_DATE)),
+        Prepared(moment, (clean, text, parts, clock, zone), moment_of),
     )
+
+
+def is_undated(clean: Column, moment: Column) -> Column:
+    """True for text that is no date. Blanks and the texts for "no date" are no failure."""
+    return moment.isNull() & (clean != "") & ~clean.isin(*NO_DATE)

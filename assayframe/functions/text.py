@@ -22,8 +22,13 @@ NULL_TOKENS = (
 
 
 def strip(value: Column) -> Column:
-    """Value without white space at both ends (``trim`` alone removes only U+0020)."""
-    return F.btrim(value, F.lit(WHITESPACE))
+    """Value without white space at both ends (``trim`` alone removes only U+0020).
+
+    A value that starts and ends with a printable ASCII character is taken as it is; the search
+    for the whole set of spaces costs about ten times as much.
+    """
+    plain = F.ascii(value).between(33, 126) & F.ascii(F.substring(value, -1, 1)).between(33, 126)
+    return F.when(plain, value).otherwise(F.btrim(value, F.lit(WHITESPACE)))
 
 
 def blank_tokens_to_null(value: Column, tokens: tuple[str, ...] = NULL_TOKENS) -> Column:

@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.dates import EARLIEST, LATEST, date_steps
+from ..functions.dates import EARLIEST, LATEST, date_steps, is_undated
 from ..functions.identifiers import check_digit
 from ..functions.numbers import float_text, is_not_number, money_text, number_text, parse_number
 from ..functions.prepared import Prepared
@@ -178,14 +178,13 @@ def _prepared(as_of: datetime, earliest: str, latest: str) -> Iterable[Prepared]
         c(_clean("cusip")).rlike(ID_FORMAT), check_digit(c("_upper_cusip"))))
     yield Prepared("_code_state", (_clean("state"),), lambda: F.upper(_clean("state")))
     yield Prepared("_type", (_clean("bond_type"),), lambda: F.upper(_clean("bond_type")))
-    yield Prepared("_term", ("_moment_issue_date", "_moment_maturity_date", "_zoned_issue_date",
-                             "_zoned_maturity_date"), _term)
-    yield Prepared("_named_state", (_clean("issuer_name"), "_code_state"), _named_state)
+    yield Prepared("_lower_issuer_name", (_clean("issuer_name"),), lambda: F.lower(_clean("issuer_name")))
+    yield Prepared("_named_state", ("_lower_issuer_name", "_code_state"), _named_state)
 
 
 def _same_zone() -> Column:
     """A date with a UTC offset cannot be compared with one without."""
-    return F.col("_zoned_issue_date") == F.col("_zoned_maturity_date")
+    return F.col("_zone_issue_date").isNull() == F.col("_zone_maturity_date").isNull()
 
 
 def _term() -> Column:
@@ -195,11 +194,15 @@ def _term() -> Column:
 
 
 def _named_state() -> Column:
-    """The first listed state whose name is part of the issuer's name while its code is not the stated one."""
-    states = F.array(*[
-        F.struct(F.lit(name).alias("name"), F.lit(code).alias("code")) for name, code in STATE_NAMES.items()])
-    name, stated = F.lower(_clean("issuer_name")), F.col("_code_state")
-    return F.get(F.filter(states, lambda s: F.contains(name, s["name"]) & (s["code"] != stated)), F.lit(0))
+    """The first listed state whose name is part of the issuer's name while its code is not the stated one.
+
+    One test per state, written out: as a lambda over the list it would be interpreted, which
+    takes ten times as long.
+    """
+    name, stated = F.col("_lower_issuer_name"), F.col("_code_state")
+    return F.coalesce(*[
+        F.when(F.contains(name, F.lit(listed)) & (stated != code), F.lit(listed))
+        for listed, code in STATE_NAMES.items()])
 
 
 def _say(rule: str, **fields: Column):
@@ -225,35 +228,33 @@ def _identifier_rules() -> Iterable[RowRule]:
         lambda: digit != last, _say("CUSIP_CHECK_DIGIT", value=clean, expected=digit, got=last))
     yield RowRule(
         "cusip_issuer_structure", "CUSIP_ISSUER_ANOMALY", WARNING, "cusip", ("_upper_cusip",),
-        lambda: upper.rlike(ID_ALPHA_ISSUER),
+        lambda: (F.ascii(upper) >= ord("A")) & upper.rlike(ID_ALPHA_ISSUER),
         _say("CUSIP_ISSUER_ANOMALY", value=upper, issuer=F.substring(upper, 1, 6)))
     yield RowRule(
         "cusip_issuer_structure", "CUSIP_PLACEHOLDER", INFO, "cusip", ("_upper_cusip",),
-        lambda: upper.rlike(ID_ZERO_ISSUE), _say("CUSIP_PLACEHOLDER", value=upper))
+        lambda: (F.substring(upper, 7, 2) == "00") & upper.rlike(ID_ZERO_ISSUE),
+        _say("CUSIP_PLACEHOLDER", value=upper))
 
 
 def _date_rules(as_of: datetime) -> Iterable[RowRule]:
     issue, maturity = F.col("_moment_issue_date"), F.col("_moment_maturity_date")
     now = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
+    zoned = F.col("_zone_issue_date").isNotNull()
+    parsed = {d: (d, _clean(d), f"_moment_{d}", f"_zone_{d}") for d in ("issue_date", "maturity_date")}
+    undated = {d: is_undated(F.col(_clean(d)), F.col(f"_moment_{d}")) for d in parsed}
     # an issue date is compared with the clock, which fails for one with a UTC offset
     yield RowRule(
-        "date_validity", "INVALID_DATE", ERROR, "issue_date",
-        ("issue_date", "_undated_issue_date", "_zoned_issue_date"),
-        lambda: F.col("_undated_issue_date") | F.col("_zoned_issue_date"),
-        _say("INVALID_DATE", value=F.col("issue_date")))
+        "date_validity", "INVALID_DATE", ERROR, "issue_date", parsed["issue_date"],
+        lambda: undated["issue_date"] | zoned, _say("INVALID_DATE", value=F.col("issue_date")))
     yield RowRule(
-        "date_validity", "FUTURE_ISSUE_DATE", WARNING, "issue_date",
-        ("issue_date", "_moment_issue_date", "_zoned_issue_date"),
-        lambda: ~F.col("_zoned_issue_date") & (issue > now),
-        _say("FUTURE_ISSUE_DATE", value=F.col("issue_date")))
+        "date_validity", "FUTURE_ISSUE_DATE", WARNING, "issue_date", parsed["issue_date"],
+        lambda: ~zoned & (issue > now), _say("FUTURE_ISSUE_DATE", value=F.col("issue_date")))
     yield RowRule(
-        "date_validity", "INVALID_DATE", ERROR, "maturity_date", ("maturity_date", "_undated_maturity_date"),
-        lambda: F.col("_undated_maturity_date"), _say("INVALID_DATE", value=F.col("maturity_date")))
+        "date_validity", "INVALID_DATE", ERROR, "maturity_date", parsed["maturity_date"],
+        lambda: undated["maturity_date"], _say("INVALID_DATE", value=F.col("maturity_date")))
     yield RowRule(
         "date_validity", "MATURITY_BEFORE_ISSUE", ERROR, "maturity_date",
-        ("issue_date", "maturity_date", "_moment_issue_date", "_moment_maturity_date",
-         "_zoned_issue_date", "_zoned_maturity_date"),
-        lambda: _same_zone() & (maturity <= issue),
+        (*parsed["issue_date"], *parsed["maturity_date"]), lambda: _same_zone() & (maturity <= issue),
         _say("MATURITY_BEFORE_ISSUE", maturity=F.col("maturity_date"), issue=F.col("issue_date")))
 
 
@@ -307,15 +308,16 @@ def _name_rules() -> Iterable[RowRule]:
         "data_patterns", "SPECIAL_CHARS_IN_NAME", WARNING, "issuer_name", (_clean("issuer_name"),),
         lambda: name.rlike(SPECIAL_CHARACTERS), _say("SPECIAL_CHARS_IN_NAME", found=found, value=name))
     named = F.col("_named_state")
+    code_of = F.create_map(*[F.lit(x) for pair in STATE_NAMES.items() for x in pair])
     yield RowRule(
         "issuer_state_consistency", "ISSUER_STATE_MISMATCH", WARNING, "state",
         ("issuer_name", "_named_state", "_code_state"), lambda: named.isNotNull(),
-        _say("ISSUER_STATE_MISMATCH", value=F.col("issuer_name"), name=F.initcap(named["name"]),
-             code=named["code"], stated=F.col("_code_state")))
+        _say("ISSUER_STATE_MISMATCH", value=F.col("issuer_name"), name=F.initcap(named),
+             code=F.try_element_at(code_of, named), stated=F.col("_code_state")))
 
 
 def _by_type_rules() -> Iterable[RowRule]:
-    kind, rate, par, term = F.col("_type"), F.col("_number_coupon_rate"), F.col("_number_par_value"), F.col("_term")
+    kind, rate, par, term = F.col("_type"), F.col("_number_coupon_rate"), F.col("_number_par_value"), _term()
     low, high = _limit(COUPON_RANGES, kind, _low), _limit(COUPON_RANGES, kind, _high)
     coupon = dict(number=float_text(rate), type=kind, low=low.cast("string"), high=high.cast("string"))
     check, needs = "coupon_bond_type_consistency", ("_number_coupon_rate", "_type")
@@ -325,12 +327,13 @@ def _by_type_rules() -> Iterable[RowRule]:
                   lambda: (rate < low) & (rate != 0), _say("COUPON_TYPE_MISMATCH low", **coupon))
 
     most, years = _limit(MAX_TERM_YEARS, kind), F.format_string("%.1f", F.bround(term, 1))
-    check = "maturity_term_limits"
-    yield RowRule(check, "EXCESSIVE_MATURITY_TERM", WARNING, "maturity_date", ("_term", "_type"),
+    check, dates = "maturity_term_limits", (
+        "_moment_issue_date", "_moment_maturity_date", "_zone_issue_date", "_zone_maturity_date", "_type")
+    yield RowRule(check, "EXCESSIVE_MATURITY_TERM", WARNING, "maturity_date", dates,
                   lambda: term > most,
                   _say("EXCESSIVE_MATURITY_TERM", type=kind, term=years, most=most.cast("int")))
     # a null type is still checked here, a blank one is not
-    yield RowRule(check, "EXTREME_MATURITY_TERM", ERROR, "maturity_date", ("_term", "_type"),
+    yield RowRule(check, "EXTREME_MATURITY_TERM", ERROR, "maturity_date", dates,
                   lambda: (term > MAX_TERM) & F.coalesce(kind != "", F.lit(True)),
                   _say("EXTREME_MATURITY_TERM", term=years))
 

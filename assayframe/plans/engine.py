@@ -66,8 +66,9 @@ def _row_issues(rows: DataFrame, pack: RulePack, rules: list[RowRule], row: str)
     """
     needed = dict.fromkeys(n for rule in rules for n in rule.needs)
     prepared = add_prepared(rows, needed, pack.prepared)
-    fired = F.array_compact(F.array(*[F.when(r.fires(), F.lit(i)) for i, r in enumerate(rules)]))
-    hits = prepared.select("*", F.explode(fired).alias("_rule"))
+    tested = F.array(*[F.when(r.fires(), F.lit(i)) for i, r in enumerate(rules)])
+    hits = prepared.withColumn("_tested", tested).select("*", F.explode("_tested").alias("_rule")).where(
+        F.col("_rule").isNotNull())
 
     def constant(values: list) -> Column:
         return F.get(F.array(*[F.lit(v) for v in values]), F.col("_rule"))
