@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from assayframe.functions.identifiers import check_digit
 from assayframe.plans.bonds import STATE_NAMES
+from assayframe.sources.files import staged
 
 AS_OF = datetime(2024, 1, 1)
 STATES = [(" ".join(w.capitalize() for w in name.split()), code) for name, code in STATE_NAMES.items()][:25]
@@ -40,7 +41,22 @@ def _padded(number: Column, width: int) -> Column:
     return F.lpad(number.cast("string"), width, "0")
 
 
+_STAGED: dict[tuple[str, str], DataFrame] = {}
+
+
 def securities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived table as a stored one: written once per session and source, then read back.
+
+    Bond tables are stored columns. Left as expressions, the derivation would be copied by the
+    optimizer into every filter above it, which no real input does.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STAGED:
+        _STAGED[key] = staged(derive(spark, sf_dir))
+    return _STAGED[key]
+
+
+def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``row_id`` (the position) and the eight text columns of the pack."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"),
