@@ -65,8 +65,9 @@ _BARE_TIMES = (
     (r"^(\d{4}-\d{2}-\d{2})[t ](\d{2})$", "$1 $2:00"),
     (r"(\d)[t ] *(\d{1,2}) ?([ap]m)$", "$1 $2:00$3"),
 )
+# Groups: time of day, am or pm, zone. Digits past the microsecond are left out.
 _CLOCK = (
-    r"(?<=\d)(?:t|\s+)(\d{1,2}):(\d{1,2})(?::(\d{1,2})(\.\d{1,9})?)?"
+    r"(?<=\d)(?:t|\s+)(\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d{1,6})?)?)\d{0,3}"
     r"\s*([ap]m)?\s*(z|utc|gmt|[+-]\d{2}:?\d{2})?$"
 )
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
@@ -74,14 +75,14 @@ _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 
 
-def _full_year(year: Column, as_of: datetime) -> Column:
-    """Four digits for a short year: the century that puts it within 50 years of the run."""
-    near = year.try_cast("int") + as_of.year // 100 * 100
+def _century(written: Column, year: Column, as_of: datetime) -> Column:
+    """What to add to a year of one or two digits: the century that puts it within 50 years of the run."""
+    now = as_of.year // 100 * 100
     return (
-        F.when(F.length(year) > 2, year.try_cast("int"))
-        .when(near >= as_of.year + 50, near - 100)
-        .when(near < as_of.year - 50, near + 100)
-        .otherwise(near)
+        F.when(F.length(written) > 3, 0)
+        .when(year + now >= as_of.year + 50, now - 100)
+        .when(year + now < as_of.year - 50, now + 100)
+        .otherwise(now)
     )
 
 
@@ -108,20 +109,11 @@ def _with_colons(text: Column) -> Column:
     return text
 
 
-def _clock_part(text: Column, group: int) -> Column:
-    """One group of the time of day, null where the text has none."""
-    return F.nullif(F.regexp_extract(text, _CLOCK, group), F.lit(""))
-
-
 def _offset_minutes(zone: Column) -> Column:
-    """Minutes east of UTC; "gmt" is read as no zone at all."""
-    digits = F.replace(F.substring(zone, 2, 5), F.lit(":"), F.lit(""))
-    minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")
-    return (
-        F.when(zone.isin("z", "utc"), 0)
-        .when(zone.startswith("-"), -minutes)
-        .when(zone.startswith("+"), minutes)
-    )
+    """Minutes east of UTC, 0 for text without digits."""
+    digits = F.regexp_replace(zone, "[+:-]", "").try_cast("int")
+    minutes = F.floor(digits / 100) * 60 + digits % 100
+    return F.when(zone.startswith("-"), -minutes).otherwise(F.coalesce(minutes, F.lit(0))).cast("int")
 
 
 def date_steps(
@@ -133,44 +125,43 @@ def date_steps(
     null, ``_zone_*`` the offset's text. Each step is one projection, so a text is matched once
     however many rules use the date. For ISO dates the steps in between are null.
     """
-    text, parts, clock, zone = f"_text_{source}", f"_parts_{source}", f"_clock_{source}", f"_zone_{source}"
-    moment = f"_moment_{source}"
+    text, parts, clock, half, zone, year, written, moment = (
+        f"_{part}_{source}" for part in ("text", "parts", "clock", "half", "zone", "year", "written", "moment"))
     c = F.col
 
-    def clock_of(text: Column) -> Column:
-        hour, half = _clock_part(text, 1).try_cast("int"), _clock_part(text, 5)
-        hour = F.when(half.isNull(), hour).when(
-            hour <= 12, hour % 12 + F.when(half == "pm", 12).otherwise(0)).otherwise(99)
-        return F.concat(
-            F.lit(" "), hour.cast("string"), F.lit(":"), _clock_part(text, 2), F.lit(":"),
-            F.coalesce(_clock_part(text, 3), F.lit("0")),
-            F.substring(F.coalesce(_clock_part(text, 4), F.lit("")), 1, 7),
-        )
+    def day_of() -> Column:
+        short, month, number = (F.get(c(parts), F.lit(i)) for i in range(3))
+        return F.concat_ws(
+            "-", c(year) + _century(short, c(year), as_of), _month_number(month), F.when(number == "", "1").otherwise(number))
 
     def moment_of() -> Column:
-        year, month, number = (F.get(c(parts), F.lit(i)) for i in range(3))
-        written = F.when(year.startswith("="), F.concat(
-            _full_year(F.substring(year, 2, 4), as_of).cast("string"), F.lit("-"),
-            _month_number(month).cast("string"), F.lit("-"), F.when(number == "", "1").otherwise(number),
-            F.coalesce(c(clock), F.lit("")),
-        )).try_cast("timestamp_ntz")
-        shift = F.make_dt_interval(mins=F.coalesce(_offset_minutes(c(zone)), F.lit(0)))
+        hour = F.hour(written)
+        hours = (
+            F.when(c(half) == "", 0).when(hour > 12, None)
+            .when((c(half) == "pm") & (hour < 12), 12).when((c(half) == "am") & (hour == 12), -12).otherwise(0))
+        shift = F.make_dt_interval(hours=hours, mins=-_offset_minutes(c(zone)))
         low, high = (F.lit(b).cast("timestamp_ntz") for b in (earliest, latest))
         # ISO dates sort as text, so theirs are compared before the cast
         return (
             F.when(c(text).isNull(), F.when(
                 (c(clean) >= earliest) & (c(clean) <= latest), c(clean).try_cast("timestamp_ntz")))
             .when(c(clean).isin(*RUN_TIME), F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz"))
-            .when(written.between(low, high), F.when(c(zone).isNull(), written).otherwise(written - shift))
+            .when(c(written).between(low, high), c(written) + shift)
         )
 
     return (
         Prepared(text, (clean,), lambda: F.when(~c(clean).rlike(_ISO), _with_colons(F.lower(c(clean))))),
         Prepared(parts, (text,), lambda: F.split(_in_order(
             F.regexp_replace(F.regexp_replace(c(text), _CLOCK, ""), _WEEKDAY, "")), "-")),
-        Prepared(clock, (text,), lambda: F.when(c(text).rlike(_CLOCK), clock_of(c(text)))),
-        Prepared(zone, (text,), lambda: F.nullif(_clock_part(c(text), 6), F.lit("gmt"))),
-        Prepared(moment, (clean, text, parts, clock, zone), moment_of),
+        Prepared(clock, (text,), lambda: F.regexp_extract(c(text), _CLOCK, 1)),
+        Prepared(half, (text,), lambda: F.regexp_extract(c(text), _CLOCK, 2)),
+        # "gmt" is read as no zone at all
+        Prepared(zone, (text,), lambda: F.nullif(F.replace(
+            F.regexp_extract(c(text), _CLOCK, 3), F.lit("gmt"), F.lit("")), F.lit(""))),
+        Prepared(year, (parts,), lambda: F.regexp_extract(F.get(c(parts), F.lit(0)), r"^=(\d+)$", 1).try_cast("int")),
+        Prepared(written, (parts, clock, year), lambda: F.when(
+            c(year).isNotNull(), F.concat_ws(" ", day_of(), F.nullif(c(clock), F.lit("")))).try_cast("timestamp_ntz")),
+        Prepared(moment, (clean, text, written, half, zone), moment_of),
     )
 
 

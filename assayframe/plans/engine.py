@@ -66,9 +66,11 @@ def _row_issues(rows: DataFrame, pack: RulePack, rules: list[RowRule], row: str)
     """
     needed = dict.fromkeys(n for rule in rules for n in rule.needs)
     prepared = add_prepared(rows, needed, pack.prepared)
-    tested = F.array(*[F.when(r.fires(), F.lit(i)) for i, r in enumerate(rules)])
-    hits = prepared.withColumn("_tested", tested).select("*", F.explode("_tested").alias("_rule")).where(
-        F.col("_rule").isNotNull())
+    tested = F.array(*[F.when(r.fires(), F.lit(i)).otherwise(F.lit(-1)) for i, r in enumerate(rules)])
+    fired = prepared.withColumn("_fired", F.array_remove(tested, -1))
+    # not the inner form: for that one the optimizer tests the array's size in a filter at the scan
+    # and works out every rule twice
+    hits = fired.select("*", F.explode_outer("_fired").alias("_rule")).where(F.col("_rule").isNotNull())
 
     def constant(values: list) -> Column:
         return F.get(F.array(*[F.lit(v) for v in values]), F.col("_rule"))
