@@ -170,3 +170,22 @@ def test_added_rule(spark):
         "own_check", "NO_VOWEL", WARNING, "issuer_name", ("issuer_name",),
         lambda: ~F.col("issuer_name").rlike("(?i)[aeiou]"), lambda: F.lit("no vowel")))
     assert found(validate(table(spark, [{"issuer_name": "XYZ"}]), pack.only(checks=["own_check"]))) == [(2, "NO_VOWEL")]
+
+
+def test_report_files(spark, tmp_path):
+    import json
+
+    from assayframe.sources.reports import report, write_issues, write_log, write_report
+
+    rows = table(spark, [{"cusip": ""}, {}, {"coupon_rate": "15.5", "bond_type": "OTHER"}])
+    issues = validate(rows, bond_pack(AS_OF).only(rules=row_rules()))
+    write_report(report(issues, rows, 8, 17, "x.csv", AS_OF), str(tmp_path / "report"))
+    write_issues(issues, str(tmp_path / "issues"))
+    write_log(issues, str(tmp_path / "log"))
+    (part,) = (tmp_path / "report").glob("*.json")
+    document = json.loads(part.read_text())
+    assert document["summary"]["pass_rate"] == 66.67 and document["summary"]["warnings"] == 1
+    assert document["by_rule"] == {"MISSING_VALUE": 1, "HIGH_COUPON": 1}
+    assert document["by_column"]["cusip"] == {"errors": 1, "warnings": 0, "info": 0}
+    assert spark.read.json(str(tmp_path / "issues")).count() == 2
+    assert spark.read.option("header", True).csv(str(tmp_path / "log")).where("field = 'cusip' and row = '2'").count() == 1
