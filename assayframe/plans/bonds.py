@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 from datetime import datetime, timezone
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -131,11 +133,15 @@ def bond_pack(
 ) -> RulePack:
     """All checks for bond tables. ``as_of`` is the moment dates are judged by (default: now)."""
     as_of = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
-    prepared = {p.name: p for p in _prepared(as_of, earliest, latest)}
+    # built once per pack: each piece of an expression is a call into the JVM
+    prepared = {
+        p.name: replace(p, column=cache(p.column)) for p in _prepared(as_of, earliest, latest)}
     rules = (
         *_missing_rules(), *_identifier_rules(), *_date_rules(as_of), *_number_rules(), *_code_rules(),
         *_name_rules(), *_by_type_rules(), *_table_rules(),
     )
+    rules = tuple(
+        replace(r, fires=cache(r.fires), message=cache(r.message)) if isinstance(r, RowRule) else r for r in rules)
     return RulePack(REQUIRED_COLUMNS, CHECKS, rules, prepared)
 
 

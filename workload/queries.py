@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from assayframe.operators.positions import number_sorted_rows
 from assayframe.operators.table_rules import spellings
 from assayframe.plans.bonds import CHECKS, REQUIRED_COLUMNS, bond_pack
 from assayframe.plans.engine import normalize_columns, validate
+from assayframe.plans.pack import RulePack
 from assayframe.session import tune
 from assayframe.sources.files import read_parquet
 
@@ -51,8 +53,18 @@ RULES_OF = {
 }
 
 
+@cache
+def _pack(application: str) -> RulePack:
+    return bond_pack(AS_OF)
+
+
+def pack_of(spark: SparkSession) -> RulePack:
+    """The pack of this session; queries share its expressions."""
+    return _pack(spark.sparkContext.applicationId)
+
+
 def _issues(spark: SparkSession, sf_dir: str, rules: tuple[str, ...] | None = None) -> DataFrame:
-    return validate(securities(tune(spark), sf_dir), bond_pack(AS_OF).only(rules=rules), ROW)
+    return validate(securities(tune(spark), sf_dir), pack_of(spark).only(rules=rules), ROW)
 
 
 def _shown(issues: DataFrame) -> DataFrame:
@@ -82,7 +94,7 @@ def _file_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
-    return add_prepared(securities(tune(spark), sf_dir), names, bond_pack(AS_OF).prepared)
+    return add_prepared(securities(tune(spark), sf_dir), names, pack_of(spark).prepared)
 
 
 def _parse_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +112,7 @@ def _parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two columns are gone: they are reported, the rules that need them are left out, all others run."""
     table = securities(tune(spark), sf_dir).drop("state", "bond_type")
-    return validate(table, bond_pack(AS_OF), ROW).groupBy("rule", "column").agg(F.count("*").alias("n"))
+    return validate(table, pack_of(spark), ROW).groupBy("rule", "column").agg(F.count("*").alias("n"))
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
