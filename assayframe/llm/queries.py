@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, tokenfiles
+from . import bpe, licenses, mixing, rules, simhash, tokenfiles
 
 RANK_FILE, TOKENIZER_FILE = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 END_ID = 2
@@ -61,15 +61,86 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, copies * size
 """
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir).select("doc_id", "text"))
+    starts = F.transform("places", lambda p: p["start"])
+    base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"), F.array_join(base, ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(_table(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(_table(spark, sf_dir).select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir).select("doc_id", "text")
     manifest = tokenfiles.write(docs, public_tokenizers.path(TOKENIZER_FILE), END_ID)
     return tokenfiles.read(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+_GAP = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_OP5 = rf"""
+WITH texts AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+numbered AS (SELECT row_number() OVER () AS r, * FROM texts),
+worded AS (SELECT r, doc_id, text, regexp_extract_all(text, '{_GAP}') AS ws FROM numbered),
+phrases(phrase, label) AS (VALUES {", ".join(f"({p.split()!r}, '{v}')" for p, v in licenses.PHRASES.items())}),
+places AS (
+  SELECT r, i AS start, label FROM (SELECT r, ws, unnest(range(0, len(ws))) AS i FROM worded) JOIN phrases ON ws[i + 1:i + len(phrase)] = phrase),
+templates(label, words) AS (VALUES {", ".join(f"('{v}', {licenses._template_words(t)!r})" for v, t in licenses.TEMPLATES)}),
+blocks AS (SELECT r, list_distinct(regexp_extract_all(b, '{_GAP}')) AS ws FROM (SELECT r, unnest(string_split(text, chr(10))) AS b FROM numbered)),
+matches AS (
+  SELECT r, label, len(list_intersect(ws, words)) / len(words) AS score FROM blocks JOIN templates
+  ON len(list_intersect(ws, words)) >= ceil({licenses.THRESHOLD} * len(words) - 1e-9)),
+base AS (
+  SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY r),
+named AS (
+  SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT r, label FROM places UNION SELECT r, label FROM matches) GROUP BY r),
+best AS (SELECT r, max(score) AS score FROM matches GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM worded LEFT JOIN base USING (r) LEFT JOIN named USING (r) LEFT JOIN best USING (r)
+"""
+
+_OP7 = r"""
+WITH numbered AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+worded AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
+  list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM numbered),
+windows AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS w FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM worded)),
+twice AS (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS next FROM (SELECT *, count(*) OVER (PARTITION BY r, w) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT r, sum(least(8, coalesce(next - i, 8))) AS n FROM twice GROUP BY r),
+counted AS (
+  SELECT doc_id, text, len(ws) AS n_words, len(array_to_string(ws, '')) AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(ls) AS n_lines,
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM worded LEFT JOIN repeats USING (r)),
+based AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT (base_failed OR n_symbols * 10 > n_words * 2 OR word_chars > n_words * 16 OR word_chars < n_words * 2
+    OR n_dup_lines * 10 > n_lines * 3 OR len(regexp_extract_all(text, '!')) * 10 > n_words * 3
+    OR len(regexp_extract_all(text, '\p{Lu}')) * 2 > len(regexp_extract_all(text, '\p{L}'))
+    OR len(regexp_extract_all(text, '\p{L}[^\x20\x09-\x0D]*')) * 10 < n_words * 6
+    OR len(regexp_extract_all(text, '(?m)^[ \t]*[-*\x{2022}]')) * 10 > n_lines * 9
+    OR len(regexp_extract_all(text, '(?m)(\x{2026}|\.\.\.)[ \t]*$')) * 10 > n_lines * 3) AS kept
+FROM based
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_byte_bpe": op2_byte_bpe, "op4_mixing": op4_mixing, "op8_token_files": op8_token_files}
+    return {"op2_byte_bpe": op2_byte_bpe, "op4_mixing": op4_mixing, "op5_license_scan": op5_license_scan,
+            "op6_simhash": op6_simhash, "op7_quality_rules": op7_quality_rules, "op8_token_files": op8_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": _OP4}
+    return {"op4_mixing": _OP4, "op5_license_scan": _OP5, "op7_quality_rules": _OP7}
