@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, rules, simhash, tokenfiles
+from . import bpe, licenses, mixing, rules, simhash, substrings, tokenfiles
 
 RANK_FILE, TOKENIZER_FILE = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 END_ID = 2
@@ -137,9 +137,14 @@ FROM based
 """
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(_table(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op2_byte_bpe": op2_byte_bpe, "op4_mixing": op4_mixing, "op5_license_scan": op5_license_scan,
-            "op6_simhash": op6_simhash, "op7_quality_rules": op7_quality_rules, "op8_token_files": op8_token_files}
+            "op6_simhash": op6_simhash, "op7_quality_rules": op7_quality_rules, "op8_token_files": op8_token_files, "op9_substrings": op9_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
