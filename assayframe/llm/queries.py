@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, rules, simhash, substrings, tokenfiles
+from . import bpe, licenses, mixing, neighbours, rules, simhash, substrings, tokenfiles
 
 RANK_FILE, TOKENIZER_FILE = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 END_ID = 2
@@ -142,9 +142,15 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.search(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op2_byte_bpe": op2_byte_bpe, "op4_mixing": op4_mixing, "op5_license_scan": op5_license_scan,
-            "op6_simhash": op6_simhash, "op7_quality_rules": op7_quality_rules, "op8_token_files": op8_token_files, "op9_substrings": op9_substrings}
+            "op6_simhash": op6_simhash, "op7_quality_rules": op7_quality_rules, "op8_token_files": op8_token_files, "op9_substrings": op9_substrings,
+            "op10_neighbours": op10_neighbours}
 
 
 def oracle_sql() -> dict[str, str]:
