@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, neighbours, rules, simhash, substrings, tokenfiles
+from . import bpe, licenses, mixing, neighbours, perplexity, rules, simhash, substrings, tokenfiles, toxicity
 
 RANK_FILE, TOKENIZER_FILE = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 END_ID = 2
@@ -18,6 +18,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that people found good."""
+    return _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir).select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "severity", "grade", "toxic")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANK_FILE)
     docs = _table(spark, sf_dir).select("doc_id", "text")
@@ -26,6 +37,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = perplexity.judge(_table(spark, sf_dir).select("doc_id", "lang", "text"), trusted_ids(spark, sf_dir))
+    return judged.select("doc_id", "lang", "perplexity", "threshold", "kept")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sampled = mixing.sample(_table(spark, sf_dir).select("doc_id", "source", "text"))
     return sampled.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -148,7 +164,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_byte_bpe": op2_byte_bpe, "op4_mixing": op4_mixing, "op5_license_scan": op5_license_scan,
+    return {"op1_toxicity": op1_toxicity, "op2_byte_bpe": op2_byte_bpe, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_license_scan": op5_license_scan,
             "op6_simhash": op6_simhash, "op7_quality_rules": op7_quality_rules, "op8_token_files": op8_token_files, "op9_substrings": op9_substrings,
             "op10_neighbours": op10_neighbours}
 
