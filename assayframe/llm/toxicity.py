@@ -1,12 +1,12 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
-Features are the different words of a text (letters and digits, in lower case), hashed into ``DIMENSIONS`` places.
-One weight per place serves all thresholds: P(severity >= k) = sigmoid(weights . features - threshold k). A document
+Features are the different words of a text (letters and digits, in lower case) and their first 4, 5 and 6 characters,
+which stand in for stems, hashed into ``DIMENSIONS`` places; a beginning counts once for each different word. One weight per place serves all thresholds: P(severity >= k) = sigmoid(weights . features - threshold k). A document
 gets its expected severity, the sum of these probabilities, its likeliest grade, and whether severity 1 or more is
 likelier than not.
 
 The model is fitted on at most about ``LABELLED`` labelled documents, chosen by a hash; that is all that reaches the
-driver, as sets of places. Weights are fitted by proximal AdaGrad with an L1 penalty, so most are 0. Where labels only
+driver, as lists of places. Places whose log-odds may be chance are left out; the others get weights with an L1 penalty. Where labels only
 say toxic or not, :func:`graded` spreads toxic documents over the grades by how many words they hold that mark
 toxic ones. Scoring is one pass over all whole texts with a model of fixed size.
 
@@ -17,6 +17,7 @@ equal results and an empty table an empty one. Columns of the input called like
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,31 +31,48 @@ from pyspark.sql import functions as F
 from .common import put, slices, small, with_fields
 
 DIMENSIONS, GRADES = 1 << 17, 4
-LABELLED, STEPS, RATE, PENALTY = 20_000, 150, 0.3, 2e-4
+LABELLED, STEPS, PENALTY = 20_000, 1000, 1e-4
+BEGINNINGS = (4, 5, 6)
 BATCH_BYTES, KNOWN_WORDS = 4 << 20, 500_000
 # In how many toxic documents, and with what odds, a word marks toxic ones.
 MARK_DOCUMENTS, MARK_ODDS = 5, 8.0
+# By how many standard errors the log-odds of a place differ from 0 for it to be a feature.
+SURE = 4.0
 
 _WORD = re.compile(r"[^\W_]+")
 
 
-class _Places(dict):
-    """Word -> place, remembered up to a bound."""
+def _place(part: str) -> int:
+    return zlib.crc32(part.encode()) % DIMENSIONS
 
-    def __missing__(self, word: str) -> int:
+
+def word_places(word: str) -> list[int]:
+    """The places of a word and its beginnings; a word is told apart from a beginning that looks like it."""
+    return [_place(word), *(_place(word[:n] + "*") for n in BEGINNINGS if len(word) >= n)]
+
+
+class _Known(dict):
+    """What was worked out for a word, remembered up to a bound."""
+
+    def __init__(self, work) -> None:
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, word: str):
         if len(self) >= KNOWN_WORDS:
             self.clear()
-        place = self[word] = zlib.crc32(word.encode()) % DIMENSIONS
-        return place
+        value = self[word] = self.work(word)
+        return value
 
 
-_places = _Places()
+def words(text: str) -> set[str]:
+    return set(_WORD.findall(text.lower()))
 
 
 def features(text: str) -> np.ndarray:
-    """The different places of a text's words, sorted."""
-    found = {_places[w] for w in set(_WORD.findall(text.lower()))}
-    return np.sort(np.fromiter(found, np.int64, len(found)))
+    """The places of a text's different words and of their beginnings."""
+    found = [p for w in words(text) for p in word_places(w)]
+    return np.array(found, np.int64)
 
 
 @dataclass(frozen=True)
@@ -76,10 +94,10 @@ def graded(rows: list[np.ndarray], toxic: np.ndarray, grades: int = GRADES) -> n
     out = toxic.astype(np.int64)
     if not toxic.any() or toxic.all():
         return out
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    owner = np.repeat(toxic, [len(r) for r in rows])
-    bad = np.bincount(flat[owner], minlength=DIMENSIONS)
-    good = np.bincount(flat[~owner], minlength=DIMENSIONS)
+    once = [np.unique(r) for r in rows]
+    seen, whose = np.concatenate(once), np.repeat(toxic, [len(r) for r in once])
+    bad = np.bincount(seen[whose], minlength=DIMENSIONS)
+    good = np.bincount(seen[~whose], minlength=DIMENSIONS)
     odds = ((bad + 0.5) / toxic.sum()) / ((good + 0.5) / (~toxic).sum())
     marks = (bad >= MARK_DOCUMENTS) & (odds >= MARK_ODDS)
     n = np.array([marks[r].sum() for r in rows])
@@ -88,30 +106,62 @@ def graded(rows: list[np.ndarray], toxic: np.ndarray, grades: int = GRADES) -> n
     return out
 
 
+def selected(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """The log-odds of a document of grade 1 or more, by place; 0 where it may be chance or the place is rare."""
+    once = [np.unique(r) for r in rows]
+    seen, whose = np.concatenate(once), np.repeat(toxic, [len(r) for r in once])
+    bad = np.bincount(seen[whose], minlength=DIMENSIONS) + 1
+    good = np.bincount(seen[~whose], minlength=DIMENSIONS) + 1
+    odds = np.log(bad / (toxic.sum() + 2)) - np.log(good / ((~toxic).sum() + 2))
+    return np.where((bad + good >= MARK_DOCUMENTS + 2) & (np.abs(odds) >= SURE * np.sqrt(1 / bad + 1 / good)), odds, 0.0)
+
+
 def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int = GRADES, steps: int = STEPS) -> Model:
-    """Maximum likelihood of the grades, with an L1 penalty on the weights."""
-    weights, n = np.zeros(DIMENSIONS), max(1, len(rows))
+    """Maximum likelihood of the grades with an L1 penalty, by accelerated proximal gradient.
+
+    Places enter scaled by their log-odds; most have none. The step is one over a bound of the curvature.
+    """
+    n = len(rows)
     share = np.array([(np.sum(grade >= k) + 0.5) / (n + 1) for k in range(1, grades)])
     thresholds = np.log((1 - share) / share)
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    squares, squares_t = np.full(DIMENSIONS, 1e-8), np.full(len(thresholds), 1e-8)
-    edges = np.arange(grades - 1)
-    for _ in range(steps if len(rows) else 0):
-        score = np.bincount(owner, weights[flat], len(rows))
+    scale = selected(rows, grade > 0) if n else np.zeros(DIMENSIONS)
+    places = np.flatnonzero(scale)
+    out = np.zeros(DIMENSIONS)
+    if not len(places):
+        return Model(out, thresholds)
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
+    kept = scale[flat] != 0
+    column, owner, value = np.searchsorted(places, flat[kept]), owner[kept], scale[flat[kept]]
+    weights = ahead = np.zeros(len(places))
+    step = 4 / _curvature(column, owner, value, n, len(places))
+    pace, squares = 1.0, np.full(len(thresholds), 1e-8)
+    for _ in range(steps):
+        score = np.bincount(owner, value * ahead[column], n)
         ends = np.concatenate([[-np.inf], thresholds, [np.inf]])
-        low, high = (_sigmoid(np.clip(e - score, -40, 40)) for e in (ends[grade], ends[grade + 1]))
-        pull = low + high - 1  # d log-likelihood / d score
-        slope = -np.bincount(flat, pull[owner], DIMENSIONS) / n
+        low, high = _sigmoid(ends[grade] - score), _sigmoid(ends[grade + 1] - score)
+        pull = low + high - 1  # derivative of the log-likelihood by the score
+        moved = ahead + step / n * np.bincount(column, value * pull[owner], len(places))
+        moved = np.sign(moved) * np.maximum(0, np.abs(moved) - step * PENALTY)
+        following = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        ahead = moved + (pace - 1) / following * (moved - weights)
+        weights, pace = moved, following
         inside = np.maximum(high - low, 1e-12)
-        slope_t = np.array([-np.sum(np.where(grade + 0 == k, high * (1 - high) / inside, 0) - np.where(grade == k + 1, low * (1 - low) / inside, 0)) / n for k in edges])
+        up, down = high * (1 - high) / inside, low * (1 - low) / inside
+        slope = np.array([up[grade == k].sum() - down[grade == k + 1].sum() for k in range(len(thresholds))]) / n
         squares += slope ** 2
-        squares_t += slope_t ** 2
-        step = RATE / np.sqrt(squares)
-        weights = weights - step * slope
-        weights = np.sign(weights) * np.maximum(0, np.abs(weights) - step * PENALTY)
-        thresholds = np.sort(thresholds - RATE / np.sqrt(squares_t) * slope_t)
-    return Model(weights, thresholds)
+        thresholds = np.sort(thresholds + slope / np.sqrt(squares))
+    out[places] = weights * scale[places]
+    return Model(out, thresholds)
+
+
+def _curvature(column: np.ndarray, owner: np.ndarray, value: np.ndarray, rows: int, columns: int) -> float:
+    """The largest eigenvalue of X'X / rows, by power iteration."""
+    x, size = np.ones(columns), 1.0
+    for _ in range(20):
+        x = np.bincount(column, value * np.bincount(owner, value * x[column], rows)[owner], columns)
+        size = max(float(np.linalg.norm(x)), 1e-12)
+        x /= size
+    return 2 * size / rows
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int = LABELLED) -> tuple[list[np.ndarray], np.ndarray]:
@@ -143,8 +193,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
+        weight = _Known(lambda word: math.fsum(model.weights[p] for p in word_places(word))).__getitem__
         for batch in slices(batches, text, BATCH_BYTES):
-            sums = np.array([model.weights[features(t)].sum() for t in batch.column(text).fill_null("").to_pylist()])
+            sums = np.array([math.fsum(map(weight, words(t))) for t in batch.column(text).fill_null("").to_pylist()])
             above = model.above(sums)
             each = -np.diff(np.hstack([np.ones((len(sums), 1)), above, np.zeros((len(sums), 1))]), axis=1)
             yield put(batch, severity=pa.array(above.sum(1)), grade=pa.array(each.argmax(1).astype(np.int32)), toxic=pa.array(above[:, 0] >= 0.5))
