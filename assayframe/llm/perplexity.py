@@ -143,16 +143,21 @@ class Shards:
 
 
 def passes(model: DataFrame, entries: int = ENTRIES) -> list[list[tuple[str, int]]]:
-    """The shards (language, byte) of each pass. At most 256 rows per language are looked at."""
-    sizes = model.where("shard >= 0").groupBy("lang", "shard").count().orderBy("lang", "shard").collect()
+    """The shards (language, byte) of each pass. At most 256 rows per language are looked at.
+
+    Bytes that the model has never seen before another are shards without entries: they need scoring too.
+    """
+    sizes = {(r["lang"], r["shard"]): r["count"] for r in model.where("shard >= 0").groupBy("lang", "shard").count().collect()}
     out: list[list[tuple[str, int]]] = []
     held = entries
-    for row in sizes:
-        if held + row["count"] > entries:
-            out.append([])
-            held = 0
-        out[-1].append((row["lang"], row["shard"]))
-        held += row["count"]
+    for name in sorted({name for name, _ in sizes}):
+        for shard in range(256):
+            size = sizes.get((name, shard), 0)
+            if not out or held + size > entries:
+                out.append([])
+                held = 0
+            out[-1].append((name, shard))
+            held += size
     return out
 
 
