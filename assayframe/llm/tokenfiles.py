@@ -103,7 +103,9 @@ def read(manifest: DataFrame) -> DataFrame:
             for part in batch.to_pylist():
                 yield from _read_part(part)
 
-    spread = manifest.repartition(F.col("part"))
+    # with a number given, Spark does not put these few rows into one task
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = manifest.repartition(tasks, "part")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
