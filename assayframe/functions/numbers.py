@@ -55,12 +55,30 @@ def float_text(value: Column) -> Column:
     )
 
 
+def two_decimals(value: Column) -> Column:
+    """Rounded to two decimals by the exact binary value, ties to even.
+
+    ``bround`` goes by the shortest decimal text, in which 2.675 looks like a tie though it lies
+    below one. Here the value is split into two parts whose products with 100 are exact, so the
+    distance from the tie has the right sign.
+    """
+    size = F.abs(value)
+    scaled = size * float((1 << 27) + 1)
+    high = scaled - (scaled - size)
+    whole = F.floor(size * 100).cast("double")
+    over = (high * 100 - (whole + 0.5)) + (size - high) * 100
+    up = (over > 0) | ((over == 0) & (whole % 2 == 1))
+    rounded = F.signum(value) * (whole + F.when(up, 1.0).otherwise(0.0)) / 100
+    # from here on, neighbouring values lie further apart than 0.01
+    return F.when(size < float(1 << 46), rounded).otherwise(F.bround(value, 2))
+
+
 def money_text(value: Column) -> Column:
     """Two decimals with thousands separators."""
     infinite = F.abs(value) == float("inf")
     return (
         F.when(infinite & (value < 0), "-inf").when(infinite, "inf")
-        .otherwise(F.format_string("%,.2f", F.bround(value, 2)))
+        .otherwise(F.format_string("%,.2f", two_decimals(value)))
     )
 
 

@@ -36,10 +36,15 @@ def blank_tokens_to_null(value: Column, tokens: tuple[str, ...] = NULL_TOKENS) -
 
 
 def quoted(value: Column) -> Column:
-    """Value in quotes, with double quotes where it holds a single one."""
-    body = F.replace(value, F.lit("\\"), F.lit("\\\\"))
-    for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\xa0", "\\xa0")):
-        body = F.replace(body, F.lit(raw), F.lit(shown))
+    """Value in quotes, with double quotes where it holds a single one.
+
+    White space other than U+0020 is written as an escape.
+    """
+    plain = F.replace(value, F.lit("\\"), F.lit("\\\\"))
+    body = plain
+    for raw in WHITESPACE.replace(" ", ""):
+        body = F.replace(body, F.lit(raw), F.lit(ascii(raw)[1:-1]))
+    body = F.when(F.rlike(value, F.lit(f"[{WHITESPACE.replace(' ', '')}]")), body).otherwise(plain)
     single, double = F.contains(value, F.lit("'")), F.contains(value, F.lit('"'))
     return (
         F.when(~single, F.concat(F.lit("'"), body, F.lit("'")))

@@ -19,7 +19,11 @@ def sorted_issues(issues: DataFrame) -> DataFrame:
 
 
 def filter_issues(issues: DataFrame, severity: str | None = None, rule: str | None = None) -> DataFrame:
-    """Issues of a severity, and of rules whose name contains ``rule``; case does not matter."""
+    """Issues of a severity, and of rules whose name contains ``rule``; case does not matter.
+
+    For stored issues. Before a validation, narrow the pack instead (``pack.only``): rules that are
+    not asked for are then not tested.
+    """
     if severity:
         issues = issues.where(F.upper("severity") == severity.upper())
     if rule:
@@ -31,6 +35,7 @@ def first_issues(issues: DataFrame, limit: int = 50) -> DataFrame:
     """The first ``limit`` issues in order, with ``left_out``, the number of those that follow.
 
     A limit of zero or less means all. The first ones are found by a top-k per task, not a sort.
+    The issues are read twice: store them first (``staged``), or the table is validated twice.
     """
     if limit <= 0:
         return sorted_issues(issues).withColumn("left_out", F.lit(0).cast("long"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,12 +19,16 @@ BROADCAST_SPLITS = 200_000
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session, on storage that all executors reach.
 
-    It is the one in ``spark.checkpoint.dir``; only a session without it (a local test) gets a
-    temporary one.
+    It is the one in ``spark.checkpoint.dir``. Only a session whose master is ``local`` (a test) gets
+    a temporary one where that is unset: elsewhere executors would not find it.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="assayframe-")
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder on storage that all executors share")
+            folder = tempfile.mkdtemp(prefix="assayframe-")
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
@@ -64,14 +70,17 @@ def number_file_rows(scan: DataFrame, row: str = "row") -> DataFrame:
     return numbered.select(row, *[F.col(f"`{c}`") for c in scan.columns])
 
 
-def number_parquet_rows(scan: DataFrame, row: str = "row") -> DataFrame:
-    """The same for Parquet, whose reader already knows a record's position in its file."""
+def number_parquet_rows(scan: DataFrame, row: str = "row", place: Column | None = None) -> DataFrame:
+    """The same for Parquet, whose reader already knows a record's position in its file.
+
+    ``place`` orders the files by something else than their path (``_file``).
+    """
     tagged = scan.select(
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"),
         *[F.col(f"`{c}`") for c in scan.columns],
     )
     files = tagged.groupBy("_file").agg(F.count("*").alias("_n")).withColumn("_start", F.lit(0))
-    files = durable(_first_numbers(files)).drop("_start")
+    files = durable(_first_numbers(files, place)).drop("_start")
     numbered = tagged.join(_small(files), "_file", "left").withColumn(
         row, _checked(F.col("_place") < F.col("_n"), F.col("_first") + F.col("_place")))
     return numbered.select(row, *[F.col(f"`{c}`") for c in scan.columns])
@@ -80,28 +89,25 @@ def number_parquet_rows(scan: DataFrame, row: str = "row") -> DataFrame:
 def number_sorted_rows(table: DataFrame, order_by: list[str | Column], row: str = "row") -> DataFrame:
     """Number the rows of a table that has no order of its own by the given key.
 
-    The sorted table is written to the checkpoint folder, so its partitions stay as they are; one
-    row per partition then gives each its first number. No window runs over the whole table.
+    The sorted table is written to the shared folder as Parquet, so its order stays as it is and
+    later reads take only the columns they need; its part files are then numbered like any others.
+    No window runs over the whole table. Whoever owns the shared folder deletes the copy.
     """
-    ordered = durable(table.orderBy(*order_by))
-    tagged = ordered.withColumn("_id", F.monotonically_increasing_id())
-    # the id holds the partition in its upper bits and the position in the lower 33
-    tagged = tagged.withColumns({
-        "_start": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND((1 << 33) - 1),
-    })
-    parts = tagged.groupBy("_start").agg(F.count("*").alias("_n")).withColumn("_file", F.lit(""))
-    parts = durable(_first_numbers(parts)).select("_start", "_first")
-    return tagged.join(_small(parts), "_start").select(
-        (F.col("_first") + F.col("_place")).alias(row), *[F.col(f"`{c}`") for c in table.columns])
-
-
-def _first_numbers(splits: DataFrame) -> DataFrame:
+    spark = table.sparkSession
+    path = f"{shared_folder(spark)}/sorted-{uuid.uuid4().hex}"
+    table.orderBy(*order_by).write.parquet(path)
+    part = F.regexp_extract("_file", r"part-(\d+)-[^/]*$", 1).cast("long")
+    return number_parquet_rows(spark.read.schema(table.schema).parquet(path), row, part)
+
+
+def _first_numbers(splits: DataFrame, place: Column | None = None) -> DataFrame:
     """Add the number of each split's first record. One row per split goes in, not data."""
     before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     within = splits.withColumn("_within", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     # one row per file: far smaller than the file listing that Spark's driver holds anyway
     files = splits.groupBy("_file").agg(F.sum("_n").alias("_total"))
-    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    order = [place, F.col("_file")] if place is not None else [F.col("_file")]
+    earlier = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("_file", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_files"))
     first = F.col("_files") + F.col("_within") + FIRST_ROW
     return within.join(files, "_file").withColumn("_first", first).drop("_within", "_files")

@@ -14,12 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.numbers import percent_text
 from ..functions.text import fill, quoted, strip
 from .groups import rows_with_group
-
-# A message names all spellings of a name up to this many. Beyond it the message gives their
-# number, and ``spellings`` lists them as rows.
-LISTED_SPELLINGS = 1000
-
-
 def missing_columns(rows: DataFrame, data: Sequence[str], required: Sequence[str], message: str) -> DataFrame | None:
     """Required columns the table does not have: known from the schema, so no job is needed."""
     there = {c.lower().strip() for c in data}
@@ -89,26 +83,18 @@ def _varied(variants: DataFrame) -> DataFrame:
     return variants.groupBy("name").agg(F.count("*").alias("n"), F.min("first").alias("seen")).where(F.col("n") > 1)
 
 
-def inconsistent_casing(
-    rows: DataFrame, row: str, column: str, message: str, listed: int = LISTED_SPELLINGS,
-) -> DataFrame:
-    """One line per name with several spellings, which the message lists in order of appearance."""
-    variants = _variants(rows, row, column)
-    varied = _varied(variants)
-    few = varied.where(F.col("n") <= listed)
-    # at most ``listed`` spellings meet in one group here
-    ordered = F.array_sort(F.collect_list(F.struct("first", "spelling")))
-    named = (
-        rows_with_group(variants, few, "name", "n")
-        .groupBy("name", "seen").agg(F.array_join(
-            F.transform(ordered, lambda v: quoted(v["spelling"])), ", ").alias("variants"))
-        .drop("name")
-    )
-    counted = varied.where(F.col("n") > listed).select("seen", F.concat(
-        F.col("n").cast("string"), F.lit(" spellings of "), quoted(F.col("name"))).alias("variants"))
-    return named.unionByName(counted).select(
+def inconsistent_casing(rows: DataFrame, row: str, column: str, message: str) -> DataFrame:
+    """One line per name with several spellings, which the message lists in order of appearance.
+
+    Equal spellings are one record before the second shuffle; what is gathered per name is its
+    different spellings, which is the issue itself.
+    """
+    named = _variants(rows, row, column).groupBy("name").agg(
+        F.min("first").alias("seen"), F.array_sort(F.collect_list(F.struct("first", "spelling"))).alias("all"))
+    spelt = F.array_join(F.transform("all", lambda v: quoted(v["spelling"])), ", ")
+    return named.where(F.size("all") > 1).select(
         F.lit(None).cast("long").alias("row"), F.lit(column).alias("column"),
-        F.col("seen").alias("emit_ord"), fill(message, variants=F.col("variants")).alias("message"),
+        F.col("seen").alias("emit_ord"), fill(message, variants=spelt).alias("message"),
     )
 
 

@@ -357,7 +357,7 @@ def _table_rules() -> Iterable[TableRule]:
     yield TableRule(
         "required_columns", "MISSING_COLUMN", ERROR, (),
         lambda rows, row, data: table_rules.missing_columns(
-            rows, data, REQUIRED_COLUMNS, MESSAGES["MISSING_COLUMN"]))
+            rows, data, REQUIRED_COLUMNS, MESSAGES["MISSING_COLUMN"]), of_file=True)
     yield TableRule(
         "duplicate_cusips", "DUPLICATE_CUSIP", WARNING, ("cusip",),
         lambda rows, row, data: table_rules.duplicate_values(rows, row, "cusip").select(

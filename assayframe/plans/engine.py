@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prepared import add_prepared
-from .pack import ISSUE_SCHEMA, SEVERITY_RANK, RowRule, RulePack, TableRule
+from .pack import ERROR, ISSUE_SCHEMA, SEVERITY_RANK, RowRule, RulePack, TableRule
 
 
 def normalize_columns(table: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def validate(table: DataFrame, pack: RulePack, row: str = "row") -> DataFrame:
     ``row`` names the column that holds each record's position. It is not part of the data: no
     rule sees it as a value. Other columns are read as text.
     """
-    return run_checks(normalize_columns(table), pack, row)
+    return run_checks(normalize_columns(table), pack, row.lower().strip())
 
 
 def run_checks(table: DataFrame, pack: RulePack, row: str = "row") -> DataFrame:
@@ -46,7 +46,12 @@ def run_checks(table: DataFrame, pack: RulePack, row: str = "row") -> DataFrame:
             frames.append(_ranked(found, pack, rule))
     if not frames:
         return table.sparkSession.createDataFrame([], ISSUE_SCHEMA)
-    return reduce(DataFrame.unionByName, frames)
+    issues = reduce(DataFrame.unionByName, frames)
+    if any(isinstance(r, TableRule) and r.severity == ERROR and not r.of_file for r in runnable):
+        # only where a table rule names rows as well: which error of a row is its first takes a shuffle
+        first = Window.partitionBy("row").orderBy("sev_rank", "check_ord", "emit_ord")
+        issues = issues.withColumn("first_error", (F.row_number().over(first) == 1) & (F.col("severity") == ERROR) & F.col("row").isNotNull())
+    return issues
 
 
 def _emit_order(pack: RulePack) -> dict[int, int]:
@@ -68,6 +73,9 @@ def _row_issues(rows: DataFrame, pack: RulePack, rules: list[RowRule], row: str)
     prepared = add_prepared(rows, needed, pack.prepared)
     tested = F.array(*[F.when(r.fires(), F.lit(i)).otherwise(F.lit(-1)) for i, r in enumerate(rules)])
     fired = prepared.withColumn("_fired", F.array_remove(tested, -1))
+    errors = [i for i, r in enumerate(rules) if r.severity == ERROR]
+    first_error = F.get(F.array_intersect("_fired", F.lit(errors)), 0) if errors else F.lit(None).cast("int")
+    fired = fired.withColumn("_first_error", first_error)
     # not the inner form: for that one the optimizer tests the array's size in a filter at the scan
     # and works out every rule twice
     hits = fired.select("*", F.explode_outer("_fired").alias("_rule")).where(F.col("_rule").isNotNull())
@@ -86,6 +94,7 @@ def _row_issues(rows: DataFrame, pack: RulePack, rules: list[RowRule], row: str)
         constant([SEVERITY_RANK[r.severity] for r in rules]).alias("sev_rank"),
         constant([pack.checks.index(r.check) for r in rules]).alias("check_ord"),
         constant([order[id(r)] for r in rules]).cast("long").alias("emit_ord"),
+        F.coalesce(F.col("_rule") == F.col("_first_error"), F.lit(False)).alias("first_error"),
     )
 
 
@@ -95,5 +104,5 @@ def _ranked(issues: DataFrame, pack: RulePack, rule: TableRule) -> DataFrame:
         F.lit(rule.severity).alias("severity"), F.lit(rule.rule).alias("rule"), "message",
         F.lit(SEVERITY_RANK[rule.severity]).alias("sev_rank"),
         F.lit(pack.checks.index(rule.check)).alias("check_ord"),
-        F.col("emit_ord").cast("long").alias("emit_ord"),
+        F.col("emit_ord").cast("long").alias("emit_ord"), F.lit(False).alias("first_error"),
     )

@@ -22,6 +22,7 @@ ISSUE_SCHEMA = T.StructType([
     T.StructField("sev_rank", T.IntegerType()),
     T.StructField("check_ord", T.IntegerType()),
     T.StructField("emit_ord", T.LongType()),
+    T.StructField("first_error", T.BooleanType()),
 ])
 
 
@@ -48,7 +49,8 @@ class TableRule:
 
     The function gets the rows, the name of the position column and the names of the data
     columns. It returns a frame of row, column, message and emit_ord (the order of the issues
-    within the rule), or None where the plan alone shows that there are none.
+    within the rule), or None where the plan alone shows that there are none. ``of_file`` says that
+    its issues name no row.
     """
 
     check: str
@@ -56,6 +58,7 @@ class TableRule:
     severity: str
     needs: tuple[str, ...]
     issues: Callable[[DataFrame, str, list[str]], DataFrame | None]
+    of_file: bool = False
 
 
 @dataclass(frozen=True)
@@ -75,17 +78,19 @@ class RulePack:
 
     def only(
         self, checks: Iterable[str] | None = None, rules: Iterable[str] | None = None,
-        severity: str | None = None,
+        severity: str | None = None, named_like: str | None = None,
     ) -> "RulePack":
         """A pack of the named checks or rules: what is not asked for is never planned.
 
-        Checks keep their numbers, so the issues sort as they would with the full pack.
+        ``named_like`` keeps rules whose name contains it; case does not matter. Checks keep their
+        numbers, so the issues sort as they would with the full pack.
         """
         def wanted(r: RowRule | TableRule) -> bool:
             return (
                 (checks is None or r.check in set(checks))
                 and (rules is None or r.rule in set(rules))
                 and (severity is None or r.severity == severity.lower())
+                and (named_like is None or named_like.upper() in r.rule.upper())
             )
 
         return replace(self, rules=tuple(r for r in self.rules if wanted(r)))

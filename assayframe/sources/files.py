@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import NULL_TOKENS, blank_tokens_to_null
 from ..operators.positions import number_file_rows, number_parquet_rows, shared_folder
@@ -19,51 +20,79 @@ def scan_csv(
 
     ``quoted_newlines`` allows line breaks inside quotes; Spark then cannot split a file.
     """
-    _check_header(spark, path)
-    table = _reader(spark, quoted_newlines).csv(path)
-    return table.select(*[
-        blank_tokens_to_null(F.col(f"`{c}`"), null_tokens).alias(c) for c in table.columns])
+    table, names = _records(spark, path, quoted_newlines)
+    return _whole(table, names).select(*[blank_tokens_to_null(F.col(f"`{c}`"), null_tokens).alias(c) for c in names])
 
 
 def read_csv(
     spark: SparkSession, path: str | list[str], quoted_newlines: bool = False,
     null_tokens: tuple[str, ...] = NULL_TOKENS, row: str = "row",
 ) -> DataFrame:
-    """As ``scan_csv``, with the row number first."""
-    _check_header(spark, path)
-    numbered = number_file_rows(_reader(spark, quoted_newlines).csv(path), row)
-    return numbered.select(row, *[
-        blank_tokens_to_null(F.col(f"`{c}`"), null_tokens).alias(c) for c in numbered.columns if c != row])
+    """As ``scan_csv``, with the row number first, in a column that the files must not have."""
+    table, names = _records(spark, path, quoted_newlines)
+    _free(names, row)
+    numbered = _whole(number_file_rows(table, row), names)
+    return numbered.select(row, *[blank_tokens_to_null(F.col(f"`{c}`"), null_tokens).alias(c) for c in names])
 
 
 def read_parquet(spark: SparkSession, path: str | list[str], row: str = "row") -> DataFrame:
     paths = [path] if isinstance(path, str) else path
-    return number_parquet_rows(spark.read.parquet(*paths), row)
+    table = spark.read.parquet(*paths)
+    _free(table.columns, row)
+    return number_parquet_rows(table, row)
 
 
-def staged(table: DataFrame) -> DataFrame:
-    """The table written once as Parquet to the shared folder and read back.
+def staged(table: DataFrame, path: str | None = None) -> DataFrame:
+    """The table written once as Parquet and read back.
+
+    ``path`` must not exist yet; without one, a folder in the shared folder is made. Nothing
+    deletes it: it may be read as long as the session lasts.
 
     A validation reads its input once for all row rules and again for every table rule. For a
     Parquet table those are scans of a few columns. A CSV file would be parsed in full each time:
     stage it first.
     """
-    path = f"{shared_folder(table.sparkSession)}/staged-{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(table.sparkSession)}/staged-{uuid.uuid4().hex}"
     table.write.parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
-def _reader(spark: SparkSession, quoted_newlines: bool):
-    return (
-        spark.read.option("header", True).option("escape", '"').option("multiLine", quoted_newlines)
-        .option("nullValue", "").option("emptyValue", "")
-    )
+# A column for the text of records whose number of fields is not that of the header.
+_ODD = "_odd_record"
+_QUOTES = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
 
+def _records(spark: SparkSession, path: str | list[str], quoted_newlines: bool) -> tuple[DataFrame, list[str]]:
+    """The scan, with the column ``_ODD``, and the names of its other columns.
 
-def _check_header(spark: SparkSession, path: str | list[str]) -> None:
-    """Raise where two header fields differ only in case or spaces (Spark would rename them)."""
-    raw = spark.read.option("header", False).option("escape", '"').csv(path).limit(1)
-    fields = [f.lower().strip() for line in raw.collect() for f in line if f is not None]
-    twice = sorted({f for f in fields if fields.count(f) > 1})
+    All files must have the header of the first: Spark would bind other columns by position, so
+    it is told to compare every header and to stop at one that differs.
+    """
+    lines = {"multiLine": str(quoted_newlines).lower()}
+    raw = spark.read.options(**_QUOTES, **lines).csv(path).limit(1).collect()
+    names = [str(f) for f in raw[0]] if raw else []
+    folded = [f.lower().strip() for f in names]
+    twice = sorted({f for f in folded if folded.count(f) > 1})
     if twice:
         raise ValueError(f"the header names a column more than once: {', '.join(twice)}")
+    schema = StructType([StructField(n, StringType()) for n in (*names, _ODD)])
+    reader = spark.read.schema(schema).options(**_QUOTES, **lines, header="true", enforceSchema="false", mode="PERMISSIVE",
+                                               columnNameOfCorruptRecord=_ODD, nullValue="", emptyValue="")
+    return reader.csv(path), names
+
+
+def _whole(records: DataFrame, names: list[str]) -> DataFrame:
+    """Stops at a record with more fields than the header; one with fewer is filled up with nulls.
+
+    Only records whose number of fields differs are looked at again: their commas outside quotes
+    are counted.
+    """
+    bare = F.regexp_replace(F.col(_ODD), r'"(?:[^"]|"")*"', "")
+    message = F.concat(F.lit("a record has more fields than the header: "), F.col(_ODD))
+    fits = F.when(F.regexp_count(bare, F.lit(",")) < len(names), True).otherwise(F.raise_error(message).cast("boolean"))
+    return records.where(F.when(F.col(_ODD).isNull(), True).otherwise(fits)).drop(_ODD)
+
+
+def _free(names: list[str], row: str) -> None:
+    if row.lower().strip() in {n.lower().strip() for n in names}:
+        raise ValueError(f"the table has a column {row!r} of its own: pass another name for the position as row=")

@@ -8,23 +8,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.issues import issue_log, sorted_issues
-from ..operators.summary import column_stats, rule_counts, summary
+from ..operators.positions import durable
+from ..operators.summary import column_stats, per_rule, summary
 
 
-def report(issues: DataFrame, rows: DataFrame, total_columns: int, checks: int, file_name: str,
+def report(profile: DataFrame, rows: DataFrame, total_columns: int, checks: int, file_name: str,
            generated_at: datetime) -> DataFrame:
-    """One row: totals, issues per rule and issues per column.
+    """One row: totals, issues per rule (most frequent first) and issues per column.
 
-    Each part is a line of its own with the other parts null; ``max`` brings the three together,
-    and only these small aggregates meet. The issues themselves are written by ``write_issues``.
+    ``profile`` is that of :func:`assayframe.operators.summary.profile`; it has a few rows per rule and
+    is kept in the shared folder, since each of the three parts reads it. Each part is a line of its
+    own with the others null. The issues themselves are written by ``write_issues``.
     """
-    totals = summary(issues, rows, total_columns, checks, file_name).select(F.struct(
+    profile = durable(profile)
+    totals = summary(profile, rows, total_columns, checks, file_name).select(F.struct(
         "total_rows", "total_columns", "validators_run", "errors", "warnings", "info", "pass_rate").alias("summary"))
     # at most one entry per rule, and one per column
-    by_rule = rule_counts(issues).agg(F.map_from_entries(F.sort_array(
-        F.collect_list(F.struct("rule", "n")))).alias("by_rule"))
-    by_column = column_stats(issues).agg(F.map_from_entries(F.collect_list(
-        F.struct("column", F.struct("errors", "warnings", "info")))).alias("by_column"))
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "seen", "rule")))
+    by_rule = per_rule(profile).agg(F.map_from_entries(F.transform(
+        ranked, lambda r: F.struct(r["rule"], -r["less"]))).alias("by_rule"))
+    by_column = column_stats(profile).agg(F.map_from_entries(F.sort_array(F.collect_list(
+        F.struct("column", F.struct("errors", "warnings", "info"))))).alias("by_column"))
     parts = totals.unionByName(by_rule, allowMissingColumns=True).unionByName(by_column, allowMissingColumns=True)
     return parts.agg(
         F.lit(file_name).alias("file_name"), F.lit(generated_at.isoformat()).alias("generated_at"),
@@ -36,7 +40,10 @@ def write_report(document: DataFrame, path: str) -> None:
 
 
 def write_issues(issues: DataFrame, path: str, form: str = "json", ordered: bool = True) -> None:
-    """All issues, in parallel; ``ordered`` sorts them across the files of the folder."""
+    """All issues, in parallel; ``ordered`` sorts them across the files of the folder.
+
+    Where more than one output is made of the same issues, pass stored ones (``staged``).
+    """
     shown = (sorted_issues(issues) if ordered else issues).select("row", "column", "severity", "rule", "message")
     shown.write.mode("overwrite").format(form).save(path)
 

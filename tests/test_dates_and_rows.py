@@ -89,5 +89,5 @@ def test_parquet_and_sorted_row_numbers(spark, tmp_path):
 def test_hot_groups_lose_no_rows(spark, largest):
     rows = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 20).alias("k"))
     groups = rows.groupBy("k").agg(F.count("*").alias("n")).where("k < 10")
-    got = rows_with_group(rows, groups, "k", "n", largest)
+    got = rows_with_group(rows, groups, "k", "n", largest, 10)
     assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in rows.where("k < 10").collect())

@@ -6,7 +6,7 @@ from assayframe.plans.bonds import (
     BOND_TYPES, CHECKS, COUPON_RANGES, MAX_TERM_YEARS, PAR_RANGES, REQUIRED_COLUMNS, STATE_CODES, STATE_NAMES,
 )
 
-from .securities import LETTERS, STATES, TYPES
+from .securities import AS_OF, LETTERS, STATES, TYPES
 
 COLUMNS = ", ".join(REQUIRED_COLUMNS)
 
@@ -41,9 +41,8 @@ base AS (
     {_list(code for _, code in STATES)}[c_nationkey + 1] AS scode,
     {_list(code for _, code in STATES)}[(c_nationkey + 1) % 25 + 1] AS wrong,
     CASE WHEN o_orderkey % 43 = 0 THEN concat('ABCDEF', lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0'))
-         WHEN o_orderkey % 47 = 0 THEN concat(lpad(CAST(o_orderkey AS VARCHAR), 6, '0'), '00')
-         ELSE concat(lpad(CAST(o_orderkey AS VARCHAR), 6, '0'), substr('{LETTERS}', CAST(o_orderkey % 24 + 1 AS INTEGER), 1),
-                     CAST(o_orderkey % 7 + 1 AS VARCHAR)) END AS body
+         WHEN o_orderkey % 47 = 0 THEN concat(upper(to_base(o_orderkey // 47, 36, 6)), '00')
+         ELSE concat(upper(to_base(o_orderkey, 36, 7)), substr('{LETTERS}', CAST(o_orderkey % 24 + 1 AS INTEGER), 1)) END AS body
   FROM orders JOIN customer ON o_custkey = c_custkey),
 once AS (
   SELECT k,
@@ -69,8 +68,8 @@ once AS (
          ELSE {_list(TYPES)}[k % 12 + 1] END AS bond_type
   FROM base),
 securities AS (
-  SELECT k + 2 AS row_id, {COLUMNS} FROM once
-  UNION ALL SELECT k + 2 + 10000000, {COLUMNS} FROM once WHERE k % 151 = 0)"""
+  SELECT 2 * k + 2 AS row_id, {COLUMNS} FROM once
+  UNION ALL SELECT 2 * k + 3, {COLUMNS} FROM once WHERE k % 151 = 0)"""
 
 PARSED = f"""
 parsed AS (
@@ -239,6 +238,19 @@ def queries() -> dict[str, str]:
         {_RATE} AS pass_rate, errors = 0 AND warnings = 0 AS is_clean, errors > 0 AS has_errors,
         CASE WHEN {_RATE} >= 90 THEN 'good' WHEN {_RATE} >= 60 THEN 'fair' ELSE 'poor' END AS band
       FROM totals, counts"""
+    found["csv_rows"] = f"""WITH {SECURITIES} SELECT CAST(row_number() OVER (ORDER BY row_id) + 1 AS BIGINT) AS row,
+      CAST(row_id AS VARCHAR) AS row_id, {", ".join(f"CASE WHEN {c} NOT IN ('', 'N/A') THEN {c} END AS {c}" for c in REQUIRED_COLUMNS)}
+      FROM securities"""
+    found["report_document"] = f"""{ISSUES}, {_TOTALS}, counts AS (SELECT {_COUNTS} FROM issues),
+      placed AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS place FROM issues),
+      rules AS (SELECT rule, count(*) AS n, min(place) AS seen FROM placed GROUP BY rule),
+      cols AS (SELECT "column" AS c, {_COUNTS} FROM issues WHERE "column" IS NOT NULL GROUP BY "column")
+      SELECT 'securities' AS file_name, '{AS_OF.isoformat()}' AS generated_at, total_rows, 8 AS total_columns, 17 AS validators_run,
+        errors, warnings, info, {_RATE} AS pass_rate,
+        (SELECT '{{' || string_agg('"' || rule || '":' || n, ',' ORDER BY n DESC, seen) || '}}' FROM rules) AS by_rule,
+        (SELECT '{{' || string_agg('"' || c || '":{{"errors":' || errors || ',"warnings":' || warnings || ',"info":' || info || '}}', ',' ORDER BY c)
+          || '}}' FROM cols) AS by_column
+      FROM totals, counts"""
     found["rule_counts"] = f"{ISSUES} SELECT rule, CAST(count(*) AS BIGINT) AS n FROM issues GROUP BY rule ORDER BY n DESC"
     found["rule_severity"] = f"""{ISSUES} SELECT rule, CAST(count(*) AS BIGINT) AS n,
       ['error', 'warning', 'info'][min(sev_rank) + 1] AS severity FROM issues GROUP BY rule"""

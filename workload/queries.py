@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cache
 
@@ -11,13 +12,14 @@ from pyspark.sql import functions as F
 from assayframe.functions.prepared import add_prepared
 from assayframe.operators import issues as issue_ops
 from assayframe.operators import summary as counts
-from assayframe.operators.positions import number_sorted_rows
+from assayframe.operators.positions import number_sorted_rows, shared_folder
 from assayframe.operators.table_rules import spellings
 from assayframe.plans.bonds import CHECKS, REQUIRED_COLUMNS, bond_pack
 from assayframe.plans.engine import normalize_columns, validate
 from assayframe.plans.pack import RulePack
 from assayframe.session import tune
-from assayframe.sources.files import read_parquet
+from assayframe.sources.files import read_csv, read_parquet, staged
+from assayframe.sources.reports import report
 
 from .securities import AS_OF, securities
 
@@ -75,10 +77,19 @@ def _rule_query(rules: tuple[str, ...]) -> Query:
     return lambda spark, sf_dir: _shown(_issues(spark, sf_dir, rules))
 
 
+def _narrowed(**wanted: str) -> Query:
+    """The filter narrows the pack: only the wanted rules are tested."""
+    return lambda spark, sf_dir: _shown(validate(securities(tune(spark), sf_dir), pack_of(spark).only(**wanted), ROW))
+
+
 def _counted(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(_issues(spark, sf_dir))
 
 
+def _profiled(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(counts.profile(_issues(spark, sf_dir)))
+
+
 def _normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = securities(tune(spark), sf_dir)
     return normalize_columns(table.toDF(*[f" {c.upper()} " for c in table.columns]))
@@ -117,15 +128,30 @@ def _missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = securities(spark, sf_dir)
-    return counts.summary(_issues(spark, sf_dir), table, len(REQUIRED_COLUMNS), len(CHECKS), "securities")
+    return counts.summary(counts.profile(_issues(spark, sf_dir)), table, len(REQUIRED_COLUMNS), len(CHECKS), "securities")
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report document, its maps as text."""
+    table = securities(spark, sf_dir)
+    document = report(counts.profile(_issues(spark, sf_dir)), table, len(REQUIRED_COLUMNS), len(CHECKS), "securities", AS_OF)
+    return document.select("file_name", "generated_at", "summary.*", F.to_json("by_rule").alias("by_rule"), F.to_json("by_column").alias("by_column"))
+
+
+def _csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived table written as CSV in several files, nulls as a null token, and read back with row numbers."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    table = securities(tune(spark), sf_dir).repartitionByRange(4, ROW).sortWithinPartitions(ROW)
+    table.write.options(header=True, nullValue="NULL", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"').csv(path)
+    return read_csv(spark, path)
 
 
 def _sorted(issues: DataFrame) -> DataFrame:
-    return issue_ops.sorted_issues(issues).drop("message")
+    return issue_ops.sorted_issues(issues).drop("message", "first_error")
 
 
 def _top(issues: DataFrame) -> DataFrame:
-    return issue_ops.first_issues(issues, 50).select("row", "column", "severity", "rule", "left_out")
+    return issue_ops.first_issues(staged(issues), 50).select("row", "column", "severity", "rule", "left_out")
 
 
 def queries() -> dict[str, Query]:
@@ -133,6 +159,7 @@ def queries() -> dict[str, Query]:
         "normalize_columns": _normalize,
         "row_numbers": _row_numbers,
         "file_row_numbers": _file_row_numbers,
+        "csv_rows": _csv_rows,
         "parse_numbers": _parse_numbers,
         "parse_dates": _parse_dates,
         **{key: _rule_query(rules) for key, rules in RULES_OF.items()},
@@ -140,17 +167,18 @@ def queries() -> dict[str, Query]:
         "missing_columns": _missing_columns,
         "all_issues": _counted(_shown),
         "issues_sorted": _counted(_sorted),
-        "filter_severity": _counted(lambda i: _shown(issue_ops.filter_issues(i, severity="error"))),
-        "filter_rule": _counted(lambda i: _shown(issue_ops.filter_issues(i, rule="cusip"))),
+        "filter_severity": _narrowed(severity="error"),
+        "filter_rule": _narrowed(named_like="cusip"),
         "top_issues": _counted(_top),
         "issue_log": _counted(lambda i: issue_ops.issue_log(i).drop("description")),
-        "severity_counts": _counted(counts.severity_counts),
-        "pass_rate": lambda spark, sf_dir: counts.pass_rate(_issues(spark, sf_dir), securities(spark, sf_dir)),
+        "severity_counts": _profiled(counts.severity_counts),
+        "pass_rate": lambda spark, sf_dir: counts.pass_rate(counts.profile(_issues(spark, sf_dir)), securities(spark, sf_dir)),
         "summary": _summary,
-        "rule_counts": _counted(counts.rule_counts),
-        "rule_severity": _counted(counts.rule_severity),
-        "rule_share": _counted(counts.rule_share),
-        "column_stats": _counted(counts.column_stats),
-        "column_health": _counted(lambda i: counts.column_health(i, REQUIRED_COLUMNS)),
-        "column_overview": _counted(counts.column_overview),
+        "report_document": _report,
+        "rule_counts": _profiled(counts.rule_counts),
+        "rule_severity": _profiled(counts.rule_severity),
+        "rule_share": _profiled(counts.rule_share),
+        "column_stats": _profiled(counts.column_stats),
+        "column_health": _profiled(lambda p: counts.column_health(p, REQUIRED_COLUMNS)),
+        "column_overview": _profiled(counts.column_overview),
     }

@@ -20,7 +20,6 @@ AS_OF = datetime(2024, 1, 1)
 STATES = [(" ".join(w.capitalize() for w in name.split()), code) for name, code in STATE_NAMES.items()][:25]
 TYPES = ("GO", "REV", "CD", "BAB", "IDR", "TAN", "BAN", "RAN", "TRAN", "COPS", "HFA", "OTHER")
 LETTERS = "ABCDEFGHJKLMNPQRSTUVWXYZ"
-DUPLICATE_SHIFT = 10_000_000
 
 
 def _first(*cases: tuple[int, Column | str | None], otherwise: Column | str) -> Column:
@@ -41,6 +40,11 @@ def _padded(number: Column, width: int) -> Column:
     return F.lpad(number.cast("string"), width, "0")
 
 
+def _coded(number: Column, width: int) -> Column:
+    """The number to base 36: different up to 36 ** width."""
+    return F.lpad(F.conv(number.cast("string"), 10, 36), width, "0")
+
+
 _STAGED: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -70,13 +74,12 @@ def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     city, state = (c % 40).cast("string"), _pick([name for name, _ in STATES], s)
     name = F.concat(F.lit("City "), city, F.lit(" of "), state)
     body = _first(
-        (43, F.concat(F.lit("ABCDEF"), _padded(k % 100, 2))), (47, F.concat(_padded(k, 6), F.lit("00"))),
-        otherwise=F.concat(_padded(k, 6), F.substring(F.lit(LETTERS), (k % 24 + 1).cast("int"), F.lit(1)),
-                           (k % 7 + 1).cast("string")))
+        (43, F.concat(F.lit("ABCDEF"), _padded(k % 100, 2))), (47, F.concat(_coded(F.floor(k / 47), 6), F.lit("00"))),
+        otherwise=F.concat(_coded(k, 7), F.substring(F.lit(LETTERS), (k % 24 + 1).cast("int"), F.lit(1))))
     month = F.date_format("day", "-MM-01")
 
     table = base.withColumn("body", body).withColumn("digit", check_digit(F.col("body"))).select(
-        F.explode(F.when(k % 151 == 0, F.array(F.lit(0), F.lit(DUPLICATE_SHIFT))).otherwise(F.array(F.lit(0)))).alias("again"),
+        F.explode(F.when(k % 151 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again"),
         k,
         _first((19, None), (17, F.substring("body", 1, 7)),
                (13, F.concat("body", ((F.col("digit").cast("int") + 1) % 10).cast("string"))),
@@ -95,5 +98,5 @@ def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise((k % 36).cast("string")).alias("coupon_rate"),
         _first((139, "XYZ"), (149, " go "), (157, "  "), (194, None), otherwise=_pick(list(TYPES), k % 12)).alias("bond_type"),
     )
-    return table.withColumn("row_id", k + 2 + F.col("again")).select(
+    return table.withColumn("row_id", 2 * k + 2 + F.col("again")).select(
         "row_id", "cusip", "issuer_name", "state", "issue_date", "maturity_date", "par_value", "coupon_rate", "bond_type")
