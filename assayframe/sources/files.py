@@ -68,7 +68,8 @@ def _records(spark: SparkSession, path: str | list[str], quoted_newlines: bool)
     All files must have the header of the first: Spark would bind other columns by position, so
     it is told to compare every header and to stop at one that differs.
     """
-    lines = {"multiLine": str(quoted_newlines).lower()}
+    # whole records are parsed: else the number of fields would go unseen where few columns are read
+    lines = {"multiLine": str(quoted_newlines).lower(), "columnPruning": "false"}
     raw = spark.read.options(**_QUOTES, **lines).csv(path).limit(1).collect()
     names = [str(f) for f in raw[0]] if raw else []
     folded = [f.lower().strip() for f in names]

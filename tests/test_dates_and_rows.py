@@ -77,6 +77,41 @@ def test_header_collision(spark, tmp_path):
         read_csv(spark, str(tmp_path / "x.csv"))
 
 
+def csv_folder(path, **files):
+    path.mkdir()
+    for name, text in files.items():
+        (path / f"{name}.csv").write_text(text)
+    return str(path)
+
+
+def test_csv_is_bound_by_name_or_refused(spark, tmp_path):
+    other = csv_folder(tmp_path / "order", a="cusip,state\nA,TX\n", b="state,cusip\nNY,B\n")
+    with pytest.raises(Exception, match="header|FAILED_READ_FILE"):
+        read_csv(spark, other).collect()
+    longer = csv_folder(tmp_path / "long", a="cusip,state\nA,TX\nB,NY,extra,more\n")
+    with pytest.raises(Exception, match="more fields"):
+        read_csv(spark, longer).select("cusip").collect()
+    shorter = csv_folder(tmp_path / "short", a='cusip,state\n"A, B"\n"C ""x""", \n')
+    assert [tuple(r) for r in read_csv(spark, shorter).orderBy("row").collect()] == [(2, "A, B", None), (3, 'C "x"', " ")]
+    taken = csv_folder(tmp_path / "row", a="Row,cusip\n9,A\n")
+    with pytest.raises(ValueError, match="row="):
+        read_csv(spark, taken)
+    assert [tuple(r) for r in read_csv(spark, taken, row="line").collect()] == [(2, "9", "A")]
+    spark.range(3).withColumnRenamed("id", "row").write.parquet(str(tmp_path / "p"))
+    with pytest.raises(ValueError, match="row="):
+        read_parquet(spark, str(tmp_path / "p"))
+
+
+def test_shared_folder_is_required_off_this_machine(monkeypatch):
+    from types import SimpleNamespace
+
+    from assayframe.operators.positions import shared_folder
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: {}, master="yarn")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context))
+
+
 def test_parquet_and_sorted_row_numbers(spark, tmp_path):
     spark.range(1000).repartitionByRange(4, "id").sortWithinPartitions("id").write.parquet(str(tmp_path / "t"))
     numbered = read_parquet(spark, str(tmp_path / "t"))
