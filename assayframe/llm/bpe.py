@@ -27,7 +27,7 @@ from .pieces import PieceIds
 
 LONG_WORD = 64
 # Bytes of text, and number of tokens, that one query handles.
-BATCH_BYTES, BATCH_TOKENS = 4 << 20, 500_000
+BATCH_BYTES, BATCH_TOKENS = 4 << 20, 250_000
 
 _ENCODE = """
 WITH RECURSIVE step(word, tokens, round) AS (

@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import put, slices, small, stored, text_bytes, text_key, with_fields
 
 ORDER, START = 5, 2
+# Small counts can give a discount of 0; then a context would leave nothing to what it has not seen.
+LEAST_DISCOUNT = 0.1
 # Entries of the model that one pass sends to all tasks (16 bytes each).
 ENTRIES = 8_000_000
 # One trusted document in so many is held out to set the threshold, which is this quantile of them.
@@ -87,7 +89,7 @@ def _discounts(table: DataFrame) -> DataFrame:
 
     def discount(i: int) -> Column:
         exact = i - (i + 1) * y * F.try_divide(F.col(f"_n{i + 1}"), F.col(f"_n{i}"))
-        return F.greatest(F.lit(0.0), F.least(F.lit(float(i)), F.coalesce(exact, F.lit(0.5)))).alias(f"d{i}")
+        return F.greatest(F.lit(LEAST_DISCOUNT), F.least(F.lit(float(i)), F.coalesce(exact, F.lit(0.5)))).alias(f"d{i}")
 
     return of.select(F.col("lang").alias("_lang"), discount(1), discount(2), discount(3))
 

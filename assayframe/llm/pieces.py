@@ -16,7 +16,7 @@ _ODD_SPACE = regex.compile(r" (?=\s)| \Z")
 _COARSE = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 # A worker forgets its pieces when it has seen so many different ones (some 100 MB).
-KNOWN_PIECES = 500_000
+KNOWN_PIECES = 400_000
 
 
 class PieceIds(dict):

@@ -59,6 +59,11 @@ class _Powers:
                                     for b in (_BASE, pow(_BASE, -1, 1 << 64)))
         return cls.up[:n], cls.down[:n]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Workers serve other operators after this one."""
+        cls.up = cls.down = np.ones(1, np.uint64)
+
 
 class Words:
     """Words in one buffer, separated by single spaces, with hashes of any slice of it."""
@@ -214,6 +219,7 @@ def _pack(frequent: np.ndarray, buckets: int, window: int):
                     out["rows"].append(shrink.compress(places.astype("<i8").tobytes()))
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int32()), "strings": pa.array(out["strings"], pa.binary()),
                                                   "rows": pa.array(out["rows"], pa.binary())})
+        _Powers.forget()
 
     return run
 

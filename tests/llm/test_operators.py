@@ -294,7 +294,7 @@ def plain_kneser_ney(trusted, order=perplexity.ORDER):
     for n, table in tables.items():
         c = collections.Counter(table.values())
         y = c[1] / (c[1] + 2 * c[2]) if c[1] + 2 * c[2] else None
-        cuts[n] = [0.0] + [min(i, max(0.0, i - (i + 1) * y * c[i + 1] / c[i])) if y is not None and c[i] else 0.5 for i in (1, 2, 3)]
+        cuts[n] = [0.0] + [min(i, max(0.1, i - (i + 1) * y * c[i + 1] / c[i])) if y is not None and c[i] else 0.5 for i in (1, 2, 3)]
 
     def probability(gram, n=order):
         if n == 0:
