@@ -163,6 +163,20 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+_OP9 = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT r, i, array_to_string(ws[i:i + 34], ' ') AS w FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM docs)),
+twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY w) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM twice),
+kept AS (
+  SELECT r, string_agg(w, ' ' ORDER BY j) AS text FROM (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS j FROM docs)
+  ANTI JOIN gone USING (r, j) GROUP BY r),
+removed AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r) LEFT JOIN removed USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_toxicity": op1_toxicity, "op2_byte_bpe": op2_byte_bpe, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_license_scan": op5_license_scan,
             "op6_simhash": op6_simhash, "op7_quality_rules": op7_quality_rules, "op8_token_files": op8_token_files, "op9_substrings": op9_substrings,
@@ -170,4 +184,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": _OP4, "op5_license_scan": _OP5, "op7_quality_rules": _OP7}
+    return {"op4_mixing": _OP4, "op5_license_scan": _OP5, "op7_quality_rules": _OP7, "op9_substrings": _OP9}
