@@ -172,38 +172,50 @@ def _codec(path: str, pattern: str) -> _Codec:
     return _codecs[path, pattern]
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], codec: _Codec, text: str) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, text, BATCH_BYTES):
+        ids = codec.encode(batch.column(text).fill_null("").to_pylist())
+        yield put(batch, ids=pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary()),
+                  n_tokens=pa.array([len(i) for i in ids], pa.int64()))
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], codec: _Codec) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "ids", 4 * BATCH_TOKENS):
+        parts, owner = [], []
+        for row, ids in enumerate(batch.column("ids").fill_null(b"").to_pylist()):
+            numbers = np.frombuffer(ids, "<u4")
+            cuts = range(0, len(numbers), BATCH_TOKENS)
+            parts += [numbers[c:c + BATCH_TOKENS] for c in cuts]
+            owner += [row] * len(cuts)
+        out: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
+        for row, some in zip(owner, _in_turn(codec, parts), strict=True):
+            out[row].append(some)
+        yield put(batch, decoded=pa.array([b"".join(x) for x in out], pa.binary()))
+
+
+_IDS, _BYTES = (("ids", "binary"), ("n_tokens", "long")), (("decoded", "binary"),)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """Add ``ids`` (the token ids as little-endian unsigned 32-bit integers) and ``n_tokens``.
 
     ``path`` is a rank file that every executor can open; ``pattern`` cuts a text into words.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path, pattern)
-        for batch in slices(batches, text, BATCH_BYTES):
-            ids = codec.encode(batch.column(text).fill_null("").to_pylist())
-            yield put(batch, ids=pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary()),
-                      n_tokens=pa.array([len(i) for i in ids], pa.int64()))
-
-    return docs.mapInArrow(run, with_fields(docs.schema, ("ids", "binary"), ("n_tokens", "long")))
+    return docs.mapInArrow(lambda batches: _encoded(batches, _codec(path, pattern), text), with_fields(docs.schema, *_IDS))
 
 
 def decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Add ``decoded``, the bytes that the column ``ids`` stands for; null ids give no bytes."""
+    return docs.mapInArrow(lambda batches: _decoded(batches, _codec(path, pattern)), with_fields(docs.schema, *_BYTES))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """Encode and decode in one worker: what ``decode(encode(...))`` gives, with one codec in memory for each task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern)
-        for batch in slices(batches, "ids", 4 * BATCH_TOKENS):
-            parts, owner = [], []
-            for row, ids in enumerate(batch.column("ids").fill_null(b"").to_pylist()):
-                numbers = np.frombuffer(ids, "<u4")
-                cuts = range(0, len(numbers), BATCH_TOKENS)
-                parts += [numbers[c:c + BATCH_TOKENS] for c in cuts]
-                owner += [row] * len(cuts)
-            out: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
-            for row, some in zip(owner, _in_turn(codec, parts), strict=True):
-                out[row].append(some)
-            yield put(batch, decoded=pa.array([b"".join(x) for x in out], pa.binary()))
-
-    return docs.mapInArrow(run, with_fields(docs.schema, ("decoded", "binary")))
+        yield from _decoded(_encoded(batches, codec, text), codec)
+
+    return docs.mapInArrow(run, with_fields(docs.schema, *_IDS, *_BYTES))
 
 
 def _in_turn(codec: _Codec, parts: list[np.ndarray]) -> Iterator[bytes]:

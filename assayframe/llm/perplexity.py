@@ -35,7 +35,7 @@ ORDER, START = 5, 2
 # Small counts can give a discount of 0; then a context would leave nothing to what it has not seen.
 LEAST_DISCOUNT = 0.1
 # Entries of the model that one pass sends to all tasks (16 bytes each).
-ENTRIES = 8_000_000
+ENTRIES = 4_000_000
 # One trusted document in so many is held out to set the threshold, which is this quantile of them.
 HELD_OUT, QUANTILE = 5, 0.99
 BATCH_BYTES = 4 << 20
@@ -120,13 +120,21 @@ def train(trusted: DataFrame) -> DataFrame:
 class Shards:
     """Some shards of a model, as sorted arrays by language, order and kind."""
 
-    def __init__(self, table: pd.DataFrame) -> None:
-        self.parts = {}
-        for key, rows in table.groupby(["lang", "order", "context"]):
-            order = np.argsort(rows["gram"].to_numpy(), kind="stable")
-            self.parts[key] = rows["gram"].to_numpy(np.int64)[order], rows["value"].to_numpy(np.float64)[order]
-        mine = table[["lang", "shard"]].drop_duplicates()
-        self.held = {name: set(rows["shard"]) for name, rows in mine.groupby("lang")}
+    def __init__(self, table: pa.Table, held: dict[str, set[int]]) -> None:
+        """``held`` has the shards by language; the rows of ``table`` become arrays, none an object."""
+        self.held, self.parts = held, {}
+        if not table.num_rows:
+            return
+        names = table["lang"].combine_chunks().dictionary_encode()
+        order, context = table["order"].to_numpy().astype(np.int64), table["context"].to_numpy().astype(np.int64)
+        part = (names.indices.to_numpy().astype(np.int64) * (ORDER + 1) + order) * 2 + context
+        grams, values = table["gram"].to_numpy(), table["value"].to_numpy()
+        ranked = np.lexsort((grams, part))
+        bounds = np.flatnonzero(np.concatenate([[True], np.diff(part[ranked]) != 0, [True]]))
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            one = ranked[a]
+            key = names.dictionary[int(names.indices[one].as_py())].as_py(), int(order[one]), bool(context[one])
+            self.parts[key] = grams[ranked[a:b]], values[ranked[a:b]]
 
     def _find(self, key: tuple, grams: np.ndarray, default: float) -> np.ndarray:
         if key not in self.parts:
@@ -201,9 +209,8 @@ def perplexities(docs: DataFrame, model: DataFrame, entries: int = ENTRIES) -> D
         wanted = F.lit(False)
         for name, held in names.items():
             wanted = wanted | ((F.col("lang") == name) & F.col("shard").isin(-1, *held))
-        table = model.where(wanted).toArrow().to_pandas()
-        shards = Shards(table)
-        shards.held = {name: set(held) for name, held in names.items()}
+        table = model.where(wanted).select("lang", "order", "context", "gram", "value").toArrow()
+        shards = Shards(table, {name: set(held) for name, held in names.items()})
         return spark.sparkContext.broadcast(shards), list(names)
 
     value = F.when(F.col("_units") > 0, F.exp(-F.col("_sum") / F.col("_units"))).when(F.col("_sum").isNotNull(), 0.0).alias("perplexity")

@@ -32,8 +32,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANK_FILE)
     docs = _table(spark, sf_dir).select("doc_id", "text")
-    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids", "n_tokens")
-    back = bpe.decode(encoded, path, public_tokenizers.PATTERN)
+    back = bpe.round_trip(docs, path, public_tokenizers.PATTERN)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -44,11 +44,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text; ``exact`` says that decoding gives the text back."""
     path = public_tokenizers.path(RANK_FILE)
-    # the text itself need not travel through the decoder
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
-    back = bpe.decode(encoded.select("doc_id", "lang", "source", "n_tokens", "ids", digest), path, public_tokenizers.PATTERN)
-    return back.select("doc_id", "lang", "source", "n_tokens", "ids", (F.sha2("decoded", 256) == F.col("digest")).alias("exact"))
+    back = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
+    same = F.encode(F.coalesce("text", F.lit("")), "UTF-8") == F.col("decoded")
+    return back.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("exact"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
