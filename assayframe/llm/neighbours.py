@@ -6,7 +6,8 @@ largest inner product is the smallest distance, whatever the norms.
 Centroids are fitted on a sample of bounded size: k-means, then lists that the sample fills unevenly are split.
 They are searched by an in-memory graph of nearest centroids, from fixed entries, with a beam. Every vector goes
 to its nearest list and, as a boundary vector, to further ones whose distance is within ``BOUNDARY`` times the
-nearest. A query looks into lists within ``RATIO`` times its nearest centroid's distance. Long lists are dealt into
+nearest. A query looks into lists within ``RATIO`` times its nearest centroid's distance: first into its nearest
+``LEAST_PROBES``, then into the others, of which only what beats the k-th of the first comes back. Long lists are dealt into
 blocks by a hash of the id, so no list is one task. What is sent to all tasks is the centroids and one row per
 list, at most ``MAX_LISTS``.
 
@@ -141,14 +142,19 @@ def search(table: DataFrame, is_query: Column, k: int = K, id_column: str = "vec
     some = sample.select("vector").toArrow()["vector"].combine_chunks()
     picked = _matrix(some) if len(some) else _matrix(rows.limit(1).select("vector").toArrow()["vector"].combine_chunks())
     centroids = spark.sparkContext.broadcast(fit(_lifted(picked, largest), lists))
-    members = stored(rows.mapInArrow(_assign(centroids, largest), "list int, id long, vector array<double>"), "lists")
+    members = stored(rows.mapInArrow(_assign(centroids, largest), _MEMBER), "lists")
     blocks = stored(members.groupBy("list").agg((F.floor(F.count("*") / BLOCK_ROWS) + 1).cast("int").alias("blocks")), "blocks")
-    queries = rows.where(is_query)
-    found = stored(_matched(queries.mapInArrow(_probe(centroids, False), "list int, id long, vector array<double>"), members, blocks, k), "found")
+    queries = rows.where(is_query).withColumn("floor", F.lit(None).cast("double"))
+    near = stored(_matched(queries.mapInArrow(_probe(centroids, "near"), _PROBE), members, blocks, k), "near")
+    floors = near.groupBy("query_id").agg(F.min("score").alias("_score"), F.count("*").alias("_n")).where(F.col("_n") >= k)
+    floors = floors.select(F.col("query_id").alias("id"), F.col("_score").alias("floor"))
+    bounded = queries.drop("floor").join(floors, "id", "left").select("id", "floor", "vector")
+    far = _scores(bounded.mapInArrow(_probe(centroids, "far"), _PROBE), members, blocks, k)
+    found = stored(_ranked(near.select("query_id", "id", "score").unionByName(far), k), "found")
     short = found.groupBy("query_id").agg(F.count("*").alias("found")).where(F.col("found") >= min(k, n - 1)).select(F.col("query_id").alias("id"))
     rest = stored(queries.join(short, "id", "left_anti"), "rest")
     if n > 1 and not rest.isEmpty():
-        everywhere = _matched(rest.mapInArrow(_probe(centroids, True), "list int, id long, vector array<double>"), members, blocks, k)
+        everywhere = _matched(rest.mapInArrow(_probe(centroids, "all"), _PROBE), members, blocks, k)
         found = found.join(rest.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(everywhere)
     return found
 
@@ -158,9 +164,12 @@ def _lifted(vectors: np.ndarray, largest: float) -> np.ndarray:
     return np.hstack([vectors, last[:, None]])
 
 
-def _rows_of(batch: pa.RecordBatch, row: np.ndarray, lists: np.ndarray) -> pa.RecordBatch:
+_MEMBER, _PROBE = "list int, id long, vector array<double>", "list int, id long, floor double, vector array<double>"
+
+
+def _rows_of(batch: pa.RecordBatch, row: np.ndarray, lists: np.ndarray, *columns: str) -> pa.RecordBatch:
     taken = batch.take(pa.array(row))
-    return pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), taken.column("id"), taken.column("vector")], ["list", "id", "vector"])
+    return pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), *[taken.column(c) for c in columns]], ["list", *columns])
 
 
 def _assign(centroids, largest: float):
@@ -170,41 +179,52 @@ def _assign(centroids, largest: float):
                 ids, far = centroids.value.nearest(_lifted(_matrix(batch.column("vector")), largest), 4 * COPIES)
                 ids, far = ids[:, :COPIES], np.sqrt(np.maximum(0, far[:, :COPIES]))
                 row, at = np.nonzero((ids >= 0) & (far <= BOUNDARY * far[:, :1]))
-                yield _rows_of(batch, row, ids[row, at])
+                yield _rows_of(batch, row, ids[row, at], "id", "vector")
 
     return run
 
 
-def _probe(centroids, everywhere: bool):
+def _probe(centroids, which: str):
+    """Queries with their lists: the ``near`` ones, the ``far`` ones within the ratio, or ``all`` there are."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column("vector"))
-            if everywhere:
+            columns = ("id", "floor", "vector")
+            if which == "all":
                 n = len(centroids.value.points)
-                yield _rows_of(batch, np.repeat(np.arange(len(x)), n), np.tile(np.arange(n), len(x)))
+                yield _rows_of(batch, np.repeat(np.arange(len(x)), n), np.tile(np.arange(n), len(x)), *columns)
                 continue
             ids, far = centroids.value.nearest(np.hstack([x, np.zeros((len(x), 1))]), PROBES)
             far = np.sqrt(np.maximum(0, far))
-            keep = (ids >= 0) & ((far <= RATIO * far[:, :1]) | (np.arange(ids.shape[1]) < LEAST_PROBES))
+            first = np.arange(ids.shape[1]) < LEAST_PROBES
+            keep = (ids >= 0) & (first if which == "near" else ~first & (far <= RATIO * far[:, :1]))
             row, at = np.nonzero(keep)
-            yield _rows_of(batch, row, ids[row, at])
+            yield _rows_of(batch, row, ids[row, at], *columns)
 
     return run
 
 
 def _matched(probes: DataFrame, members: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """Queries meet the blocks of their lists; each task keeps the k best it has seen of each query."""
-    sizes = F.broadcast(blocks)  # one row per list
-    placed = members.join(sizes, "list").select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "vector")
-    asked = probes.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "id", "vector")
-    met = placed.unionByName(asked).repartition("list", "block").sortWithinPartitions("list", "block", "kind", "id")
-    best = met.mapInArrow(_best(k), "query_id long, id long, score double").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return _ranked(_scores(probes, members, blocks, k), k)
+
+
+def _ranked(scores: DataFrame, k: int) -> DataFrame:
+    best = scores.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def _scores(probes: DataFrame, members: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """Queries meet the blocks of their lists; each task keeps the k best it has seen of each query, if not below its floor."""
+    sizes = F.broadcast(blocks)  # one row per list
+    placed = members.join(sizes, "list").select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "id", F.lit(None).cast("double").alias("floor"), "vector")
+    asked = probes.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "id", "floor", "vector")
+    met = placed.unionByName(asked).repartition("list", "block").sortWithinPartitions("list", "block", "kind", "id")
+    return met.mapInArrow(_best(k), "query_id long, id long, score double")
+
+
 def _best(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -218,13 +238,15 @@ def _best(k: int):
                 if place != tuple(where[a, :2]):
                     place, ids, vectors = tuple(where[a, :2]), [], []
                 own, x = part.column("id").to_numpy(), _matrix(part.column("vector"))
+                floor = part.column("floor").fill_null(-np.inf).to_numpy(zero_copy_only=False)
                 if where[a, 2] == 0:
                     ids.append(own)
                     vectors.append(x)
                 elif ids:
                     ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
                     for at in range(0, len(own), QUERY_ROWS):
-                        held.append(_top(own[at:at + QUERY_ROWS], x[at:at + QUERY_ROWS], ids[0], vectors[0], k))
+                        some = slice(at, at + QUERY_ROWS)
+                        held.append(_top(own[some], x[some], floor[some], ids[0], vectors[0], k))
                         rows += len(held[-1][0])
                     if rows > HELD:
                         held = [_merged(held, k)]
@@ -238,14 +260,15 @@ def _best(k: int):
     return run
 
 
-def _top(queries: np.ndarray, x: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
+def _top(queries: np.ndarray, x: np.ndarray, floor: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
     """The k best of one block for each query. Scores of those are summed in one fixed order, so that equal pairs get
     equal scores wherever they meet."""
     rough = x @ vectors.T
     rough[queries[:, None] == ids[None, :]] = -np.inf
     cut = np.partition(rough, -k, axis=1)[:, -k] if rough.shape[1] > k else np.full(len(x), -np.inf)
-    slack = 1e-9 * (1 + np.abs(cut))
-    row, at = np.nonzero((rough >= np.where(np.isfinite(cut), cut - slack, -np.inf)[:, None]) & (rough > -np.inf))
+    cut = np.maximum(cut, floor)
+    slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(cut), cut, 0)))
+    row, at = np.nonzero((rough >= (cut - slack)[:, None]) & (rough > -np.inf))
     score = np.zeros(len(row))
     for d in range(x.shape[1]):
         score += x[row, d] * vectors[at, d]
