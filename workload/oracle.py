@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from assayframe.plans.bonds import (
     BOND_TYPES, CHECKS, COUPON_RANGES, MAX_TERM_YEARS, PAR_RANGES, REQUIRED_COLUMNS, STATE_CODES, STATE_NAMES,
 )
@@ -83,7 +85,7 @@ parsed AS (
 coupon_limits(kind, low, high) AS ({_rows(COUPON_RANGES)}),
 term_limits(kind, most) AS ({_rows(MAX_TERM_YEARS)}),
 par_limits(kind, low, high) AS ({_rows(PAR_RANGES)}),
-state_names(name, code, ord) AS (VALUES {', '.join(f"('{n}', '{c}', {i})" for i, (n, c) in enumerate(STATE_NAMES.items()))}),
+state_names(name, code, ord, title) AS (VALUES {', '.join(f"('{n}', '{c}', {i}, '{n.title()}')" for i, (n, c) in enumerate(STATE_NAMES.items()))}),
 terms AS (
   SELECT row, bt, CAST(date_diff('day', issued, matures) AS DOUBLE) / 365.25 AS years FROM parsed
   WHERE issued IS NOT NULL AND matures IS NOT NULL)"""
@@ -96,12 +98,26 @@ def _issue(check: str, rule: str, severity: str, column: str, where: str, source
     name = f"'{column}'" if column else "CAST(NULL AS VARCHAR)"
     rank = {"error": 0, "warning": 1, "info": 2}[severity]
     return (
-        f"SELECT CAST({row} AS BIGINT) AS row, {name} AS \"column\", '{severity}' AS severity, '{rule}' AS rule, "
+        f"SELECT CAST({row} AS BIGINT) AS row, {name} AS \"column\", '{severity}' AS severity, '{rule}' AS rule, {message} AS message, "
         f"{rank} AS sev_rank, {CHECKS.index(check)} AS check_ord, CAST({place} AS BIGINT) AS emit_ord "
         f"FROM {source} WHERE {where}"
     )
 
 
+def _text(template: str, **fields: str) -> str:
+    """A message in SQL: ``[name]`` in the template stands for the field of that name."""
+    parts = re.split(r"\[(\w+)\]", template)
+    return "concat(" + ", ".join(fields[x] if i % 2 else "'" + x.replace("'", "''") + "'" for i, x in enumerate(parts)) + ")"
+
+
+def _number(value: str) -> str:
+    return f"CAST({value} AS VARCHAR)"
+
+
+def _money(value: str, digits: int = 2) -> str:
+    return f"format('{{:,.{digits}f}}', {value})"
+
+
 def _in(values) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
@@ -111,72 +127,119 @@ _PAR = "parsed JOIN par_limits ON kind = bt"
 
 RULES: dict[str, list[str]] = {
     "missing_values": [
-        _issue("missing_values", "MISSING_VALUE", "error", c, f"{c} IS NULL OR trim({c}) = ''", place=i)
+        _issue("missing_values", "MISSING_VALUE", "error", c, f"{c} IS NULL OR trim({c}) = ''", place=i, message=_text(f"Required field '{c}' is empty."))
         for i, c in enumerate(REQUIRED_COLUMNS)],
-    "id_format": [_issue("cusip_format", "CUSIP_FORMAT", "error", "cusip", f"id <> '' AND NOT {_ID}")],
+    "id_format": [_issue("cusip_format", "CUSIP_FORMAT", "error", "cusip", f"id <> '' AND NOT {_ID}",
+                        message=_text("Invalid CUSIP format: '[id]'. Expected 9 alphanumeric characters.", id="id"))],
     "duplicate_ids": [_issue(
         "duplicate_cusips", "DUPLICATE_CUSIP", "warning", "cusip", "nth > 1",
         """(SELECT row, id, row_number() OVER (PARTITION BY id ORDER BY row) AS nth FROM parsed
-            WHERE id <> '' AND cusip IN (SELECT cusip FROM securities GROUP BY cusip HAVING count(*) > 1))""")],
+            WHERE id <> '' AND cusip IN (SELECT cusip FROM securities GROUP BY cusip HAVING count(*) > 1))""",
+        message=_text("Duplicate CUSIP '[id]' found.", id="id"))],
     "invalid_date": [
-        _issue("date_validity", "INVALID_DATE", "error", c, f"trim({c}) <> '' AND {p} IS NULL", place=o)
+        _issue("date_validity", "INVALID_DATE", "error", c, f"trim({c}) <> '' AND {p} IS NULL", place=o,
+               message=_text("Cannot parse date value: '[v]'.", v=c))
         for c, p, o in (("issue_date", "issued", 0), ("maturity_date", "matures", 2))],
     "future_date": [_issue("date_validity", "FUTURE_ISSUE_DATE", "warning", "issue_date",
-                           "issued > TIMESTAMP '2024-01-01'", place=1)],
-    "date_order": [_issue("date_validity", "MATURITY_BEFORE_ISSUE", "error", "maturity_date", "matures <= issued", place=3)],
+                           "issued > TIMESTAMP '2024-01-01'", place=1,
+                           message=_text("Issue date '[v]' is in the future.", v="issue_date"))],
+    "date_order": [_issue("date_validity", "MATURITY_BEFORE_ISSUE", "error", "maturity_date", "matures <= issued", place=3,
+                          message=_text("Maturity date ([m]) is on or before issue date ([i]).", m="maturity_date", i="issue_date"))],
     "par_range": [
-        _issue("numeric_ranges", "NEGATIVE_PAR_VALUE", "error", "par_value", "par <= 0"),
-        _issue("numeric_ranges", "UNUSUAL_PAR_VALUE", "warning", "par_value", "par > 1e9", place=1),
-        _issue("numeric_ranges", "NON_NUMERIC_PAR", "error", "par_value", "trim(par_value) <> '' AND par IS NULL", place=2)],
+        _issue("numeric_ranges", "NEGATIVE_PAR_VALUE", "error", "par_value", "par <= 0",
+               message=_text("Par value must be positive, got [n].", n=_number("par"))),
+        _issue("numeric_ranges", "UNUSUAL_PAR_VALUE", "warning", "par_value", "par > 1e9", place=1,
+               message=_text("Par value of [m] is unusually large — verify.", m=_money("par"))),
+        _issue("numeric_ranges", "NON_NUMERIC_PAR", "error", "par_value", "trim(par_value) <> '' AND par IS NULL", place=2,
+               message=_text("Par value '[v]' is not a valid number.", v="par_value"))],
     "coupon_range": [
-        _issue("numeric_ranges", "NEGATIVE_COUPON", "error", "coupon_rate", "rate < 0", place=3),
-        _issue("numeric_ranges", "HIGH_COUPON", "warning", "coupon_rate", "rate > 15", place=4),
+        _issue("numeric_ranges", "NEGATIVE_COUPON", "error", "coupon_rate", "rate < 0", place=3,
+               message=_text("Coupon rate cannot be negative: [n]%.", n=_number("rate"))),
+        _issue("numeric_ranges", "HIGH_COUPON", "warning", "coupon_rate", "rate > 15", place=4,
+               message=_text("Coupon rate of [n]% seems unusually high — verify.", n=_number("rate"))),
         _issue("numeric_ranges", "NON_NUMERIC_COUPON", "error", "coupon_rate",
-               "trim(coupon_rate) <> '' AND rate IS NULL", place=5)],
-    "invalid_state": [_issue("state_codes", "INVALID_STATE", "error", "state", f"st <> '' AND st NOT IN {_in(STATE_CODES)}")],
+               "trim(coupon_rate) <> '' AND rate IS NULL", place=5,
+               message=_text("Coupon rate '[v]' is not a valid number.", v="coupon_rate"))],
+    "invalid_state": [_issue("state_codes", "INVALID_STATE", "error", "state", f"st <> '' AND st NOT IN {_in(STATE_CODES)}",
+                             message=_text("'[v]' is not a valid US state/territory code.", v="state"))],
     "unknown_type": [_issue("bond_type", "UNKNOWN_BOND_TYPE", "warning", "bond_type",
-                            f"bt <> '' AND bt NOT IN {_in(BOND_TYPES)}")],
+                            f"bt <> '' AND bt NOT IN {_in(BOND_TYPES)}",
+                            message=_text("Instrument type '[v]' is not a recognized classification. Expected one of: "
+                                          "BAB, BAN, CD, COPS, GO, HFA, IDR, OTHER, RAN, REV, TAN, TRAN.", v="bond_type"))],
     "name_quality": [
-        _issue("issuer_name_quality", "SHORT_ISSUER_NAME", "warning", "issuer_name", "name <> '' AND length(name) < 3"),
+        _issue("issuer_name_quality", "SHORT_ISSUER_NAME", "warning", "issuer_name", "name <> '' AND length(name) < 3",
+               message=_text("Issuer name '[v]' is suspiciously short.", v="name")),
         _issue("issuer_name_quality", "NUMERIC_ISSUER_NAME", "warning", "issuer_name",
-               "regexp_full_match(name, '[0-9]+')", place=1)],
+               "regexp_full_match(name, '[0-9]+')", place=1,
+               message=_text("Issuer name '[v]' appears to be purely numeric.", v="name"))],
     "id_check_digit": [_issue("cusip_check_digit", "CUSIP_CHECK_DIGIT", "error", "cusip",
-                              f"{_ID} AND substr(id, 9, 1) <> {_digit('upper(id)')}")],
+                              f"{_ID} AND substr(id, 9, 1) <> {_digit('upper(id)')}",
+                              message=_text("CUSIP '[v]' has an invalid check digit. Expected '[e]', got '[g]'. "
+                                            "Possible transposition or fabricated identifier.",
+                                            v="id", e=_digit("upper(id)"), g="substr(id, 9, 1)"))],
     "id_issuer_alpha": [_issue("cusip_issuer_structure", "CUSIP_ISSUER_ANOMALY", "warning", "cusip",
-                               f"{_ID} AND regexp_full_match(substr(id, 1, 6), '[A-Za-z]{{6}}')")],
+                               f"{_ID} AND regexp_full_match(substr(id, 1, 6), '[A-Za-z]{{6}}')",
+                               message=_text("CUSIP '[v]': issuer code '[i]' is all-alphabetic. Public-sector CUSIPs typically have "
+                                             "numeric issuer codes. Verify the instrument classification.",
+                                             v="upper(id)", i="upper(substr(id, 1, 6))"))],
     "id_placeholder": [_issue("cusip_issuer_structure", "CUSIP_PLACEHOLDER", "info", "cusip",
-                              f"{_ID} AND substr(id, 7, 2) = '00'", place=1)],
+                              f"{_ID} AND substr(id, 7, 2) = '00'", place=1,
+                              message=_text("CUSIP '[v]': issue ID '00' may indicate placeholder data.", v="upper(id)"))],
     "coupon_by_type": [
-        _issue("coupon_bond_type_consistency", "COUPON_TYPE_MISMATCH", "warning", "coupon_rate", "rate > high", _COUPON),
+        _issue("coupon_bond_type_consistency", "COUPON_TYPE_MISMATCH", "warning", "coupon_rate", "rate > high", _COUPON,
+               message=_text("Coupon rate [n]% is unusually high for [t] instruments (expected [l]–[h]%). Verify rate or classification.",
+                             n=_number("rate"), t="bt", l=_number("low"), h=_number("high"))),
         _issue("coupon_bond_type_consistency", "COUPON_TYPE_MISMATCH", "info", "coupon_rate",
-               "rate < low AND rate <> 0", _COUPON, 1)],
+               "rate < low AND rate <> 0", _COUPON, 1,
+               message=_text("Coupon rate [n]% is below typical range for [t] instruments(expected [l]–[h]%).",
+                             n=_number("rate"), t="bt", l=_number("low"), h=_number("high")))],
     "term_by_type": [_issue("maturity_term_limits", "EXCESSIVE_MATURITY_TERM", "warning", "maturity_date",
-                            "years > most", "terms JOIN term_limits ON kind = bt")],
+                            "years > most", "terms JOIN term_limits ON kind = bt",
+                            message=_text("[t] instrument has a [y]-year term, exceeding the typical max of [m] years. "
+                                          "Verify maturity date or instrument classification.",
+                                          t="bt", y="format('{:.1f}', years)", m="CAST(most AS INTEGER)"))],
     "term_extreme": [_issue("maturity_term_limits", "EXTREME_MATURITY_TERM", "error", "maturity_date",
-                            "years > 50 AND (bt IS NULL OR bt <> '')", "terms", 1)],
+                            "years > 50 AND (bt IS NULL OR bt <> '')", "terms", 1,
+                            message=_text("Maturity term of [y] years exceeds 50-year maximum. Likely a data entry error.",
+                                          y="format('{:.1f}', years)"))],
     "par_by_type": [
-        _issue("par_value_by_bond_type", "PAR_TYPE_MISMATCH", "warning", "par_value", "par > high", _PAR),
-        _issue("par_value_by_bond_type", "PAR_BELOW_MINIMUM", "warning", "par_value", "par < low", _PAR, 1)],
+        _issue("par_value_by_bond_type", "PAR_TYPE_MISMATCH", "warning", "par_value", "par > high", _PAR,
+               message=_text("Par value $[p] is unusually high for [t] instruments(typical max $[b]). Verify amount or classification.",
+                             p=_money("par"), t="bt", b=_money("high", 0))),
+        _issue("par_value_by_bond_type", "PAR_BELOW_MINIMUM", "warning", "par_value", "par < low", _PAR, 1,
+               message=_text("Par value $[p] is below typical minimum for [t] instruments($[b]). "
+                             "May indicate incorrect units (thousands vs actual).", p=_money("par"), t="bt", b=_money("low", 0)))],
     "whitespace": [
-        _issue("data_patterns", "TRAILING_WHITESPACE", "info", c, f"{c} <> trim({c})", place=i)
+        _issue("data_patterns", "TRAILING_WHITESPACE", "info", c, f"{c} <> trim({c})", place=i,
+               message=_text(f"Value in '{c}' has leading/trailing whitespace: ''[v]''.", v=c))
         for i, c in enumerate(("issuer_name", "state", "bond_type", "cusip"))],
     "special_chars": [_issue("data_patterns", "SPECIAL_CHARS_IN_NAME", "warning", "issuer_name",
-                             r"regexp_matches(name, '[<>{}\\|~`\[\]^]')", place=4)],
+                             r"regexp_matches(name, '[<>{}\\|~`\[\]^]')", place=4,
+                             message=_text("Issuer name contains suspicious characters: [f] in '[v]'.", v="name",
+                                           f=r"list_aggregate(list_sort(list_distinct(regexp_extract_all(name, '[<>{}\\|~`\[\]^]'))), 'string_agg', '')"))],
     "inconsistent_casing": [_issue(
         "data_patterns", "INCONSISTENT_CASING", "warning", "issuer_name", "n > 1",
-        """(SELECT lower(name) AS lowered, count(DISTINCT name) AS n, min(row) AS first FROM parsed
-            WHERE name IS NOT NULL GROUP BY lower(name))""", "first", row="NULL")],
+        """(SELECT count(*) AS n, min(seen) AS first, string_agg(chr(39) || name || chr(39), ', ' ORDER BY seen) AS variants
+            FROM (SELECT name, min(row) AS seen FROM parsed WHERE name IS NOT NULL GROUP BY name) GROUP BY lower(name))""", "first", row="NULL",
+        message=_text("Issuer name has inconsistent casing: [v]. Standardize to one form.", v="variants"))],
     "duplicate_rows": [_issue(
         "copy_paste_errors", "DUPLICATE_ROW", "warning", "", "nth > 1",
-        f"(SELECT row_id AS row, row_number() OVER (PARTITION BY {COLUMNS} ORDER BY row_id) AS nth FROM securities)")],
+        f"(SELECT row_id AS row, row_number() OVER (PARTITION BY {COLUMNS} ORDER BY row_id) AS nth FROM securities)",
+        message=_text("Row [r] is an exact duplicate of a previous row.", r="row"))],
     "value_concentration": [
         _issue("copy_paste_errors", "COPY_PASTE_SUSPECTED", "warning", c, "n > 3 AND n > 0.6 * total AND records >= 5",
-               f"""(SELECT count(*) AS n, (SELECT count({c}) FROM parsed) AS total, (SELECT count(*) FROM parsed) AS records
-                    FROM parsed WHERE {c} IS NOT NULL GROUP BY trim({c}))""", place=i + 1, row="NULL")
+               f"""(SELECT trim({c}) AS v, count(*) AS n, (SELECT count({c}) FROM parsed) AS total, (SELECT count(*) FROM parsed) AS records
+                    FROM parsed WHERE {c} IS NOT NULL GROUP BY trim({c}))""", place=i + 1, row="NULL",
+               message=_text(f"Column '{c}' has [n]/[t] rows ([p]%) with value '[v]'. Possible copy-paste or default-fill error.",
+                             n="n", t="total", p="CAST(round_even(100 * n / total, 0) AS BIGINT)", v="v"))
         for i, c in enumerate(("issuer_name", "par_value", "coupon_rate"))],
     "name_state_mismatch": [_issue(
         "issuer_state_consistency", "ISSUER_STATE_MISMATCH", "warning", "state", "TRUE",
-        """(SELECT DISTINCT p.row FROM parsed p JOIN state_names s ON contains(lower(p.name), s.name) AND s.code <> p.st)""")],
+        """(SELECT p.row, any_value(p.issuer_name) AS issuer, any_value(p.st) AS stated, arg_min(s.title, s.ord) AS state_name,
+              arg_min(s.code, s.ord) AS code
+            FROM parsed p JOIN state_names s ON contains(lower(p.name), s.name) AND s.code <> p.st GROUP BY p.row)""",
+        message=_text("Issuer name '[v]' suggests [n] ([c]), but state column says '[s]'. Verify geographic data.",
+                      v="issuer", n="state_name", c="code", s="stated"))],
 }
 
 WITH = f"WITH {SECURITIES}, {PARSED}"
@@ -194,7 +257,7 @@ _RATE = "round_even((1 - error_rows / total_rows) * 100, 2)"
 
 def queries() -> dict[str, str]:
     found = {
-        key: f"{WITH}, issues AS ({' UNION ALL '.join(parts)}) SELECT row, \"column\", severity, rule FROM issues"
+        key: f"{WITH}, issues AS ({' UNION ALL '.join(parts)}) SELECT row, \"column\", severity, rule, message FROM issues"
         for key, parts in RULES.items()}
     found["normalize_columns"] = f"WITH {SECURITIES} SELECT row_id, {COLUMNS} FROM securities"
     found["row_numbers"] = "SELECT CAST(row_number() OVER (ORDER BY o_orderkey) + 1 AS BIGINT) AS row, o_orderkey FROM orders"
@@ -230,7 +293,7 @@ def queries() -> dict[str, str]:
         f"FROM issues ORDER BY {_ORDER} LIMIT 50")
     found["issue_log"] = (
         f"{ISSUES} SELECT coalesce(CAST(row AS VARCHAR), '—') AS row, coalesce(\"column\", '—') AS field, "
-        "upper(severity) AS severity, rule FROM issues")
+        "upper(severity) AS severity, rule, message AS description FROM issues")
     found["severity_counts"] = f"{ISSUES} SELECT {_COUNTS} FROM issues"
     found["pass_rate"] = f"{ISSUES}, {_TOTALS} SELECT total_rows, error_rows, {_RATE} AS pass_rate FROM totals"
     found["summary"] = f"""{ISSUES}, {_TOTALS}, counts AS (SELECT {_COUNTS} FROM issues)

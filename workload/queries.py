@@ -74,7 +74,7 @@ def _shown(issues: DataFrame) -> DataFrame:
 
 
 def _rule_query(rules: tuple[str, ...]) -> Query:
-    return lambda spark, sf_dir: _shown(_issues(spark, sf_dir, rules))
+    return lambda spark, sf_dir: _issues(spark, sf_dir, rules).select("row", "column", "severity", "rule", "message")
 
 
 def _narrowed(**wanted: str) -> Query:
@@ -170,7 +170,7 @@ def queries() -> dict[str, Query]:
         "filter_severity": _narrowed(severity="error"),
         "filter_rule": _narrowed(named_like="cusip"),
         "top_issues": _counted(_top),
-        "issue_log": _counted(lambda i: issue_ops.issue_log(i).drop("description")),
+        "issue_log": _counted(issue_ops.issue_log),
         "severity_counts": _profiled(counts.severity_counts),
         "pass_rate": lambda spark, sf_dir: counts.pass_rate(counts.profile(_issues(spark, sf_dir)), securities(spark, sf_dir)),
         "summary": _summary,
