@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import put, slices, small, with_fields
+from .common import put, slices, small, stored, with_fields
 
 DIMENSIONS, GRADES = 1 << 17, 4
 LABELLED, STEPS, PENALTY = 20_000, 1000, 1e-4
@@ -89,45 +89,35 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def graded(rows: list[np.ndarray], toxic: np.ndarray, grades: int = GRADES) -> np.ndarray:
-    """Grades 1 to ``grades`` - 1 for toxic documents, by thirds (for four grades) of the number of marking words; else 0."""
+def graded(marks: np.ndarray, toxic: np.ndarray, grades: int = GRADES) -> np.ndarray:
+    """Grades 1 to ``grades`` - 1 for toxic documents, by thirds (for four grades) of the number of marking places; else 0."""
     out = toxic.astype(np.int64)
-    if not toxic.any() or toxic.all():
-        return out
-    once = [np.unique(r) for r in rows]
-    seen, whose = np.concatenate(once), np.repeat(toxic, [len(r) for r in once])
-    bad = np.bincount(seen[whose], minlength=DIMENSIONS)
-    good = np.bincount(seen[~whose], minlength=DIMENSIONS)
-    odds = ((bad + 0.5) / toxic.sum()) / ((good + 0.5) / (~toxic).sum())
-    marks = (bad >= MARK_DOCUMENTS) & (odds >= MARK_ODDS)
-    n = np.array([marks[r].sum() for r in rows])
-    cuts = np.quantile(n[toxic], np.arange(1, grades - 1) / (grades - 1))
-    out[toxic] = 1 + np.searchsorted(cuts, n[toxic], "left")
+    if toxic.any():
+        cuts = np.quantile(marks[toxic], np.arange(1, grades - 1) / (grades - 1))
+        out[toxic] = 1 + np.searchsorted(cuts, marks[toxic], "left")
     return out
 
 
-def selected(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """The log-odds of a document of grade 1 or more, by place; 0 where it may be chance or the place is rare."""
-    once = [np.unique(r) for r in rows]
-    seen, whose = np.concatenate(once), np.repeat(toxic, [len(r) for r in once])
-    bad = np.bincount(seen[whose], minlength=DIMENSIONS) + 1
-    good = np.bincount(seen[~whose], minlength=DIMENSIONS) + 1
-    odds = np.log(bad / (toxic.sum() + 2)) - np.log(good / ((~toxic).sum() + 2))
-    return np.where((bad + good >= MARK_DOCUMENTS + 2) & (np.abs(odds) >= SURE * np.sqrt(1 / bad + 1 / good)), odds, 0.0)
+def selected(bad: np.ndarray, good: np.ndarray, toxic: int, clean: int) -> tuple[np.ndarray, np.ndarray]:
+    """By place, from the number of toxic and of clean documents that have it: the log-odds of a toxic document,
+    0 where they may be chance or the place is rare, and whether the place marks toxic documents."""
+    odds = np.log((bad + 1) / (toxic + 2)) - np.log((good + 1) / (clean + 2))
+    sure = (bad + good >= MARK_DOCUMENTS) & (np.abs(odds) >= SURE * np.sqrt(1 / (bad + 1) + 1 / (good + 1)))
+    return np.where(sure, odds, 0.0), (bad >= MARK_DOCUMENTS) & (odds >= np.log(MARK_ODDS))
 
 
-def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int = GRADES, steps: int = STEPS) -> Model:
+def fit(rows: list[np.ndarray], grade: np.ndarray, scale: np.ndarray, grades: int = GRADES, steps: int = STEPS) -> Model:
     """Maximum likelihood of the grades with an L1 penalty, by accelerated proximal gradient.
 
-    Places enter scaled by their log-odds; most have none. The step is one over a bound of the curvature.
+    ``rows`` are the places of each document. They enter scaled by their log-odds, ``scale``; those of scale 0 get no
+    weight. The step is one over a bound of the curvature.
     """
     n = len(rows)
     share = np.array([(np.sum(grade >= k) + 0.5) / (n + 1) for k in range(1, grades)])
     thresholds = np.log((1 - share) / share)
-    scale = selected(rows, grade > 0) if n else np.zeros(DIMENSIONS)
     places = np.flatnonzero(scale)
     out = np.zeros(DIMENSIONS)
-    if not len(places):
+    if not len(places) or not n:
         return Model(out, thresholds)
     flat, owner = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
     kept = scale[flat] != 0
@@ -164,27 +154,51 @@ def _curvature(column: np.ndarray, owner: np.ndarray, value: np.ndarray, rows: i
     return 2 * size / rows
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int = LABELLED) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most about ``bound`` labelled documents."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").alias("_doc"), F.col(label).cast("int").alias("_label"))
+def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int = LABELLED) -> DataFrame:
+    """Text and label of at most about ``bound`` labelled documents, stored."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").alias("_doc"), F.col(label).cast("int").alias("label"))
     step = max(1, -(-known.count() // bound))
     known = known.where(F.pmod(F.xxhash64("_doc"), F.lit(step)) == 0)
+    return stored(docs.select("doc_id", "text").join(small(known), F.col("doc_id") == F.col("_doc")).select("text", "label"), "labelled")
 
+
+def _document_counts(some: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Toxic and clean documents that have each place: at most one row per place reaches the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", BATCH_BYTES):
-            found = [features(t).astype("<i4").tobytes() for t in batch.column("text").fill_null("").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary()), batch.column("_label")], ["doc_id", "places", "label"])
+        counts = np.zeros((2, DIMENSIONS), np.int64)
+        for batch in batches:
+            for text, mark in zip(batch.column("text").fill_null("").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                counts[int(mark > 0), np.unique(features(text))] += 1
+        places = np.flatnonzero(counts.any(0))
+        yield pa.RecordBatch.from_pydict({"place": places, "bad": counts[1, places], "good": counts[0, places]})
 
-    some = docs.select("doc_id", "text").join(small(known), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "_label")
-    table = some.mapInArrow(run, "doc_id long, places binary, label int").toArrow()
-    return [np.frombuffer(p, "<i4").astype(np.int64) for p in table["places"].to_pylist()], table["label"].to_numpy().astype(np.int64)
+    table = some.mapInArrow(run, "place long, bad long, good long").groupBy("place").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
+    out = np.zeros((2, DIMENSIONS), np.int64)
+    out[:, table["place"].to_numpy()] = table["bad"].to_numpy(), table["good"].to_numpy()
+    return out[0], out[1]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", grades: int = GRADES) -> Model:
     """Fit on labels 0, 1, ... up to ``grades`` - 1; labels of 0 and 1 only are graded first."""
-    rows, marked = labelled(docs, labels, label)
-    grade = graded(rows, marked > 0, grades) if not len(marked) or marked.max() <= 1 else np.clip(marked, 0, grades - 1)
-    return fit(rows, grade, grades)
+    some = labelled(docs, labels, label)
+    bad, good = _document_counts(some)
+    n = {r["toxic"]: r["count"] for r in some.groupBy((F.col("label") > 0).alias("toxic")).count().collect()}
+    scale, marking = selected(bad, good, n.get(True, 0), n.get(False, 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", BATCH_BYTES):
+            found = [features(t) for t in batch.column("text").fill_null("").to_pylist()]
+            yield pa.RecordBatch.from_pydict({
+                "places": pa.array([f[scale[f] != 0].astype("<i4").tobytes() for f in found], pa.binary()),
+                "marks": pa.array([len(np.unique(f[marking[f]])) for f in found], pa.int64()), "label": batch.column("label")})
+
+    # the places that were selected, of a bounded number of documents
+    table = some.mapInArrow(run, "places binary, marks long, label int").toArrow()
+    rows = [np.frombuffer(p, "<i4") for p in table["places"].to_pylist()]
+    marked = table["label"].to_numpy().astype(np.int64)
+    known = len(marked) and marked.max() > 1
+    grade = np.clip(marked, 0, grades - 1) if known else graded(table["marks"].to_numpy(), marked > 0, grades)
+    return fit(rows, grade, scale, grades)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
