@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import put, slices, with_fields
+from .common import kept, put, slices, with_fields
 from .pieces import PieceIds
 
 LONG_WORD = 64
@@ -162,14 +162,9 @@ def _contract(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-_codecs: dict[tuple, _Codec] = {}
-
-
 def _codec(path: str, pattern: str) -> _Codec:
     """One codec per worker and vocabulary; workers serve many tasks."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = _Codec(read_ranks(path), pattern)
-    return _codecs[path, pattern]
+    return kept(("bpe", path, pattern), lambda: _Codec(read_ranks(path), pattern))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], codec: _Codec, text: str) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -72,6 +74,25 @@ def every_nth(docs: DataFrame, rows: int, wanted: int) -> DataFrame:
     return docs if step == 1 else docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(step)) == 0)
 
 
+_kept: dict = {}
+
+
+def kept(key, make):
+    """The one large object that a worker keeps from task to task; asking for another lets go of it."""
+    if key not in _kept:
+        let_go()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go() -> None:
+    """Workers outlive a stage: what one operator kept must not add to what the next one needs."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only with this C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of each hold at most ``limit`` bytes, or one row more."""
     for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import put, slices, small, spread_join, stored, text_bytes, text_key, with_fields
+from .common import let_go, put, slices, small, spread_join, stored, text_bytes, text_key, with_fields
 from .components import components
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -57,6 +57,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
     """Add ``simhash``, the fingerprint as a signed 64-bit integer."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in slices(batches, text, BATCH_BYTES):
             found = np.array([fingerprint(t, shingle) for t in text_bytes(batch, text)], np.uint64)
             yield put(batch, simhash=pa.array(found.view(np.int64)))

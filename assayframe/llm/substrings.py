@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import every_nth, put, slices, text_bytes, text_key, with_fields
+from .common import every_nth, let_go, put, slices, text_bytes, text_key, with_fields
 
 WINDOW, M, RUN = 35, 4, 256
 # Bytes of text that one batch packs, and number of buckets for each shuffle partition.
@@ -188,6 +188,7 @@ def _pack(frequent: np.ndarray, buckets: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        let_go()
         shrink = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches, "text", BATCH_BYTES):
             ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)

@@ -23,27 +23,25 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, slices, stored, text_key
+from .common import kept, new_folder, slices, stored, text_key
 from .pieces import PieceIds
 
 BATCH_BYTES = 4 << 20
 # Where ids of all parts before one are added up, parts are rows: one per task that wrote.
 _PART = "part long, file string, wide boolean, n_docs long, n_null long, n_tokens long"
 
-_encoders: dict[str, tuple[PieceIds, bool]] = {}
-
-
 def _encoder(path: str) -> tuple[PieceIds, bool]:
     """One encoder per worker, and whether its ids need 32 bits. Special tokens' strings are ordinary text."""
-    if path not in _encoders:
+    def make() -> tuple[PieceIds, bool]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         encode = lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        _encoders[path] = PieceIds(encode), tokenizer.get_vocab_size() > 1 << 16
-    return _encoders[path]
+        return PieceIds(encode), tokenizer.get_vocab_size() > 1 << 16
+
+    return kept(("tokenizer", path), make)
 
 
 def _store(folder: str) -> tuple[pafs.FileSystem, str]:

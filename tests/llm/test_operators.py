@@ -287,7 +287,7 @@ def test_perplexity_of_a_kneser_ney_model(spark):
         assert one[i] == pytest.approx(math.exp(-sum(math.log(want(g)) for g in grams) / len(grams)) if grams else 0.0)
     assert one[9] is None
     # the probabilities after a context add up to 1
-    shards = perplexity.Shards(model.toArrow(), {"en": set(range(256))})
+    shards = perplexity.Shards(model.groupBy("lang", "order", "context").applyInArrow(perplexity._packed, perplexity._PACKED).toArrow(), {"en": set(range(256))})
     context = int(perplexity._grams([b"abra"])[0][-1]) << 8
     after = np.array([(context | b) & ((1 << 40) - 1) for b in range(256)], np.int64)
     assert np.exp(shards.log_probabilities("en", after)).sum() == pytest.approx(1.0)
