@@ -6,7 +6,9 @@ gets its expected severity, the sum of these probabilities, its likeliest grade,
 likelier than not.
 
 The model is fitted on at most about ``LABELLED`` labelled documents, chosen by a hash; that is all that reaches the
-driver, as lists of places. Places whose log-odds may be chance are left out; the others get weights with an L1 penalty. Where labels only
+driver, as lists of places. Places whose share of toxic documents may be chance, by a likelihood-ratio test, are left
+out; a place that only toxic or only clean documents hold is judged like any other. The others get weights with an L1
+penalty. Where labels only
 say toxic or not, :func:`graded` spreads toxic documents over the grades by how many words they hold that mark
 toxic ones. Scoring is one pass over all whole texts with a model of fixed size.
 
@@ -36,8 +38,9 @@ BEGINNINGS = (4, 5, 6)
 BATCH_BYTES, KNOWN_WORDS = 4 << 20, 500_000
 # In how many toxic documents, and with what odds, a word marks toxic ones.
 MARK_DOCUMENTS, MARK_ODDS = 5, 8.0
-# By how many standard errors the log-odds of a place differ from 0 for it to be a feature.
-SURE = 4.0
+# For a place to be a feature: how many documents have it, and how far, in standard errors, its share of toxic ones is
+# from chance (the square root of the likelihood ratio, which holds for counts of 0 too).
+LEAST_DOCUMENTS, SURE = 3, 4.0
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -98,11 +101,21 @@ def graded(marks: np.ndarray, toxic: np.ndarray, grades: int = GRADES) -> np.nda
     return out
 
 
+def _ratio(bad: np.ndarray, good: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Twice the log-likelihood ratio of having a place and being toxic, against having nothing to do with each other."""
+    every, has = max(1, toxic + clean), bad + good
+    out = np.zeros(len(bad))
+    for seen, row, column in ((bad, has, toxic), (good, has, clean), (toxic - bad, every - has, toxic), (clean - good, every - has, clean)):
+        some = seen > 0
+        out[some] += 2 * seen[some] * np.log(seen[some] * every / (row[some] * column))
+    return out
+
+
 def selected(bad: np.ndarray, good: np.ndarray, toxic: int, clean: int) -> tuple[np.ndarray, np.ndarray]:
     """By place, from the number of toxic and of clean documents that have it: the log-odds of a toxic document,
     0 where they may be chance or the place is rare, and whether the place marks toxic documents."""
     odds = np.log((bad + 1) / (toxic + 2)) - np.log((good + 1) / (clean + 2))
-    sure = (bad + good >= MARK_DOCUMENTS) & (np.abs(odds) >= SURE * np.sqrt(1 / (bad + 1) + 1 / (good + 1)))
+    sure = (bad + good >= LEAST_DOCUMENTS) & (_ratio(bad, good, toxic, clean) >= SURE ** 2)
     return np.where(sure, odds, 0.0), (bad >= MARK_DOCUMENTS) & (odds >= np.log(MARK_ODDS))
 
 

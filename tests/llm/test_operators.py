@@ -347,6 +347,15 @@ def test_toxicity_on_held_out_documents(spark, odd, empty):
     assert {r["grade"] for r in toxicity.score(odd, toxicity.train(empty, labels)).collect()} == {0}
 
 
+def test_words_of_toxic_documents_only_are_features():
+    bad, good = np.array([5, 4, 50, 0, 3, 11, 2]), np.array([0, 0, 0, 40, 24, 76, 0])
+    few, _ = toxicity.selected(bad[[0, 1, 4, 5]], good[[0, 1, 4, 5]], 11, 76)
+    assert (few[:2] > 0).all() and (few[2:] == 0).all()
+    even, _ = toxicity.selected(bad[[2, 3, 6]], good[[2, 3, 6]], 100, 100)
+    assert even[0] > 0 > even[1] and even[2] == 0
+    assert not toxicity.selected(bad * 0, good * 0, 0, 0)[0].any()
+
+
 def test_neighbours_reach_brute_force(spark):
     chance = np.random.default_rng(3)
     centers = chance.normal(size=(30, 16))

@@ -111,6 +111,12 @@ def test_classifiers_on_the_labels(spark):
     assert quality[quality.quality == 0].kept.mean() <= 0.5
 
 
+def test_toxic_labels_are_found(spark):
+    labels = pd.read_parquet(f"{DATA}/labels.parquet")
+    toxic = run(spark, "op1_toxicity").merge(labels, on="doc_id")
+    assert toxic[toxic.toxic_y == 1].toxic_x.mean() >= 0.6 and toxic.severity.nunique() > 1
+
+
 def test_pipeline_stages(spark, documents):
     """Each stage against a plain version of it over what the stage before has kept."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
