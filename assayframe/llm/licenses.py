@@ -1,7 +1,9 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line. It matches a template if it has at least ``THRESHOLD`` of the template's different
-words. The join is exact and never compares a block with a template it cannot match:
+A block is a line, or a run of words over line ends: a notice may be wrapped anywhere. It matches a template if it has
+at least ``THRESHOLD`` of the template's different words. A run has as many words as a text of which the template is
+that share, so words that only stand somewhere in a text are no match; a line has any length. The join of lines is
+exact and never compares a line with a template it cannot match:
 
 - words are ordered by how many blocks of all documents hold them, rarest first. Words of no template
   cannot match; a block is reduced to its template words;
@@ -12,6 +14,9 @@ words. The join is exact and never compares a block with a template it cannot ma
   1 + min(n - i, m - j) shared words from the rarest shared one on;
 - what remains is verified by the size of the intersection.
 
+Runs are looked at only in texts of several lines that hold enough of a template's words at all. They begin at each
+word of the template, so no match is lost; of runs that hold the same words the last one counts.
+
 Templates are a short list of the caller's, so what is broadcast does not grow with the documents.
 Null and blank texts have no words and no labels. Rows are told apart by doc_id and a hash of the text;
 rows equal in both get equal results. An empty table gives an empty one.
@@ -96,10 +101,14 @@ def _starts(at: Column, phrase: Sequence[str], label: str) -> Column:
     return F.transform(F.filter(at, stands), lambda i: F.struct(i.alias("start"), F.lit(label).alias("label")))
 
 
-def _template_words(text: str) -> list[str]:
+def _all_words(text: str) -> list[str]:
     import re
 
-    return list(dict.fromkeys(re.findall(r"[0-9a-z]+", text.lower())))
+    return re.findall(r"[0-9a-z]+", text.lower())
+
+
+def _template_words(text: str) -> list[str]:
+    return list(dict.fromkeys(_all_words(text)))
 
 
 def word_order(docs: DataFrame, vocabulary: Sequence[str], text: str = "text") -> list[str]:
@@ -111,10 +120,38 @@ def word_order(docs: DataFrame, vocabulary: Sequence[str], text: str = "text") -
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
+def _wrapped(docs: DataFrame, templates: Sequence[tuple[str, str]], threshold: float, order: list[str], text: str) -> DataFrame:
+    """Runs of words that match, as :func:`template_matches` gives them; block is the line in which a run begins."""
+    rules = []
+    for number, (label, template) in enumerate(templates):
+        ws, size = _template_words(template), len(_all_words(template))
+        rules.append((number, label, ws, math.ceil(threshold * len(ws) - 1e-9), math.ceil(size / threshold - 1e-9)))
+    table = docs.sparkSession.createDataFrame(rules, "template int, label string, wanted array<string>, least int, run int")
+    several = docs.where(F.contains(F.col(text), F.lit("\n"))).select("doc_id", F.col(text).alias("_text"))
+    own = F.array_intersect(F.transform(words(F.col("_text")), lower_ascii), F.lit(order))
+    # ten templates or so: each text is held against all of them, its template words once worked out
+    met = several.withColumn("_own", own).join(F.broadcast(table), F.size(F.array_intersect("_own", "wanted")) >= F.col("least")).drop("_own")
+
+    def line_words(line: Column, number: Column) -> Column:
+        return F.transform(words(line), lambda w: F.struct(number.alias("line"), lower_ascii(w).alias("word")))
+
+    met = met.withColumn("_placed", F.flatten(F.transform(F.split("_text", "\n"), line_words)))
+    at = F.filter(F.sequence(F.lit(0), F.size("_placed") - 1), lambda i: F.array_contains("wanted", F.get("_placed", i)["word"]))
+
+    def run(i: Column) -> Column:
+        inside = F.transform(F.slice("_placed", i + 1, F.col("run")), lambda x: x["word"])
+        return F.struct(F.get("_placed", i)["line"].alias("block"), F.size(F.array_intersect(inside, "wanted")).alias("shared"))
+
+    met = met.withColumn("_runs", F.transform(at, run))
+    best = F.filter("_runs", lambda r, i: (r["shared"] >= F.col("least")) & (r["shared"] > F.coalesce(F.get("_runs", i + 1)["shared"], F.lit(0))))
+    found = met.select("doc_id", text_key("_text").alias("key"), "template", "label", F.size("wanted").alias("_n"), F.explode(best).alias("_run"))
+    return found.select("doc_id", "key", F.col("_run.block").alias("block"), "template", "label", (F.col("_run.shared") / F.col("_n")).alias("score"))
+
+
 def template_matches(
     docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text",
 ) -> DataFrame:
-    """Every block and template that meet: doc_id, key (hash of the text), block (line, from 0), template, label, score."""
+    """Every block and template that meet: doc_id, key (hash of the text), block (line where it begins, from 0), template, label, score."""
     spark = docs.sparkSession
     texts = [_template_words(t) for _, t in templates]
     order = word_order(docs, sorted({w for t in texts for w in t}), text)
@@ -143,7 +180,9 @@ def template_matches(
     pairs = met.groupBy("doc_id", "key", "block", "template").agg(F.first("own").alias("own"))
     shared = F.size(F.array_intersect("own", "ranks"))
     pairs = pairs.join(F.broadcast(rules), "template").where(shared >= F.col("least"))
-    return pairs.select("doc_id", "key", "block", "template", "label", (shared / F.size("ranks")).alias("score"))
+    alone = pairs.select("doc_id", "key", "block", "template", "label", (shared / F.size("ranks")).alias("score"))
+    both = alone.unionByName(_wrapped(some, templates, threshold, order, text))
+    return both.groupBy("doc_id", "key", "block", "template", "label").agg(F.max("score").alias("score"))
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:

@@ -179,6 +179,21 @@ def test_license_scan(spark):
         assert (r["n_words"], sorted((p["start"], p["label"]) for p in r["places"]), r["labels"], r["score"]) == (len(ws), places, sorted(labels), pytest.approx(best))
 
 
+def test_license_notices_wrapped_over_lines(spark):
+    gpl = ("/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+           " * the Free Software Foundation, either version 3 of the License */\nint main()")
+    mit = "Permission is hereby granted, free of charge,\nto any person obtaining a copy of this software and\nassociated documentation files (the Software)"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:"
+    far = "released early\n" + "some other words stand here\n" * 9 + "under the bridge\n" + "and more of them\n" * 9 + "mit is a school"
+    short = "x\nReleased under\nthe MIT\nLicense\ny"
+    data = [(1, gpl), (2, mit), (3, bsd), (4, far), (5, short), (5, short)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["labels"]) for r in licenses.scan(docs).collect())
+    assert got == [(1, ["gpl"]), (2, ["mit"]), (3, ["bsd"]), (4, []), (5, ["mit"]), (5, ["mit"])]
+    places = sorted({(r["doc_id"], r["block"], r["label"]) for r in licenses.template_matches(docs).collect()})
+    assert places == [(1, 0, "gpl"), (2, 0, "mit"), (3, 0, "bsd"), (5, 1, "mit")]
+
+
 def test_simhash_against_all_pairs(odd, empty, spark):
     chance = random.Random(2)
     near = [" ".join(f"n{i}" for i in range(120)).replace(f"n{chance.randrange(120)} ", "other ", 1) for _ in range(40)]
