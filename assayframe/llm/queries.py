@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, neighbours, perplexity, rules, simhash, substrings, tokenfiles, toxicity
+from . import alignment, bpe, languages, licenses, mixing, neighbours, perplexity, rules, simhash, substrings, tokenfiles, toxicity, tries
 
-RANK_FILE, TOKENIZER_FILE = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
+RANK_FILE, TOKENIZER_FILE, PIECE_FILE = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
 END_ID = 2
 
 
@@ -176,11 +176,67 @@ FROM docs LEFT JOIN kept USING (r) LEFT JOIN removed USING (r)
 """
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = languages.train(docs.where(~held_out).select("lang", "text"))
+    found = languages.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir).select("doc_id", "text")
+    return alignment.align(docs, public_tokenizers.path(TOKENIZER_FILE), public_tokenizers.path(PIECE_FILE))
+
+
+# Turns of another conversation that begin one: that of the next lower multiple, and at most so many.
+SHARED_BY, MOST_SHARED = 20, 3
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.crc32(F.col("conv").cast("string")) % (MOST_SHARED + 1)
+    found = tries.nodes(*tries.rebuilt(_table(spark, sf_dir, "conversations"), SHARED_BY, head, MOST_SHARED))
+    return found.withColumnRenamed("saved", "saved_tokens")
+
+
+# CRC-32 of a text of ASCII characters, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len({0}) + 1), lambda i: ascii({0}[i])::BIGINT)),
+  lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda b, i: xor(b >> 1, (b & 1) * 3988292384))), 4294967295::BIGINT)"""
+_OP13 = rf"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sym) - 1 AS pos, sym, words FROM (
+    SELECT conv_id, turn, sha256(concat(CAST(strlen(coalesce(role, '')) AS VARCHAR), ':', coalesce(role, ''), coalesce(text, ''))) AS sym,
+      len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS words FROM conversations WHERE conv_id IS NOT NULL)),
+own AS (SELECT conv_id, list(sym ORDER BY pos) AS syms, list(words ORDER BY pos) AS ws FROM turns GROUP BY conv_id),
+heads AS (SELECT conv_id, CAST({_CRC32.format("CAST(conv_id AS VARCHAR)")} AS BIGINT) % 4 AS h FROM own),
+convs AS (
+  SELECT o.conv_id, list_concat(coalesce(b.syms[1:h], []), o.syms[h + 1:]) AS syms, list_concat(coalesce(b.ws[1:h], []), o.ws[h + 1:]) AS ws
+  FROM own o JOIN heads USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % {SHARED_BY}),
+ways AS (
+  SELECT conv_id AS c, d, len(syms) AS n, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w, min(conv_id) OVER (PARTITION BY d, syms[1:d]) AS node
+  FROM (SELECT *, unnest(range(0, len(syms) + 1)) AS d FROM convs)),
+nodes AS (
+  SELECT node, d, count(*) AS n_convs, any_value(w) AS w,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256 FROM ways GROUP BY node, d),
+children AS (
+  SELECT p.node, p.d, count(DISTINCT q.node) AS n_children FROM ways p JOIN ways q ON p.c = q.c AND q.d = p.d + 1 GROUP BY ALL),
+parents AS (SELECT DISTINCT q.node, q.d, p.node AS parent FROM ways p JOIN ways q ON p.c = q.c AND q.d = p.d + 1),
+below AS (SELECT DISTINCT p.node, p.d, q.node AS below, q.d AS depth FROM ways p JOIN ways q ON p.c = q.c AND q.d >= p.d),
+sums AS (
+  SELECT b.node, b.d, sum((n.n_convs - 1) * n.w) AS saved, count(*) FILTER (c.n_children IS NULL) AS n_leaves
+  FROM below b JOIN nodes n ON n.node = b.below AND n.d = b.depth LEFT JOIN children c ON c.node = b.below AND c.d = b.depth GROUP BY ALL)
+SELECT node AS conv_id, d AS depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM nodes JOIN sums USING (node, d) LEFT JOIN children USING (node, d) LEFT JOIN parents USING (node, d)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_toxicity": op1_toxicity, "op2_byte_bpe": op2_byte_bpe, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_license_scan": op5_license_scan,
             "op6_simhash": op6_simhash, "op7_quality_rules": op7_quality_rules, "op8_token_files": op8_token_files, "op9_substrings": op9_substrings,
-            "op10_neighbours": op10_neighbours}
+            "op10_neighbours": op10_neighbours, "op11_language_id": op11_language_id, "op12_alignment": op12_alignment, "op13_prefix_trie": op13_prefix_trie}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": _OP4, "op5_license_scan": _OP5, "op7_quality_rules": _OP7, "op9_substrings": _OP9}
+    return {"op4_mixing": _OP4, "op5_license_scan": _OP5, "op7_quality_rules": _OP7, "op9_substrings": _OP9, "op13_prefix_trie": _OP13}
