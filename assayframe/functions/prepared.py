@@ -25,6 +25,14 @@ def source_columns(names: Iterable[str], steps: dict[str, Prepared]) -> set[str]
     return found
 
 
+def all_needs(names: Iterable[str], steps: dict[str, Prepared]) -> set[str]:
+    """``names`` and all columns they depend on, prepared ones and those of the table."""
+    found: set[str] = set()
+    for name in names:
+        found |= {name} | (all_needs(steps[name].needs, steps) if name in steps else set())
+    return found
+
+
 def add_prepared(rows: DataFrame, names: Iterable[str], steps: dict[str, Prepared]) -> DataFrame:
     """Add the prepared columns among ``names`` with all they depend on, one projection per depth."""
     depth: dict[str, int] = {}

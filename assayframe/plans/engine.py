@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.prepared import add_prepared
-from .pack import ERROR, ISSUE_SCHEMA, SEVERITY_RANK, RowRule, RulePack, TableRule
+from ..functions.prepared import add_prepared, all_needs
+from ..operators.lookups import with_facts
+from .pack import ERROR, ISSUE_SCHEMA, SEVERITY_RANK, Lookup, RowRule, RulePack, TableRule
 
 
 def normalize_columns(table: DataFrame) -> DataFrame:
@@ -54,6 +55,11 @@ def run_checks(table: DataFrame, pack: RulePack, row: str = "row") -> DataFrame:
     return issues
 
 
+def _facts(lookup: Lookup, rows: DataFrame) -> tuple[DataFrame, str, bool]:
+    facts, small = lookup.facts(rows)
+    return facts, lookup.key, small
+
+
 def _emit_order(pack: RulePack) -> dict[int, int]:
     """Position of each rule within its check."""
     seen: dict[str, int] = {}
@@ -70,7 +76,15 @@ def _row_issues(rows: DataFrame, pack: RulePack, rules: list[RowRule], row: str)
     by that number, and messages are built last, so a plan that counts issues never makes them.
     """
     needed = dict.fromkeys(n for rule in rules for n in rule.needs)
-    prepared = add_prepared(rows, needed, pack.prepared)
+    steps = pack.prepared
+    wanted = all_needs(needed, steps)
+    for lookup in pack.lookups:
+        if wanted & set(lookup.columns):
+            # joined ahead of the fused pass; what has been worked out for the key is not worked out again
+            rows = add_prepared(rows, [lookup.key], steps)
+            rows = with_facts(rows, *_facts(lookup, rows))
+            steps = {n: s for n, s in steps.items() if n not in rows.columns}
+    prepared = add_prepared(rows, needed, steps)
     tested = F.array(*[F.when(r.fires(), F.lit(i)).otherwise(F.lit(-1)) for i, r in enumerate(rules)])
     fired = prepared.withColumn("_fired", F.array_remove(tested, -1))
     errors = [i for i, r in enumerate(rules) if r.severity == ERROR]

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.prepared import Prepared, source_columns
@@ -61,6 +62,19 @@ class TableRule:
     of_file: bool = False
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """Columns that rules read and that are joined to the rows by a prepared column, ``key``.
+
+    ``facts`` makes the table of them, with one row per key: columns named ``key`` and ``columns``, and whether it
+    may be sent to all tasks. It gets the rows, in case the facts depend on which keys there are.
+    """
+
+    key: str
+    columns: tuple[str, ...]
+    facts: Callable[[DataFrame], tuple[DataFrame, bool]]
+
+
 @dataclass(frozen=True)
 class RulePack:
     """Checks in reporting order, the rules of each, and the columns they share."""
@@ -69,6 +83,12 @@ class RulePack:
     checks: tuple[str, ...]
     rules: tuple[RowRule | TableRule, ...]
     prepared: dict[str, Prepared] = field(default_factory=dict)
+    lookups: tuple[Lookup, ...] = ()
+
+    def look_up(self, *lookups: Lookup) -> "RulePack":
+        """A pack whose rules may also need the columns of these lookups."""
+        steps = {c: Prepared(c, (found.key,), lambda c=c: F.col(c)) for found in lookups for c in found.columns}
+        return replace(self, lookups=(*self.lookups, *lookups), prepared={**self.prepared, **steps})
 
     def add(self, rule: RowRule | TableRule, *prepared: Prepared) -> "RulePack":
         """A pack with one more rule; a new check name goes to the end of the list."""

@@ -1,4 +1,7 @@
-"""The registered queries in SQL, written apart from the rules they check."""
+"""The registered queries in SQL, written apart from the rules they check.
+
+Message texts are fixed values: they are stated here once more, in SQL, so that those of the pack are checked.
+"""
 
 from __future__ import annotations
 
@@ -259,6 +262,11 @@ def queries() -> dict[str, str]:
     found = {
         key: f"{WITH}, issues AS ({' UNION ALL '.join(parts)}) SELECT row, \"column\", severity, rule, message FROM issues"
         for key, parts in RULES.items()}
+    by_table = {"codes_by_table": ("invalid_state", "unknown_type"), "limits_by_table": ("coupon_by_type", "term_by_type", "par_by_type"),
+                "names_by_table": ("name_state_mismatch",)}
+    found |= {
+        key: f"{WITH}, issues AS ({' UNION ALL '.join(p for k in keys for p in RULES[k])}) SELECT row, \"column\", severity, rule, message FROM issues"
+        for key, keys in by_table.items()}
     found["normalize_columns"] = f"WITH {SECURITIES} SELECT row_id, {COLUMNS} FROM securities"
     found["row_numbers"] = "SELECT CAST(row_number() OVER (ORDER BY o_orderkey) + 1 AS BIGINT) AS row, o_orderkey FROM orders"
     found["file_row_numbers"] = "SELECT CAST(o_orderkey + 2 AS BIGINT) AS row, o_orderkey, o_custkey FROM orders"
@@ -285,6 +293,7 @@ def queries() -> dict[str, str]:
 
     full = f'row, "column", severity, rule, sev_rank, check_ord, emit_ord'
     found["all_issues"] = f'{ISSUES} SELECT row, "column", severity, rule FROM issues'
+    found["compiled_issues"] = found["all_issues"]
     found["issues_sorted"] = f"{ISSUES} SELECT {full} FROM issues ORDER BY {_ORDER}"
     found["filter_severity"] = f'{ISSUES} SELECT row, "column", severity, rule FROM issues WHERE severity = \'error\''
     found["filter_rule"] = f'{ISSUES} SELECT row, "column", severity, rule FROM issues WHERE rule LIKE \'%CUSIP%\''

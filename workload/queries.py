@@ -14,7 +14,9 @@ from assayframe.operators import issues as issue_ops
 from assayframe.operators import summary as counts
 from assayframe.operators.positions import number_sorted_rows, shared_folder
 from assayframe.operators.table_rules import spellings
+from assayframe.plans.bond_specs import bond_specs, lookup_tables, role_table, spec_table
 from assayframe.plans.bonds import CHECKS, REQUIRED_COLUMNS, bond_pack
+from assayframe.plans.compiler import compile_pack, roles_of, specs_of
 from assayframe.plans.engine import normalize_columns, validate
 from assayframe.plans.pack import RulePack
 from assayframe.session import tune
@@ -54,6 +56,13 @@ RULES_OF = {
     "value_concentration": ("COPY_PASTE_SUSPECTED",),
 }
 
+# Query -> the rules it runs from a pack compiled from tables, whose lists and limits are joined tables too.
+COMPILED = {
+    "codes_by_table": ("INVALID_STATE", "UNKNOWN_BOND_TYPE"),
+    "limits_by_table": ("COUPON_TYPE_MISMATCH", "EXCESSIVE_MATURITY_TERM", "PAR_TYPE_MISMATCH", "PAR_BELOW_MINIMUM"),
+    "names_by_table": ("ISSUER_STATE_MISMATCH",),
+}
+
 
 @cache
 def _pack(application: str) -> RulePack:
@@ -90,6 +99,22 @@ def _profiled(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(counts.profile(_issues(spark, sf_dir)))
 
 
+def _compiled_query(rules: tuple[str, ...]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pack = compile_pack(bond_specs(), roles_of(role_table(spark)), lookup_tables(spark), AS_OF)
+        return validate(securities(tune(spark), sf_dir), pack.only(rules=rules), ROW).select("row", "column", "severity", "rule", "message")
+
+    return query
+
+
+def _compiled_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules, compiled from a table of parameters, over columns of other names; in the result they have the usual ones."""
+    renamed = {c: f"field_{n}" for n, c in enumerate(REQUIRED_COLUMNS)}
+    pack = compile_pack(specs_of(spec_table(spark)), roles_of(role_table(spark, renamed)), lookup_tables(spark), AS_OF)
+    issues = validate(securities(tune(spark), sf_dir).withColumnsRenamed(renamed), pack, ROW)
+    return _shown(issues.replace({f: c for c, f in renamed.items()}, subset="column"))
+
+
 def _normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = securities(tune(spark), sf_dir)
     return normalize_columns(table.toDF(*[f" {c.upper()} " for c in table.columns]))
@@ -163,6 +188,8 @@ def queries() -> dict[str, Query]:
         "parse_numbers": _parse_numbers,
         "parse_dates": _parse_dates,
         **{key: _rule_query(rules) for key, rules in RULES_OF.items()},
+        **{key: _compiled_query(rules) for key, rules in COMPILED.items()},
+        "compiled_issues": _compiled_issues,
         "casing_variants": lambda spark, sf_dir: spellings(securities(tune(spark), sf_dir), ROW, "issuer_name"),
         "missing_columns": _missing_columns,
         "all_issues": _counted(_shown),
