@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 # Fixed value: what stands for "no row" or "no column" in a printed log.
 NO_VALUE = "—"
+# So many issues of a printed list may be returned to the driver.
+MOST_RETURNED = 10_000
 
 
 def sort_key() -> list[Column]:
@@ -34,13 +36,20 @@ def filter_issues(issues: DataFrame, severity: str | None = None, rule: str | No
 def first_issues(issues: DataFrame, limit: int = 50) -> DataFrame:
     """The first ``limit`` issues in order, with ``left_out``, the number of those that follow.
 
-    A limit of zero or less means all. The first ones are found by a top-k per task, not a sort.
-    The issues are read twice: store them first (``staged``), or the table is validated twice.
+    A limit of zero or less means all. The first ones are found by a top-k per task, not a sort, and the same job
+    counts the rest: the validation runs once, at once. Its last stage returns the rows, so a task that runs
+    again is counted once. Limits above ``MOST_RETURNED`` do not pass through the driver; the issues are then read
+    twice, so store them first (``staged``).
     """
     if limit <= 0:
         return sorted_issues(issues).withColumn("left_out", F.lit(0).cast("long"))
-    total = issues.select(F.count(F.lit(1))).scalar()
-    return sorted_issues(issues).limit(limit).withColumn("left_out", F.greatest(total - limit, F.lit(0)).cast("long"))
+    if limit > MOST_RETURNED:
+        total = issues.select(F.count(F.lit(1))).scalar()
+        return sorted_issues(issues).limit(limit).withColumn("left_out", F.greatest(total - limit, F.lit(0)).cast("long"))
+    counted = Observation()
+    rows = sorted_issues(issues.observe(counted, F.count(F.lit(1)).alias("n"))).limit(limit).collect()
+    first = issues.sparkSession.createDataFrame(rows, issues.schema)
+    return sorted_issues(first).withColumn("left_out", F.lit(max(0, counted.get["n"] - limit)).cast("long"))
 
 
 def issue_log(issues: DataFrame) -> DataFrame:

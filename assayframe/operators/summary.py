@@ -9,22 +9,44 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import two_decimals
 from .issues import sort_key
+from .positions import durable
 
 # From which pass rate on a table counts as good or fair.
 GOOD_PASS_RATE, FAIR_PASS_RATE = 90.0, 60.0
 
 
+KIND = ("rule", "column", "severity", "sev_rank")
+
+
 def profile(issues: DataFrame) -> DataFrame:
     """Issues by rule, column and severity: at most a few rows for each rule.
 
     All counts below are made from this table, so a validation runs once however many are wanted.
     ``seen`` is the first issue in order; ``error_rows`` adds up to the records with an error.
     """
-    return issues.groupBy("rule", "column", "severity", "sev_rank").agg(
+    if issues.schema["first_error"].metadata.get("by_bitmap"):
+        return _profile_by_bitmap(issues)
+    return issues.groupBy(*KIND).agg(
         F.count("*").alias("n"), F.min(F.struct(*sort_key())).alias("seen"),
         F.count_if("first_error").alias("error_rows"))
 
 
+def _profile_by_bitmap(issues: DataFrame) -> DataFrame:
+    """Where several rules of the whole table may name one record: its number is a bit in the map of its range of numbers.
+
+    The maps of one range are put together, so a record counts once, and neither sorts nor windows are needed. The number
+    of records is in a row of its own, without a rule.
+    """
+    place = F.when((F.col("severity") == "error") & F.col("row").isNotNull(), F.bitmap_bit_position("row"))
+    ranges = durable(issues.groupBy(*KIND, F.bitmap_bucket_number("row").alias("range")).agg(
+        F.count("*").alias("n"), F.min(F.struct(*sort_key())).alias("seen"), F.bitmap_construct_agg(place).alias("bits")))
+    zero = F.lit(0).cast("long")
+    kinds = ranges.groupBy(*KIND).agg(F.sum("n").alias("n"), F.min("seen").alias("seen"), zero.alias("error_rows"))
+    maps = ranges.groupBy("range").agg(F.bitmap_or_agg("bits").alias("bits"))
+    rows = maps.agg(F.coalesce(F.sum(F.bitmap_count("bits")), zero).alias("error_rows")).withColumn("n", zero)
+    return kinds.unionByName(rows, allowMissingColumns=True)
+
+
 def _count(severity: str) -> Column:
     return F.coalesce(F.sum(F.when(F.col("severity") == severity, F.col("n"))), F.lit(0))
 
@@ -71,7 +93,7 @@ def summary(profile: DataFrame, rows: DataFrame, total_columns: int, checks: int
 
 
 def per_rule(profile: DataFrame) -> DataFrame:
-    return profile.groupBy("rule").agg(
+    return profile.where(F.col("rule").isNotNull()).groupBy("rule").agg(
         F.sum("n").alias("n"), F.min("sev_rank").alias("sev_rank"), F.min("seen").alias("seen"))
 
 

@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from ..functions.numbers import percent_text
 from ..functions.text import fill, quoted, strip
 from .groups import rows_with_group
+
+# Spellings of one name that one list holds, on average.
+SPELLINGS_PER_LIST = 10_000
+
+
 def missing_columns(rows: DataFrame, data: Sequence[str], required: Sequence[str], message: str) -> DataFrame | None:
     """Required columns the table does not have: known from the schema, so no job is needed."""
     there = {c.lower().strip() for c in data}
@@ -83,19 +88,27 @@ def _varied(variants: DataFrame) -> DataFrame:
     return variants.groupBy("name").agg(F.count("*").alias("n"), F.min("first").alias("seen")).where(F.col("n") > 1)
 
 
-def inconsistent_casing(rows: DataFrame, row: str, column: str, message: str) -> DataFrame:
+def inconsistent_casing(
+    rows: DataFrame, row: str, column: str, message: str, per_list: int = SPELLINGS_PER_LIST,
+) -> DataFrame:
     """One line per name with several spellings, which the message lists in order of appearance.
 
-    Equal spellings are one record before the second shuffle; what is gathered per name is its
-    different spellings, which is the issue itself.
+    Names with one spelling are dropped before anything is gathered. The spellings of a name are listed by stretches of the
+    table, many at most ``per_list`` long on average, each in a task of its own; these lists follow each other, so what the
+    last step puts together are a few texts in order, however many spellings a name has.
     """
-    named = _variants(rows, row, column).groupBy("name").agg(
-        F.min("first").alias("seen"), F.array_sort(F.collect_list(F.struct("first", "spelling"))).alias("all"))
-    spelt = F.array_join(F.transform("all", lambda v: quoted(v["spelling"])), ", ")
-    return named.where(F.size("all") > 1).select(
-        F.lit(None).cast("long").alias("row"), F.lit(column).alias("column"),
-        F.col("seen").alias("emit_ord"), fill(message, variants=spelt).alias("message"),
-    )
+    variants = _variants(rows, row, column)
+    varied = variants.groupBy("name").agg(
+        F.count("*").alias("n"), F.min("first").alias("seen"), F.max("first").alias("last")).where(F.col("n") > 1)
+    lists = F.ceil(F.col("n") / per_list)
+    place = F.floor((F.col("first") - F.col("seen")) * lists / (F.col("last") - F.col("seen") + 1))
+    listed = rows_with_group(variants, varied, "name", "n", rows_per_part=per_list).groupBy("name", "seen", place.alias("place")).agg(
+        F.array_sort(F.collect_list(F.struct("first", "spelling"))).alias("some"))
+    texts = listed.select("name", "seen", "place", F.array_join(F.transform("some", lambda v: quoted(v["spelling"])), ", ").alias("text"))
+    whole = texts.groupBy("name", "seen").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("all"))
+    return whole.select(
+        F.lit(None).cast("long").alias("row"), F.lit(column).alias("column"), F.col("seen").alias("emit_ord"),
+        fill(message, variants=F.array_join(F.col("all.text"), ", ")).alias("message"))
 
 
 def top_values(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prepared import add_prepared, all_needs
 from ..operators.lookups import with_facts
-from .pack import ERROR, ISSUE_SCHEMA, SEVERITY_RANK, Lookup, RowRule, RulePack, TableRule
+from .pack import BY_BITMAP, ERROR, ISSUE_SCHEMA, SEVERITY_RANK, Lookup, RowRule, RulePack, TableRule
 
 
 def normalize_columns(table: DataFrame) -> DataFrame:
@@ -49,9 +49,8 @@ def run_checks(table: DataFrame, pack: RulePack, row: str = "row") -> DataFrame:
         return table.sparkSession.createDataFrame([], ISSUE_SCHEMA)
     issues = reduce(DataFrame.unionByName, frames)
     if any(isinstance(r, TableRule) and r.severity == ERROR and not r.of_file for r in runnable):
-        # only where a table rule names rows as well: which error of a row is its first takes a shuffle
-        first = Window.partitionBy("row").orderBy("sev_rank", "check_ord", "emit_ord")
-        issues = issues.withColumn("first_error", (F.row_number().over(first) == 1) & (F.col("severity") == ERROR) & F.col("row").isNotNull())
+        # a row's errors then come from several frames: which one is the first is left open, and rows are counted by bitmaps
+        issues = issues.withColumn("first_error", F.lit(None).cast("boolean").alias("first_error", metadata=BY_BITMAP))
     return issues
 
 

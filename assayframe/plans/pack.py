@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from ..functions.prepared import Prepared, source_columns
 
 ERROR, WARNING, INFO = "error", "warning", "info"
+# Metadata of the column first_error where it says nothing: rows with an error are then counted by their numbers.
+BY_BITMAP = {"by_bitmap": True}
 SEVERITY_RANK = {ERROR: 0, WARNING: 1, INFO: 2}
 
 ISSUE_SCHEMA = T.StructType([

@@ -323,6 +323,7 @@ def queries() -> dict[str, str]:
         (SELECT '{{' || string_agg('"' || c || '":{{"errors":' || errors || ',"warnings":' || warnings || ',"info":' || info || '}}', ',' ORDER BY c)
           || '}}' FROM cols) AS by_column
       FROM totals, counts"""
+    found["report_while_writing"] = found["report_document"]
     found["rule_counts"] = f"{ISSUES} SELECT rule, CAST(count(*) AS BIGINT) AS n FROM issues GROUP BY rule ORDER BY n DESC"
     found["rule_severity"] = f"""{ISSUES} SELECT rule, CAST(count(*) AS BIGINT) AS n,
       ['error', 'warning', 'info'][min(sev_rank) + 1] AS severity FROM issues GROUP BY rule"""

@@ -20,8 +20,8 @@ from assayframe.plans.compiler import compile_pack, roles_of, specs_of
 from assayframe.plans.engine import normalize_columns, validate
 from assayframe.plans.pack import RulePack
 from assayframe.session import tune
-from assayframe.sources.files import read_csv, read_parquet, staged
-from assayframe.sources.reports import report
+from assayframe.sources.files import read_csv, read_parquet
+from assayframe.sources.reports import report, write_and_profile
 
 from .securities import AS_OF, securities
 
@@ -163,6 +163,15 @@ def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document.select("file_name", "generated_at", "summary.*", F.to_json("by_rule").alias("by_rule"), F.to_json("by_column").alias("by_column"))
 
 
+def _report_while_writing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report document of the job that writes the issues."""
+    table = securities(tune(spark), sf_dir)
+    path = f"{shared_folder(spark)}/issues-{uuid.uuid4().hex}"
+    profile = write_and_profile(_issues(spark, sf_dir), pack_of(spark), table.columns, path)
+    document = report(profile, table, len(REQUIRED_COLUMNS), len(CHECKS), "securities", AS_OF)
+    return document.select("file_name", "generated_at", "summary.*", F.to_json("by_rule").alias("by_rule"), F.to_json("by_column").alias("by_column"))
+
+
 def _csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived table written as CSV in several files, nulls as a null token, and read back with row numbers."""
     path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
@@ -176,7 +185,7 @@ def _sorted(issues: DataFrame) -> DataFrame:
 
 
 def _top(issues: DataFrame) -> DataFrame:
-    return issue_ops.first_issues(staged(issues), 50).select("row", "column", "severity", "rule", "left_out")
+    return issue_ops.first_issues(issues, 50).select("row", "column", "severity", "rule", "left_out")
 
 
 def queries() -> dict[str, Query]:
@@ -202,6 +211,7 @@ def queries() -> dict[str, Query]:
         "pass_rate": lambda spark, sf_dir: counts.pass_rate(counts.profile(_issues(spark, sf_dir)), securities(spark, sf_dir)),
         "summary": _summary,
         "report_document": _report,
+        "report_while_writing": _report_while_writing,
         "rule_counts": _profiled(counts.rule_counts),
         "rule_severity": _profiled(counts.rule_severity),
         "rule_share": _profiled(counts.rule_share),
