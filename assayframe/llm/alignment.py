@@ -42,7 +42,7 @@ RUN_BYTES, RADIX_BYTES = 2 << 20, 32 << 20
 # Runs that are merged at a time, on average.
 FAN_IN = 64
 # A worker forgets its pieces when it has seen so many different ones.
-KNOWN_PIECES = 150_000
+KNOWN_PIECES = 250_000
 # An A id takes so many bits of a pair's key.
 A_BITS = 24
 
@@ -70,11 +70,16 @@ class Pair:
         self.a, self.b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True
         to_byte = byte_characters()
-        self.bytes_a = {i: bytes(to_byte[c] for c in t) for t, i in self.a.get_vocab().items() if all(c in to_byte for c in t)}
+        self.bytes_a = [b""] * self.a.get_vocab_size()
+        for token, i in self.a.get_vocab().items():
+            if all(c in to_byte for c in token):
+                self.bytes_a[i] = bytes(to_byte[c] for c in token)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("tokens of the second tokenizer go on over a space")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
+        # an id as text, and what follows it: another of its side, the other side, the next group
+        self.written = np.array([f"{i}{end}" for i in range(max(len(self.bytes_a), len(pieces))) for end in ",|;"], object)
         self._forget()
 
     def _forget(self) -> None:
@@ -85,22 +90,51 @@ class Pair:
         self.links: list[np.ndarray] = []
 
     def _learn(self, pieces: list[str]) -> None:
-        """``pieces`` begin with a space, which B adds itself."""
-        found_a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
-        found_b = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        facts = []
-        for piece, a, b in zip(pieces, found_a, found_b, strict=True):
-            if piece == " ":  # nothing to add a space to
-                b = [self.b.piece_to_id("▁")]
-            self.numbers[piece] = len(self.facts) + len(facts)
-            parts_a, parts_b = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b]
-            whole = piece.encode()
-            ok = b"".join(parts_a) == whole and b"".join(parts_b) == whole
-            cut, links = _aligned(a, parts_a, b, parts_b) if ok else ([], [])
-            facts.append((len(a), len(b), len(cut), ok))
-            self.groups.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in cut))
-            self.links.append(np.array([y << A_BITS | x for x, y in links], np.int64))
-        self.facts = np.concatenate([self.facts, np.array(facts, np.int64)])
+        """``pieces`` begin with a space, which B adds itself. All are aligned at once, as one text."""
+        a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
+        b = self.b.encode([p[1:] for p in pieces], num_threads=1)
+        if " " in pieces:  # nothing to add a space to
+            b[pieces.index(" ")] = [self.b.piece_to_id("▁")]
+        wholes = [p.encode() for p in pieces]
+        good = np.ones(len(pieces), bool)
+        if any(b"".join([known[i] for ids in side for i in ids]) != b"".join(wholes) for side, known in ((a, self.bytes_a), (b, self.bytes_b))):
+            good[:] = [all(b"".join([known[i] for i in ids]) == whole for ids, known in ((x, self.bytes_a), (y, self.bytes_b)))
+                       for x, y, whole in zip(a, b, wholes, strict=True)]
+        kept = np.flatnonzero(good).tolist()
+        links, texts, n_groups = self._aligned([a[n] for n in kept], [b[n] for n in kept], [len(wholes[n]) for n in kept])
+        first = len(self.numbers)
+        self.numbers.update((p, first + n) for n, p in enumerate(pieces))
+        none = np.zeros(0, np.int64)
+        facts = np.zeros((len(pieces), 4), np.int64)
+        facts[:, 0], facts[:, 1], facts[:, 3] = list(map(len, a)), list(map(len, b)), good
+        facts[kept, 2] = n_groups
+        self.facts = np.concatenate([self.facts, facts])
+        if len(kept) < len(pieces):
+            of = dict(zip(kept, zip(links, texts, strict=True), strict=True))
+            links, texts = ([of.get(n, (none, ""))[k] for n in range(len(pieces))] for k in (0, 1))
+        self.links += links
+        self.groups += texts
+
+    def _aligned(self, a: list[list[int]], b: list[list[int]], sizes: list[int]) -> tuple[list[np.ndarray], list[str], np.ndarray]:
+        """Of some pieces: the keys of their links, their groups as text, each with ';' after it, and how many."""
+        def side(ids: list[list[int]], known: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = [i for x in ids for i in x]
+            return counts, np.array(flat, np.int64), np.cumsum(np.fromiter((len(known[i]) for i in flat), np.int64, len(flat)))
+
+        (n_a, ids_a, ends_a), (n_b, ids_b, ends_b) = side(a, self.bytes_a), side(b, self.bytes_b)
+        both, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        keys = ids_b[at_b] << A_BITS | ids_a[at_a]
+        stops = np.searchsorted(both, np.cumsum(np.array(sizes, np.int64)), "right")
+        starts = np.concatenate([[0], stops[:-1]]) if len(stops) else stops
+        # tokens in the order they are written: group by group, A before B
+        last_a, last_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
+        last_a[at_a], last_b[at_b] = 1, 2
+        order = np.argsort(np.concatenate([2 * np.searchsorted(both, ends_a), 2 * np.searchsorted(both, ends_b) + 1]), kind="stable")
+        written = self.written[np.concatenate([ids_a * 3 + last_a, ids_b * 3 + last_b])[order]].tolist()
+        cuts = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
+        texts = ["".join(written[s:e]) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+        return [keys[s:e] for s, e in zip(starts.tolist(), stops.tolist(), strict=True)], texts, stops - starts
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[tuple[int, int, int], str, np.ndarray]]:
         """Per text: n_a, n_b, n_groups; the digest of its groups; the keys of its links."""
@@ -121,37 +155,22 @@ class Pair:
             at = [self.numbers[p] for p in cut]
             n_a, n_b, n_groups, good = self.facts[at].sum(axis=0).tolist()
             if good == len(at):
-                digest = hashlib.sha256(";".join([self.groups[n] for n in at]).encode()).hexdigest()
-                yield (n_a, n_b, n_groups), digest, np.concatenate([self.links[n] for n in at])
+                yield (n_a, n_b, n_groups), _digest([self.groups[n] for n in at]), np.concatenate([self.links[n] for n in at])
             else:
                 yield self._whole(text) or none
 
     def _whole(self, text: str) -> tuple[tuple[int, int, int], str, np.ndarray] | None:
         """A text with an odd piece: only all its bytes together decide."""
-        whole = " " + text
-        a, b = self.a.encode(whole, add_special_tokens=False).ids, self.b.encode(text, num_threads=1)
-        parts_a, parts_b = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(parts_a) != whole.encode() or b"".join(parts_b) != whole.encode():
+        whole = (" " + text).encode()
+        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text, num_threads=1)
+        if b"".join([self.bytes_a[i] for i in a]) != whole or b"".join([self.bytes_b[i] for i in b]) != whole:
             return None
-        cut, links = _aligned(a, parts_a, b, parts_b)
-        text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in cut)
-        return (len(a), len(b), len(cut)), hashlib.sha256(text.encode()).hexdigest(), np.array([y << A_BITS | x for x, y in links], np.int64)
-
-
-def _aligned(a: list[int], parts_a: list[bytes], b: list[int], parts_b: list[bytes]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """Groups of ids between the offsets where tokens of both end, and the pairs of ids that end together."""
-    groups, links, end_b, y = [], [], 0, 0
-    start_a = start_b = end_a = 0
-    for x, part in enumerate(parts_a):
-        end_a += len(part)
-        while y < len(b) and end_b < end_a:
-            end_b += len(parts_b[y])
-            y += 1
-        if end_a == end_b and y > start_b:
-            groups.append((a[start_a:x + 1], b[start_b:y]))
-            links.append((a[x], b[y - 1]))
-            start_a, start_b = x + 1, y
-    return groups, links
+        (links,), texts, (n_groups,) = self._aligned([a], [b], [len(whole)])
+        return (len(a), len(b), int(n_groups)), _digest(texts), links
+
+
+def _digest(groups: list[str]) -> str:
+    return hashlib.sha256("".join(groups)[:-1].encode()).hexdigest()
 
 
 def _squeezed(array: np.ndarray) -> bytes:
