@@ -8,10 +8,10 @@ handles a row for each segment. The last round leaves single symbols, the edges
 - Heads are compared by digests of blocks of 2, 4, 8, ... symbols (SHA-256 of the halves' digests), which
   partial aggregates build beforehand; no sequence is ever gathered in one place, however long it is.
 - The name of a prefix is its smallest member. With its depth this is the key of a node.
-- Every symbol remembers under which name its segment hung in each round. A node in a lower forest adds its own
-  value to the total of that forest's root; totals are then grafted upward, to the nodes on the way from
-  the root of the upper trie to the cut. Each pair of a node and one above it is parted by exactly one cut, so
-  the sums over subtrees are exact and all rounds are grafted at once.
+- Totals of lower forests are grafted upward: those of the smallest segments first give, round by round, the total of
+  each cut's lower forest; from the largest segments down, a cut then holds what hangs below it within its segment
+  and what has been grafted to the cuts below, until segments are single nodes. Each round has half the rows of
+  the one before, so all rounds together handle two or three rows for each symbol, however deep the trie is.
 
 Equal sequences are one, with a weight, before the recursion begins. Names are joined back with the largest
 groups dealt over several tasks, so a first turn that a third of all conversations share is no single task's work;
@@ -124,26 +124,27 @@ def _blocks(sequences: DataFrame, rounds: int) -> list[DataFrame]:
     return levels
 
 
-def _edges(blocks: list[DataFrame], top: DataFrame) -> DataFrame:
-    """Halve all segments of all sequences until they are single symbols: seq, at, n, roots and digest.
+def _edges(blocks: list[DataFrame], top: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Halve all segments of all sequences until they are single symbols.
 
-    ``roots`` names the prefix under which the segment hangs, in each round from the whole sequence downward.
+    By level k: the segments of 2 ** k symbols (seq, at, n, digest, and root, the name of the prefix under which one
+    hangs), and the cuts that made them: name and root, depth of both, for prefixes that some sequence goes on from.
     """
-    rows = top
+    segments, cuts = [top], []
     for level in range(len(blocks) - 1, 0, -1):
         halves = blocks[level].select(F.col("conv").alias("seq"), "at", "left", "right")
-        cut = stored(rows.drop("digest").join(halves, ["seq", "at"]), "cut")
-        root = F.element_at("roots", -1)
-        keyed = cut.withColumn("key", F.struct(root.alias("root"), "at", "left"))
-        # cut prefixes that some sequence goes on from
+        cut = stored(segments[0].drop("digest").join(halves, ["seq", "at"]), "cut")
+        keyed = cut.withColumn("key", F.struct("root", "at", "left"))
         names = keyed.groupBy("key").agg(F.min("seq").alias("name"), F.count("*").alias("size"), F.count("right").alias("tails")).where("tails > 0")
         names = stored(names.select("key", "name", "size"), "names")
-        tails = keyed.where(F.col("right").isNotNull())
+        tails = keyed.where(F.col("right").isNotNull()).drop("root")
         lower = spread_join(tails, names, "key", "size", "seq").select(
-            "seq", (F.col("at") * 2 + 1).alias("at"), "n", F.array_append("roots", F.col("name")).alias("roots"), F.col("right").alias("digest"))
-        upper = cut.select("seq", (F.col("at") * 2).alias("at"), "n", F.array_append("roots", root).alias("roots"), F.col("left").alias("digest"))
-        rows = stored(upper.unionByName(lower), "segments")
-    return rows
+            "seq", (F.col("at") * 2 + 1).alias("at"), "n", F.col("name").alias("root"), F.col("right").alias("digest"))
+        upper = cut.select("seq", (F.col("at") * 2).alias("at"), "n", "root", F.col("left").alias("digest"))
+        segments.insert(0, stored(upper.unionByName(lower), "segments"))
+        begin = F.shiftleft("key.at", level)
+        cuts.insert(0, names.select("name", (begin + (1 << (level - 1))).alias("depth"), F.col("key.root").alias("root"), begin.alias("root_depth")))
+    return segments, cuts
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,52 +201,56 @@ def nodes(sequences: DataFrame, lengths: DataFrame) -> DataFrame:
     blocks = _blocks(sequences, rounds)
     whole = blocks[-1].select("conv", "digest")
     equal = stored(whole.groupBy("digest").agg(F.min("conv").alias("seq"), F.count("*").alias("n")), "different")
-    top = equal.select("seq", F.lit(0).cast("long").alias("at"), "n", F.array(F.lit(0).cast("long")).alias("roots"), "digest")
+    zero = F.lit(0).cast("long")
+    segments, cuts = _edges(blocks, equal.select("seq", zero.alias("at"), "n", zero.alias("root"), "digest"))
 
-    root = F.element_at("roots", -1)
-    edges = _edges(blocks, top).withColumn("key", F.struct(root.alias("root"), "at", "digest"))
-    made = stored(edges.groupBy("key").agg(
-        F.min("seq").alias("conv_id"), F.sum("n").alias("n_convs"), F.count("*").alias("size"), F.any_value("roots").alias("roots")), "nodes")
+    edges = segments[0].withColumn("key", F.struct("root", "at", "digest"))
+    made = stored(edges.groupBy("key").agg(F.min("seq").alias("conv_id"), F.sum("n").alias("n_convs"), F.count("*").alias("size")), "nodes")
     weight = F.conv(F.hex(F.substring("key.digest", 33, 8)), 16, 10).cast("long")
-    made = made.select("key", "size", "conv_id", (F.col("key.at") + 1).alias("depth"), F.col("key.root").alias("parent"), "n_convs", "roots",
+    made = made.select("key", "size", "conv_id", (F.col("key.at") + 1).alias("depth"), F.col("key.root").alias("parent"), "n_convs",
                        ((F.col("n_convs") - 1) * weight).alias("own"))
-    ways = stored(spread_join(edges.select("key", "seq", "at"), made.select("key", "size", "conv_id"), "key", "size", "seq")
-                  .select("seq", "at", "conv_id"), "ways")
 
     children = made.groupBy(F.col("parent").alias("conv_id"), (F.col("depth") - 1).alias("depth")).agg(F.count("*").alias("n_children"))
-    known = made.where("depth > 0").drop("key", "size").join(children.where("depth > 0"), ["conv_id", "depth"], "left")
+    known = made.drop("key", "size").join(children.where("depth > 0"), ["conv_id", "depth"], "left")
     known = stored(known.withColumn("leaf", F.col("n_children").isNull().cast("long")), "known")
-    grafted = known.select("conv_id", "depth", "leaf", "own")
-    if rounds:
-        grafted = grafted.unionByName(_grafts(known, ways, rounds))
+    grafted = known.select("conv_id", "depth", "leaf", "own").unionByName(_grafts(known, segments, cuts))
     totals = grafted.groupBy("conv_id", "depth").agg(F.sum("leaf").alias("n_leaves"), F.sum("own").alias("saved"))
 
     parent = F.when(F.col("depth") == 1, F.lit(least)).otherwise(F.col("parent"))
     out = known.join(totals, ["conv_id", "depth"]).select(
         "conv_id", "depth", parent.cast("long").alias("parent_conv_id"), "n_convs", F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"), "n_leaves", "saved")
-    long = lambda x: F.lit(x).cast("long")
+
+    def long(value) -> Column:
+        return F.lit(value).cast("long")
+
     first = known.agg(F.count_if(F.col("depth") == 1).alias("n_children"), F.greatest(F.coalesce(F.sum("leaf"), long(0)), long(1)).alias("n_leaves"),
                       F.coalesce(F.sum("own"), long(0)).alias("saved"))
     first = first.where(F.lit(count) > 0).select(
         long(least).alias("conv_id"), long(0).alias("depth"), long(None).alias("parent_conv_id"), long(count).alias("n_convs"), "n_children", "n_leaves", "saved")
-    return out.unionByName(first).join(_ends(lengths, whole, equal, ways), ["conv_id", "depth"], "left").withColumn(
+    return out.unionByName(first).join(_ends(lengths, whole, equal, edges, made), ["conv_id", "depth"], "left").withColumn(
         "ends_sha256", F.coalesce("ends_sha256", F.when(F.col("depth") == 0, _turnless(lengths)).otherwise(F.lit(_NO_MEMBERS))))
 
 
-def _grafts(known: DataFrame, ways: DataFrame, rounds: int) -> DataFrame:
-    """What lower forests add to the nodes on the way from the upper root to their cuts, of all rounds."""
-    def each_round(at: Column, odd: int) -> Column:
-        parts = [F.when(F.shiftright(at, k) % 2 == odd, F.struct(F.lit(k).alias("k"), (F.shiftright(at, k) + 1 - odd).alias("at"))) for k in range(rounds)]
-        return F.explode(F.array_compact(F.array(*parts))).alias("forest")
-
-    # forest: its round and the number of its segment; root k of a symbol is the name at place rounds - k
-    lower = known.select(each_round(F.col("depth") - 1, 1), "roots", "leaf", "own")
-    name = F.get("roots", F.lit(rounds) - F.col("forest.k"))
-    forests = lower.groupBy(F.struct("forest.k", "forest.at", name.alias("seq")).alias("key")).agg(F.sum("leaf").alias("leaf"), F.sum("own").alias("own"))
-    forests = stored(forests.withColumn("size", F.expr("shiftleft(1L, key.k)")), "forests")
-    upper = ways.select(each_round(F.col("at"), 0), "seq", "at", "conv_id").select(
-        F.struct("forest.k", "forest.at", "seq").alias("key"), "conv_id", (F.col("at") + 1).alias("depth"))
-    return spread_join(upper, forests, "key", "size", "depth").select("conv_id", "depth", "leaf", "own")
+def _grafts(known: DataFrame, segments: list[DataFrame], cuts: list[DataFrame]) -> DataFrame:
+    """conv_id, depth, leaf and own: what hangs below each node that some sequence goes on from."""
+    sums = [F.sum("leaf").alias("leaf"), F.sum("own").alias("own")]
+    # totals of the segments that hang under one name, from single symbols to halves of the whole
+    total = known.groupBy(F.col("parent").alias("name"), (F.col("depth") - 1).alias("depth")).agg(*sums)
+    lower = []
+    for level, cut in enumerate(cuts):
+        total = stored(total, "totals")
+        lower.append(stored(cut.join(total, ["name", "depth"]), "lower"))
+        upper = total.where(F.col("depth") % (2 << level) == 0)
+        below = lower[-1].select(F.col("root").alias("name"), F.col("root_depth").alias("depth"), "leaf", "own")
+        total = upper.unionByName(below).groupBy("name", "depth").agg(*sums)
+    # what hangs below a cut, within its segment and beyond; at last every node is one
+    held = known.select("conv_id", "depth", "leaf", "own").where("false")
+    for level in range(len(cuts) - 1, -1, -1):
+        there = segments[level].select(F.col("seq").alias("conv_id"), ((F.col("at") + 1) * (1 << level)).alias("depth"), "root")
+        beyond = held.join(there, ["conv_id", "depth"]).select(F.col("root").alias("conv_id"), (F.col("depth") - (1 << level)).alias("depth"), "leaf", "own")
+        within = lower[level].select(F.col("name").alias("conv_id"), "depth", "leaf", "own")
+        held = stored(held.unionByName(within.unionByName(beyond).groupBy("conv_id", "depth").agg(*sums)), "grafts")
+    return held
 
 
 def _turnless(lengths: DataFrame) -> Column:
@@ -254,9 +259,10 @@ def _turnless(lengths: DataFrame) -> Column:
     return F.lit(found["sha256"] if found else _NO_MEMBERS)
 
 
-def _ends(lengths: DataFrame, whole: DataFrame, equal: DataFrame, ways: DataFrame) -> DataFrame:
+def _ends(lengths: DataFrame, whole: DataFrame, equal: DataFrame, edges: DataFrame, made: DataFrame) -> DataFrame:
     """conv_id, depth and ends_sha256 of the nodes at which a sequence ends."""
     members = spread_join(whole, equal, "digest", "n", "conv").select("seq", "conv")
-    length = equal.select("seq").join(lengths.select(F.col("conv").alias("seq"), "length"), "seq")
-    last = ways.join(length, "seq").where(F.col("at") == F.col("length") - 1).select("seq", "conv_id", F.col("length").alias("depth"))
-    return last.join(member_digests(members), "seq").select("conv_id", "depth", F.col("sha256").alias("ends_sha256"))
+    last = lengths.select(F.col("conv").alias("seq"), (F.col("length") - 1).alias("at"))
+    ends = edges.join(last, ["seq", "at"]).select("key", "seq")
+    nodes = spread_join(ends, made.select("key", "size", "conv_id", "depth"), "key", "size", "seq")
+    return nodes.join(member_digests(members), "seq").select("conv_id", "depth", F.col("sha256").alias("ends_sha256"))
