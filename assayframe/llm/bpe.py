@@ -7,8 +7,8 @@ Decoding joins token-position rows with the vocabulary and puts the bytes togeth
 
 Results are those of the tiktoken library: a word that is itself in the vocabulary is that one token.
 A null text is an empty text; a word of over ``LONG_WORD`` bytes is contracted by the same rule with a
-heap, since the recursion takes as many rounds as a word has merges. Other columns pass through;
-columns of the input called like an output are replaced.
+heap, since the recursion takes as many rounds as a word has merges. Repeated rows get equal results, an empty
+table an empty one. Other columns pass through; columns of the input called like an output are replaced.
 """
 
 from __future__ import annotations
@@ -25,22 +25,25 @@ from pyspark.sql import DataFrame
 from .common import kept, put, slices, with_fields
 from .pieces import PieceIds
 
-LONG_WORD = 64
+LONG_WORD = 256
 # Bytes of text, and number of tokens, that one query handles.
 BATCH_BYTES, BATCH_TOKENS = 4 << 20, 250_000
 
-_ENCODE = """
-WITH RECURSIVE step(word, tokens, round) AS (
-  SELECT word, list(token ORDER BY pos), 0::SMALLINT FROM seed GROUP BY word
-  UNION ALL
-  SELECT word, list_concat(list_concat(tokens[:pos - 1], [rank]), tokens[pos + 2:]), (round + 1)::SMALLINT
-  FROM (SELECT word, any_value(tokens) AS tokens, any_value(round) AS round, min(rank) AS rank,
-               arg_min(pos, (rank::BIGINT << 16) | pos) AS pos
-        FROM (SELECT word, tokens, round, unnest(range(1, len(tokens))) AS pos FROM step) AS pairs
-        JOIN merges ON merges.pair = ((tokens[pos]::BIGINT << 32) | tokens[pos + 1])
-        GROUP BY word)
+# A word's tokens are the characters of a text, in their positions: the recursion unfolds them to rows, joins each pair of
+# neighbours with the merge table, and puts the merged token in place of each word's leftmost pair of minimum rank.
+_SHIFT, _SURROGATES = 256, 0xD800
+_ENCODE = f"""
+WITH RECURSIVE step(word, state) USING KEY (word) AS (
+  SELECT word, state FROM seed
+  UNION
+  SELECT word, concat(substr(state, 1, (best & 65535) - 1),
+    chr(((best >> 16) + {_SHIFT} + CASE WHEN best >> 16 >= {_SURROGATES - _SHIFT} THEN 2048 ELSE 0 END)::INT), substr(state, (best & 65535) + 2))
+  FROM step JOIN (
+    SELECT word, min(packed | pos) AS best
+    FROM (SELECT word, substr(state, pos, 2) AS pair, pos FROM (SELECT word, state, unnest(range(1, length(state))) AS pos FROM step))
+    JOIN merges USING (pair) GROUP BY word) USING (word)
 )
-SELECT word, arg_max(tokens, round) AS tokens FROM step GROUP BY word ORDER BY word
+SELECT state FROM step ORDER BY word
 """
 _DECODE = """
 SELECT part, from_hex(string_agg(hex, '' ORDER BY pos)) AS bytes
@@ -54,6 +57,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines))}
 
 
+def _states(tokens: np.ndarray, cuts: np.ndarray) -> list[str]:
+    """Tokens as characters: a text for each stretch between cuts."""
+    codes = tokens.astype(np.int64) + _SHIFT
+    whole = (codes + 2048 * (codes >= _SURROGATES)).astype("<u4").tobytes().decode("utf-32-le")
+    return [whole[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
 class _Codec:
     """What a worker keeps of one vocabulary."""
 
@@ -61,18 +71,21 @@ class _Codec:
         import duckdb
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.known = np.zeros(max(ranks.values()) + 1, bool)
         self.known[list(ranks.values())] = True
-        pairs, merged = [], []
+        lefts, rights, merged = [], [], []
         for token, rank in ranks.items():
             for at in range(1, len(token)):
                 left, right = ranks.get(token[:at]), ranks.get(token[at:])
                 if left is not None and right is not None:
-                    pairs.append(left << 32 | right)
+                    lefts.append(left)
+                    rights.append(right)
                     merged.append(rank)
+        pairs = _states(np.array([lefts, rights], np.int64).T.reshape(-1), np.arange(0, 2 * len(lefts) + 1, 2))
         self.database = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
-        self._load("merges", pair=pa.array(pairs, pa.int64()), rank=pa.array(merged, pa.int32()))
+        # the rank stands above 16 bits for the position of a pair
+        self._load("merges", pair=pa.array(pairs, pa.string()), packed=pa.array(np.array(merged, np.int64) << 16))
         self._load("vocabulary", token=pa.array(list(ranks.values()), pa.int32()), hex=pa.array([t.hex() for t in ranks]))
         self.pieces = PieceIds(self._encode_pieces)
 
@@ -105,12 +118,13 @@ class _Codec:
     def _contract_words(self, words: list[bytes]) -> dict[bytes, Sequence[int]]:
         if not words:
             return {}
-        lengths = np.fromiter(map(len, words), np.int32, len(words))
-        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
-        pos = np.arange(len(word), dtype=np.int32) - np.repeat(np.cumsum(lengths) - lengths, lengths).astype(np.int32)
-        token = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
-        found = self._query("seed", _ENCODE, word=word, pos=pos, token=token)["tokens"]
-        return dict(zip(words, found.to_pylist(), strict=True))
+        cuts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
+        state = _states(self.bytes[np.frombuffer(b"".join(words), np.uint8)], cuts)
+        found = self._query("seed", _ENCODE, word=np.arange(len(words), dtype=np.int32), state=pa.array(state, pa.string()))["state"].to_pylist()
+        tokens = np.frombuffer("".join(found).encode("utf-32-le"), "<u4").astype(np.int64) - _SHIFT
+        tokens -= 2048 * (tokens >= _SURROGATES - _SHIFT)
+        flat, ends = tokens.tolist(), np.cumsum([len(f) for f in found]).tolist()
+        return {word: flat[a:b] for word, a, b in zip(words, [0, *ends[:-1]], ends, strict=True)}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.pieces.encode(texts)

@@ -15,71 +15,115 @@ import regex
 _ODD_SPACE = regex.compile(r" (?=\s)| \Z")
 _COARSE = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
 
-# A worker forgets its pieces when it has seen so many different ones (some 100 MB).
-KNOWN_PIECES = 400_000
+# A worker that has seen so many different pieces (some 100 MB) keeps only those that came up several times.
+KNOWN_PIECES, SEVERAL = 400_000, 3
 
 
 class PieceIds(dict):
     """Numbers of the pieces seen, and their token ids one after another.
 
-    A key that is a string stands for a space and that string; a tuple holds a piece as it is.
+    A key that is a string stands for a space and that string; a tuple holds a piece as it is. Texts with one of the
+    strings in ``whole`` are never cut: to the tokenizer these are tokens wherever they stand.
     """
 
-    def __init__(self, encode: Callable[[Sequence[str]], Sequence[Sequence[int]]], known: int = KNOWN_PIECES) -> None:
+    def __init__(self, encode: Callable[[Sequence[str]], Sequence[Sequence[int]]], known: int = KNOWN_PIECES, whole: Sequence[str] = ()) -> None:
         super().__init__()
         self._encode, self._known = encode, known
-        self._forget()
-
-    def _forget(self) -> None:
-        self.clear()
+        self._whole = regex.compile("|".join(map(regex.escape, whole))) if whole else None
         self._new: list = []
-        self._done = 0
-        self._flat, self._lengths = np.zeros(1024, np.uint32), np.zeros(1024, np.int64)
-        self._used = 0
-        self._starts = np.zeros(1024, np.int64)
+        self._done = self._used = 0
+        self._flat = np.zeros(1024, np.uint32)
+        self._starts, self._lengths, self._uses = (np.zeros(1024, np.int64) for _ in range(3))
 
     def __missing__(self, key) -> int:
         number = self[key] = len(self)
         self._new.append(key)
         return number
 
+    def _forget(self) -> None:
+        """Keep the pieces that came up several times, the most frequent half of what may be known at most."""
+        uses = self._uses[:self._done]
+        stay = np.flatnonzero(uses >= SEVERAL)
+        if len(stay) > self._known // 2:
+            stay = np.sort(stay[np.argsort(uses[stay], kind="stable")[-(self._known // 2):]])
+        keys = list(self)
+        keys = [keys[n] for n in stay.tolist()]
+        lengths, flat = self._lengths[stay], self._gather(stay)
+        self.clear()
+        self.update(zip(keys, range(len(keys)), strict=True))
+        self._done, self._used = len(keys), len(flat)
+        self._flat = flat
+        self._lengths, self._uses = lengths, np.zeros(len(keys), np.int64)
+        self._starts = np.cumsum(lengths) - lengths
+
     def _learn(self) -> None:
         if not self._new:
             return
-        pieces = [(" " + k if isinstance(k, str) else k[0]) for k in self._new]
-        cut = [_COARSE.findall(p) if "\n" in p else (p,) for p in pieces]
+        # a key of two is a text that is not cut
+        pieces = [" " + k if isinstance(k, str) else k[-1] for k in self._new]
+        cut = [_COARSE.findall(p) if "\n" in p and len(k) != 2 or not p else (p,) for k, p in zip(
+            [k if isinstance(k, tuple) else () for k in self._new], pieces, strict=True)]
         words = list(dict.fromkeys(w for ws in cut for w in ws))
         ids = dict(zip(words, self._encode(words), strict=True))
         found = [ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]] for ws in cut]
+        self._add(found)
+        self._new.clear()
+
+    def _add(self, found: Sequence[Sequence[int]]) -> None:
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         size, count = self._used + int(lengths.sum()), self._done + len(found)
         if size > len(self._flat):
             self._flat = np.concatenate([self._flat, np.zeros(size, np.uint32)])
         if count > len(self._starts):
-            self._starts, self._lengths = (np.concatenate([x, np.zeros(count, np.int64)]) for x in (self._starts, self._lengths))
+            self._starts, self._lengths, self._uses = (
+                np.concatenate([x, np.zeros(count, np.int64)]) for x in (self._starts, self._lengths, self._uses))
         self._flat[self._used:size] = np.fromiter((i for ids in found for i in ids), np.uint32, size - self._used)
         self._lengths[self._done:count] = lengths
         self._starts[self._done:count] = self._used + np.cumsum(lengths) - lengths
         self._used, self._done = size, count
-        self._new.clear()
 
-    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        """The ids of each text, as unsigned 32-bit integers."""
+    def _keys(self, text: str) -> list:
+        if self._whole and self._whole.search(text):
+            return [("", text)]
+        if _ODD_SPACE.search(text):
+            return [(p,) for p in _COARSE.findall(text)]
+        keys = text.split(" ")
+        if keys[0]:
+            keys[0] = (keys[0],)
+        else:
+            del keys[0]
+        return keys
+
+    def encode_all(self, texts: Sequence[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, as unsigned 32-bit integers, and how many each text has.
+
+        With ``end`` that id follows each text.
+        """
         if len(self) > self._known:
             self._forget()
-        numbers = []
-        for text in texts:
-            if _ODD_SPACE.search(text):
-                keys = [(p,) for p in _COARSE.findall(text)]
-            else:
-                keys = text.split(" ")
-                if keys[0]:
-                    keys[0] = (keys[0],)
-                else:
-                    del keys[0]
-            numbers.append(np.fromiter(map(self.__getitem__, keys), np.int64, len(keys)))
+        if end is not None and ("", "", end) not in self:
+            self[("", "", end)] = len(self)
+            self._add([[end]])
+        keys, counts = [], np.zeros(len(texts), np.int64)
+        for n, text in enumerate(texts):
+            some = self._keys(text)
+            if end is not None:
+                some.append(("", "", end))
+            counts[n] = len(some)
+            keys += some
+        numbers = np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
         self._learn()
-        return [self._gather(n) for n in numbers]
+        uses = np.bincount(numbers, minlength=self._done)
+        self._uses[:self._done] += uses[:self._done]
+        total = np.concatenate([[0], np.cumsum(self._lengths[numbers])])
+        ends = np.cumsum(counts)
+        return self._gather(numbers), total[ends] - total[ends - counts]
+
+    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """The ids of each text, as unsigned 32-bit integers."""
+        ids, sizes = self.encode_all(texts)
+        ends = np.cumsum(sizes)
+        return [ids[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
 
     def _gather(self, numbers: np.ndarray) -> np.ndarray:
         lengths = self._lengths[numbers]
