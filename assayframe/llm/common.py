@@ -68,6 +68,21 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: str, size: str, by: str)
     return dealt.join(copied, [key, "_part"]).drop("_part")
 
 
+def shielded(docs: DataFrame, *needed: str):
+    """The frame with all columns but the needed ones under names of no meaning, and what gives them their own again.
+
+    So no column of the input is taken for a helper's. ``undo(out, *added)`` puts the columns in their old order, then
+    those added; a column of the input called like one of these is replaced.
+    """
+    inner = [c if c in needed else f"column {n}" for n, c in enumerate(docs.columns)]
+
+    def undo(out: DataFrame, *added: str) -> DataFrame:
+        kept = [F.col(f"`{i}`").alias(c) for i, c in zip(inner, docs.columns, strict=True) if c not in added]
+        return out.select(*kept, *added)
+
+    return docs.toDF(*inner), undo
+
+
 def every_nth(docs: DataFrame, rows: int, wanted: int) -> DataFrame:
     """About ``wanted`` of the ``rows`` rows, chosen by a hash of doc_id and text."""
     step = max(1, rows // wanted)

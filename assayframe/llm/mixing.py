@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPREAD, WORD, stored
+from .common import BROADCAST_ROWS, SPREAD, WORD, shielded, stored
 
 RANGE_ROWS, RANGES = 4096, 65536
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, "mix"
@@ -73,9 +73,7 @@ def _range() -> Column:
 
 def sample(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """Every document with size, source_size, target and copies (how often the mix takes it)."""
-    outputs = ["size", "source_size", "target", "copies"]
-    docs = docs.drop(*outputs)
-    columns = docs.columns
+    docs, undo = shielded(docs, "doc_id", "source", "text")
     sized = docs.withColumns({"size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "_place": _place()})
     # first pass: counts by source and place, added up to sources and to the ranges of their documents
     places = stored(sized.groupBy("source", "_place").agg(F.count("*").alias("_n"), F.sum("size").alias("_size")), "places")
@@ -95,7 +93,7 @@ def sample(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, se
     offset = _hash32(F.concat(F.lit(seed + ":"), F.coalesce("source", F.lit("")))) / float(1 << 32)
     nth = F.col("_before") + F.col("_nth")
     copies = F.floor(nth * rate + offset) - F.floor((nth - 1) * rate + offset)
-    return placed.select(*[F.col(f"`{c}`") for c in columns], "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return undo(placed.withColumn("copies", copies.cast("long")), "size", "source_size", "target", "copies")
 
 
 def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -110,6 +108,6 @@ def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The documents of the mix, each as often as it is taken, in the columns of ``docs``."""
-    taken = sample(docs, weights, cap, seed).where(F.col("copies") > 0)
-    copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns if c in taken.columns], copy).drop("_copy")
+    inner, undo = shielded(docs, "doc_id", "source", "text")
+    taken = sample(inner, weights, cap, seed).where(F.col("copies") > 0)
+    return undo(taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let_go, put, slices, small, stored, text_bytes, text_key, with_fields
+from .common import let_go, put, shielded, slices, small, stored, text_bytes, text_key, with_fields
 
 ORDER, START = 5, 2
 # Small counts can give a discount of 0; then a context would leave nothing to what it has not seen.
@@ -244,7 +244,7 @@ def thresholds(held_out: DataFrame, model: DataFrame, quantile: float = QUANTILE
 
 def judge(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, entries: int = ENTRIES) -> DataFrame:
     """Add perplexity, threshold and kept. ``trusted_ids`` has the doc_ids of trusted documents."""
-    docs = docs.drop("perplexity", "threshold", "kept")
+    docs, undo = shielded(docs, "doc_id", "lang", "text")
     ids = trusted_ids.select(F.col("doc_id").alias("_doc")).distinct()
     trusted = stored(docs.select("doc_id", "lang", "text").join(small(ids), F.col("doc_id") == F.col("_doc"), "left_semi"), "trusted")
     held = F.pmod(F.xxhash64("doc_id", "text"), F.lit(HELD_OUT)) == 0
@@ -253,4 +253,5 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, e
     scored = perplexities(docs, model, entries)
     # one row per language
     out = scored.join(F.broadcast(limits), F.coalesce("lang", F.lit("")) == F.col("_lang"), "left").drop("_lang")
-    return out.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
+    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+    return undo(out.withColumn("kept", kept), "perplexity", "threshold", "kept")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let_go, put, slices, small, spread_join, stored, text_bytes, text_key, with_fields
+from .common import let_go, put, shielded, slices, small, spread_join, stored, text_bytes, text_key, with_fields
 from .components import components
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -148,7 +148,7 @@ def groups(docs: DataFrame, text: str = "text") -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each group: the one of the smallest doc_id (null last), then of the smallest hash of
     the text; one row where that row is repeated."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    docs, undo = shielded(docs, "doc_id", "text")
     same = groups(docs).groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
     wanted = same.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n")).alias("first"))
     wanted = stored(wanted.select(F.col("first.doc_id").alias("_doc"), F.col("first.key").alias("_key"), F.col("first.n").alias("_n")), "wanted")
@@ -156,4 +156,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     if not wanted.where("_n > 1").isEmpty():
         once = kept.where("_n > 1").dropDuplicates(["_doc", "_key"])
         kept = kept.where("_n = 1").unionByName(once)
-    return kept.select(*columns)
+    return undo(kept)

@@ -2,16 +2,18 @@
 
 The minimiser of a window is the smallest hash of its runs of ``M`` words. Consecutive windows with the same
 minimiser travel together, as one packed string (their words, joined by spaces), to the bucket of the
-minimiser; equal windows have equal minimisers, so all places of a window meet in one bucket. There all
-windows are sorted by hash and equal neighbours compared byte by byte, so counts are exact.
+minimiser; equal windows have equal minimisers, so all places of a window meet in one bucket. There the
+hashes of all windows are sorted, and windows of equal hash compared by a 32-byte digest of their words.
 
 What keeps buckets even:
 
 - runs of words found in many documents of a bounded sample come last in the order of hashes, so a frequent
   phrase is the minimiser only of windows that hold nothing rarer. The sample moves work, never results;
-- a packed string found twice among the documents of one batch is known to repeat. It is answered there and
-  sent once, without its places; so of a passage with very many copies each batch sends one string;
-- packed strings hold at most ``RUN`` windows.
+- a packed string found twice among ``HELD_BYTES`` of text is known to repeat. It is answered there and
+  sent once, without its places; so of a passage with very many copies a task sends few strings;
+- packed strings hold at most ``RUN`` windows;
+- buckets grow in number with the bytes of all texts. A bucket is read string by string: what it keeps of them is
+  their compressed form and 24 bytes for each window, so one of many times the usual size is no harm.
 
 Null and blank texts have no words. Documents shorter than a window keep all words. Rows are told apart by
 doc_id and a hash of the text; rows equal in both are copies of each other, and their windows repeat.
@@ -20,6 +22,7 @@ Columns of the input called like an output are replaced.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import every_nth, let_go, put, slices, text_bytes, text_key, with_fields
+from .common import every_nth, let_go, put, shielded, slices, text_bytes, text_key, with_fields
 
 WINDOW, M, RUN = 35, 4, 256
-# Bytes of text that one batch packs, and number of buckets for each shuffle partition.
-BATCH_BYTES, BUCKETS = 4 << 20, 16
+# Bytes of text whose strings are looked through for equal ones and compressed together, and that are packed at a time.
+HELD_BYTES, BATCH_BYTES = 4 << 20, 1 << 20
+# Buckets for each shuffle partition at least, and bytes of text for one bucket at most.
+BUCKETS, BUCKET_BYTES = 16, 1 << 20
+# Of zstd.
+LEVEL = 3
 # Documents that are looked at for frequent runs, and in how many of them a run counts as frequent.
 SAMPLE, FREQUENT = 10_000, 20
 
@@ -164,62 +171,78 @@ class _Packed:
     def string(self, n: int) -> bytes:
         return self.words.slice(self.first[n], self.last[n])
 
-    def repeated(self) -> tuple[np.ndarray, np.ndarray]:
-        """Which strings to send, and which strings have an equal one here."""
-        hashes = self.words.hashes(self.words.starts[self.first], self.words.ends[self.last])
-        send, equal = np.ones(len(hashes), bool), np.zeros(len(hashes), bool)
-        order = np.argsort(hashes, kind="stable")
-        ranked = hashes[order]
-        bounds = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1], [True]]))
-        for at in np.flatnonzero(np.diff(bounds) > 1):
-            seen: dict[bytes, int] = {}
-            for n in order[bounds[at]:bounds[at + 1]].tolist():
-                one = seen.setdefault(self.string(n), n)
-                if one != n:
-                    send[n], equal[n], equal[one] = False, True, True
-        return send, equal
-
 
-_BUCKETED = "bucket int, strings binary, rows binary"
+_BUCKETED = "bucket long, strings binary, rows binary"
 _PLACES = "doc_id long, key long, start long, stop long"
 
 
+class _Held:
+    """Packed strings on their way to buckets, each once, and the places of those that are known to repeat."""
+
+    def __init__(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.buckets: list[int] = []
+        self.places: list[tuple] = []
+        self.known: list[tuple] = []
+        self.size = 0
+
+    def add(self, packed: _Packed, ids: list[int], none: list[bool], keys: list[int], buckets: int) -> None:
+        bucket = (_mixed(packed.key) % np.uint64(buckets)).tolist()
+        for n, (row, word, windows) in enumerate(zip(packed.row.tolist(), packed.word.tolist(), packed.windows.tolist(), strict=True)):
+            place = (ids[row], none[row], keys[row], word, windows)
+            string = packed.string(n)
+            one = self.at.setdefault(string, len(self.places))
+            if one == len(self.places):
+                self.buckets.append(bucket[n])
+                self.places.append((*place, 0))
+            else:
+                if not self.places[one][5]:
+                    self.known.append(self.places[one][:5])
+                    self.places[one] = (*self.places[one][:5], 1)
+                self.known.append(place)
+        self.size += len(packed.words.buffer)
+
+    def rows(self, shrink, buckets: int) -> Iterator[pa.RecordBatch]:
+        """A row for each bucket; known places are spread below 0 by document."""
+        out: dict[str, list] = {"bucket": [], "strings": [], "rows": []}
+
+        def put_row(bucket: int, strings: bytes, places: list) -> None:
+            out["bucket"].append(bucket)
+            out["strings"].append(shrink.compress(strings) if strings else b"")
+            out["rows"].append(shrink.compress(np.array(places, "<i8").tobytes()))
+
+        for at in range(0, len(self.known), 4096):
+            some = self.known[at:at + 4096]
+            put_row(-1 - some[0][2] % buckets, b"", [(*p, 1) for p in some])
+        strings, bucket = list(self.at), np.array(self.buckets, np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bounds = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]])) if len(order) else [0]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            some = order[a:b].tolist()
+            put_row(int(bucket[some[0]]), b"\n".join([strings[n] for n in some]), [self.places[n] for n in some])
+        if out["bucket"]:
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int64()), "strings": pa.array(out["strings"], pa.binary()),
+                                              "rows": pa.array(out["rows"], pa.binary())})
+
+
 def _pack(frequent: np.ndarray, buckets: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         let_go()
-        shrink = zstandard.ZstdCompressor(level=1)
+        shrink = zstandard.ZstdCompressor(level=LEVEL)
+        held = _Held()
         for batch in slices(batches, "text", BATCH_BYTES):
-            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
-            none = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-            keys = batch.column("key").to_numpy()
+            ids, none = batch.column("doc_id").fill_null(0).to_pylist(), batch.column("doc_id").is_null().to_pylist()
+            keys = batch.column("key").to_pylist()
             for pieces in _batches(_pieces(text_bytes(batch), BATCH_BYTES, window), BATCH_BYTES):
                 packed = _Packed(pieces, frequent, window)
-                if not len(packed.key):
-                    continue
-                send, equal = packed.repeated()
-                out: dict[str, list] = {"bucket": [], "strings": [], "rows": []}
-                # answers known here, places whose windows all repeat, go to a bucket below 0, another for each batch
-                here = np.flatnonzero(equal)
-                if len(here):
-                    row = packed.row[here]
-                    places = np.stack([ids[row], none[row], keys[row], packed.word[here], packed.windows[here], equal[here]], 1)
-                    out["bucket"].append(-1 - int(packed.key[here[0]] % np.uint64(buckets)))
-                    out["strings"].append(b"")
-                    out["rows"].append(shrink.compress(places.astype("<i8").tobytes()))
-                bucket = (_mixed(packed.key) % np.uint64(buckets)).astype(np.int64)
-                order = np.flatnonzero(send)[np.argsort(bucket[send], kind="stable")]
-                bounds = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]]))
-                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    some = order[a:b]
-                    row = packed.row[some]
-                    places = np.stack([ids[row], none[row], keys[row], packed.word[some], packed.windows[some], equal[some]], 1)
-                    out["bucket"].append(int(bucket[some[0]]))
-                    out["strings"].append(shrink.compress(b"\n".join(packed.string(n) for n in some.tolist())))
-                    out["rows"].append(shrink.compress(places.astype("<i8").tobytes()))
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int32()), "strings": pa.array(out["strings"], pa.binary()),
-                                                  "rows": pa.array(out["rows"], pa.binary())})
+                if len(packed.key):
+                    held.add(packed, ids, none, keys, buckets)
+                if held.size >= HELD_BYTES:
+                    yield from held.rows(shrink, buckets)
+                    held = _Held()
+        yield from held.rows(shrink, buckets)
         _Powers.forget()
 
     return run
@@ -236,40 +259,57 @@ def _count(window: int):
         import zstandard
 
         grow = zstandard.ZstdDecompressor()
-        places = np.concatenate([np.frombuffer(grow.decompress(r), "<i8").reshape(-1, 6) for r in table["rows"].to_pylist()])
+        parts = [np.frombuffer(grow.decompress(r), "<i8").reshape(-1, 6) for r in table["rows"].to_pylist()]
+        places = np.concatenate(parts)
         if table["bucket"][0].as_py() < 0:
             return _places(places, places[:, 3], places[:, 3] + places[:, 4] + window - 1)
-        strings = [s for blob in table["strings"].to_pylist() for s in grow.decompress(blob).split(b"\n")]
-        words = Words(b" ".join(strings))
-        # window numbers, string by string, as the number of their first word in the buffer
-        counts = places[:, 4] + window - 1
-        first = np.cumsum(counts) - counts
-        owner = np.repeat(np.arange(len(places)), places[:, 4])
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(places[:, 4]) - places[:, 4], places[:, 4])
-        at = first[owner] + nth
-        twice = places[owner, 5].astype(bool)
-        hashes = words.hashes(words.starts[at], words.ends[at + window - 1])
+        blobs = table["strings"]
+
+        def read(part: int) -> tuple[Words, np.ndarray]:
+            """The words of a part's strings, and the number of each window's first word among them."""
+            words = Words(grow.decompress(blobs[part].as_py()).replace(b"\n", b" "))
+            windows = parts[part][:, 4]
+            first = np.cumsum(windows + window - 1) - (windows + window - 1)
+            nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+            return words, np.repeat(first, windows) + nth
+
+        found = []
+        for part in range(len(parts)):
+            words, at = read(part)
+            found.append(words.hashes(words.starts[at], words.ends[at + window - 1]))
+        hashes = np.concatenate(found)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        del found
         order = np.argsort(hashes, kind="stable")
         ranked = hashes[order]
-        bounds = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1], [True]]))
-        for group in np.flatnonzero(np.diff(bounds) > 1):
-            members = order[bounds[group]:bounds[group + 1]].tolist()
-            seen: dict[bytes, int] = {}
-            for n in members:
-                one = seen.setdefault(words.slice(at[n], at[n] + window - 1), n)
-                if one != n:
-                    twice[n] = twice[one] = True
-        # a string that its batch found twice stands for places that are answered already
+        equal = np.zeros(len(hashes), bool)
+        same = ranked[1:] == ranked[:-1]
+        equal[order[1:][same]] = equal[order[:-1][same]] = True
+        del order, ranked, same
+        owner = np.repeat(np.arange(len(places)), places[:, 4])
+        twice = places[owner, 5].astype(bool)
+        seen: dict[bytes, int] = {}
+        for part, begin in enumerate((np.cumsum(sizes) - sizes).tolist()):
+            some = np.flatnonzero(equal[begin:begin + sizes[part]])
+            if not len(some):
+                continue
+            words, at = read(part)
+            for n in some.tolist():
+                one = seen.setdefault(hashlib.sha256(words.slice(at[n], at[n] + window - 1)).digest(), begin + n)
+                if one != begin + n:
+                    twice[begin + n] = twice[one] = True
+        _Powers.forget()
+        # a string that its task found twice stands for places that are answered already
         hit = np.flatnonzero(twice & (places[owner, 5] == 0))
         if not len(hit):
             return _places(places[:0], places[:0, 3], places[:0, 3])
+        nth = hit - (np.cumsum(places[:, 4]) - places[:, 4])[owner[hit]]
         new = np.ones(len(hit), bool)
         new[1:] = (owner[hit[1:]] != owner[hit[:-1]]) | (hit[1:] != hit[:-1] + 1)
         begin = np.flatnonzero(new)
         last = np.append(begin[1:], len(hit)) - 1
         row = places[owner[hit[begin]]]
-        start = row[:, 3] + nth[hit[begin]]
-        return _places(row, start, row[:, 3] + nth[hit[last]] + window)
+        return _places(row, row[:, 3] + nth[begin], row[:, 3] + nth[last] + window)
 
     return run
 
@@ -293,9 +333,10 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, buckets: int | None =
     Runs of one document may touch or overlap.
     """
     spark = docs.sparkSession
-    buckets = buckets or BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    buckets = buckets or max(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_key().alias("key"))
-    frequent = frequent_runs(docs, docs.count())
+    frequent = frequent_runs(docs, rows)
     packed = keyed.mapInArrow(_pack(frequent, buckets, window), _BUCKETED)
     return packed.groupBy("bucket").applyInArrow(_count(window), _PLACES)
 
@@ -306,16 +347,17 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, keep_layout: bool = F
     The words that stay are joined by one space; with ``keep_layout`` the white space between words that were
     neighbours stays as it was. A text of which nothing stays is empty.
     """
-    renamed = docs if text == "text" else docs.drop("text").withColumnRenamed(text, "text")
+    plain, undo = shielded(docs, "doc_id", text)
+    renamed = plain.select("doc_id", F.col(text).alias("text"))
     places = repeated_places(renamed, window).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("_places"))
     places = places.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "_places")
-    own = renamed.withColumn("_own", text_key())
+    own = plain.withColumn("_own", text_key(text))
     joined = own.join(places, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_key")), "left").drop("_doc", "_key", "_own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", BATCH_BYTES):
+        for batch in slices(batches, text, BATCH_BYTES):
             texts, n_words, n_removed = [], [], []
-            for whole, cut in zip(text_bytes(batch), batch.column("_places").to_pylist(), strict=True):
+            for whole, cut in zip(text_bytes(batch, text), batch.column("_places").to_pylist(), strict=True):
                 words = whole.split()
                 gone = np.zeros(len(words) + 1, np.int64)
                 for place in cut or ():
@@ -325,14 +367,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, keep_layout: bool = F
                 texts.append((_laid_out if keep_layout else _joined)(whole, words, gone))
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
-            at = batch.schema.get_field_index("text")
-            out = batch.set_column(at, pa.field("text", pa.string()), pa.array([t.decode() for t in texts], pa.string()))
+            at = batch.schema.get_field_index(text)
+            out = batch.set_column(at, pa.field(text, pa.string()), pa.array([t.decode() for t in texts], pa.string()))
             out = out.drop_columns(["_places"])
             yield put(out, n_words=pa.array(n_words, pa.int64()), n_removed=pa.array(n_removed, pa.int64()))
 
     schema = with_fields(joined.drop("_places").schema, ("n_words", "long"), ("n_removed", "long"))
     out = joined.mapInArrow(run, schema)
-    return out if text == "text" else out.withColumnRenamed("text", text)
+    return undo(out, "n_words", "n_removed")
 
 
 def _joined(whole: bytes, words: list[bytes], gone: np.ndarray) -> bytes:

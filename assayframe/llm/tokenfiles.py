@@ -26,20 +26,21 @@ from pyspark.sql import functions as F
 from .common import kept, new_folder, slices, stored, text_key
 from .pieces import PieceIds
 
-BATCH_BYTES = 4 << 20
+# Bytes of text that are encoded at a time, and of one part at most, on average.
+BATCH_BYTES, PART_BYTES = 4 << 20, 256 << 20
 # Where ids of all parts before one are added up, parts are rows: one per task that wrote.
 _PART = "part long, file string, wide boolean, n_docs long, n_null long, n_tokens long"
 
 def _encoder(path: str) -> tuple[PieceIds, bool]:
-    """One encoder per worker, and whether its ids need 32 bits. Special tokens' strings are ordinary text."""
+    """One encoder per worker, and whether its ids need 32 bits. Strings of special tokens are these, as in the library."""
     def make() -> tuple[PieceIds, bool]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         encode = lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        return PieceIds(encode), tokenizer.get_vocab_size() > 1 << 16
+        return PieceIds(encode, whole=added), tokenizer.get_vocab_size() > 1 << 16
 
     return kept(("tokenizer", path), make)
 
@@ -48,13 +49,19 @@ def _store(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
 
 
+def _qualified(spark, folder: str) -> str:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None) -> DataFrame:
     """Write the token files; returns the manifest: part, file, wide, n_docs, n_null, n_tokens, first_token.
 
-    ``path`` is a tokenizer file with byte-level pre-tokenizing; ``end_id`` ends each document.
+    ``path`` is a tokenizer file with byte-level pre-tokenizing; ``end_id`` ends each document. ``folder`` is on storage that
+    all executors reach; without a scheme it means the cluster's default file system.
     """
     spark = docs.sparkSession
-    folder = folder or new_folder(spark, "tokens")
+    folder = _qualified(spark, folder) if folder else new_folder(spark, "tokens")
     store, root = _store(folder)
     store.create_dir(root, recursive=True)
 
@@ -70,9 +77,7 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None) ->
                 store.open_output_stream(f"{name}.doc") as doc:
             off.write(offsets.tobytes())
             for batch in slices(batches, "text", BATCH_BYTES):
-                found = pieces.encode(batch.column("text").fill_null("").to_pylist())
-                lengths = np.fromiter(map(len, found), np.int64, len(found)) + 1
-                ids = np.concatenate([x for ids in found for x in (ids, [end_id])])
+                ids, lengths = pieces.encode_all(batch.column("text").fill_null("").to_pylist(), end_id)
                 out.write(ids.astype("<u4" if wide else "<u2").tobytes())
                 off.write((total + np.cumsum(lengths)).astype("<i8").tobytes())
                 doc.write(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
@@ -84,8 +89,10 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None) ->
                                               "n_null": [nulls], "n_tokens": [total]})
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("_key"))
-    # the number of parts is the session's number of shuffle partitions
-    placed = keyed.repartitionByRange("doc_id", "_key").sortWithinPartitions("doc_id", "_key").drop("_key")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # parts grow in number with the texts, beyond the session's number of shuffle partitions
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
+    placed = keyed.repartitionByRange(parts, "doc_id", "_key").sortWithinPartitions("doc_id", "_key").drop("_key")
     parts = stored(placed.mapInArrow(run, _PART), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return parts.withColumn("first_token", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))

@@ -21,8 +21,9 @@ from assayframe.llm.components import components
 from assayframe.llm.queries import END_ID, RANK_FILE, TOKENIZER_FILE
 
 PASSAGE = " ".join(f"w{i}" for i in range(60))
-# The columns called ids, size, key, kept, places and rank clash with outputs or helpers.
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids string, size string, key string, kept string, places string, rank string"
+# The columns after n_chars clash with outputs or helpers.
+CLASHES = ["ids", "size", "key", "kept", "places", "rank", "n", "_in", "_source", "_before", "_ranges", "_doc", "_key", "_places", "_n", "_lang"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
 LONG = " ".join(f"long{i % 977}" for i in range(9000))
 ODD = [
     (1, None, None, None), (2, "", "en", "a"), (3, " \t\n\x0b\x0c\r ", "en", "a"), (4, "one", "en", "a"),
@@ -35,7 +36,7 @@ ODD = [
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame([(*r, 1, "i", "s", "k", "t", "p", "r") for r in ODD], SCHEMA).repartition(3).cache()
+    return spark.createDataFrame([(*r, 1, *(c[:1] for c in CLASHES)) for r in ODD], SCHEMA).repartition(3).cache()
 
 
 @pytest.fixture(scope="module")
@@ -99,7 +100,6 @@ def test_token_files(odd, empty):
 
     path = public_tokenizers.path(TOKENIZER_FILE)
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     rows = tokenfiles.read(tokenfiles.write(odd, path, END_ID)).orderBy("start").collect()
     assert [r["start"] for r in rows] == [0, *np.cumsum([r["n_tokens"] for r in rows])[:-1].tolist()]
     assert [r["doc_id"] for r in rows] == sorted((r[0] for r in ODD), key=lambda i: -1 if i is None else i)
