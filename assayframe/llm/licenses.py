@@ -1,38 +1,41 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a run of words over line ends: a notice may be wrapped anywhere. It matches a template if it has
-at least ``THRESHOLD`` of the template's different words. A run has as many words as a text of which the template is
-that share, so words that only stand somewhere in a text are no match; a line has any length. The join of lines is
-exact and never compares a line with a template it cannot match:
-
-- words are ordered by how many blocks of all documents hold them, rarest first. Words of no template
-  cannot match; a block is reduced to its template words;
-- prefix filter: a template of n words that must share k has its first n - k + 1 words as prefix, and a
-  matching block holds one of them; blocks meet templates in an equi-join on these words;
-- length filter: a block of fewer than k template words is left out;
-- positional filter: a word at place i of a template and j of a block leaves at most
-  1 + min(n - i, m - j) shared words from the rarest shared one on;
-- what remains is verified by the size of the intersection.
-
-Runs are looked at only in texts of several lines that hold enough of a template's words at all. They begin at each
-word of the template, so no match is lost; of runs that hold the same words the last one counts.
-
-Templates are a short list of the caller's, so what is broadcast does not grow with the documents.
+A block is a run of consecutive words, over line ends too, as long as a text of which the template is a share of
+``THRESHOLD`` (a template of 8 words: 10). It begins at a word of the template. It matches if it holds at least that
+share of the template's different words, among them every word that tells the template from its kin (``needed``: a
+version, `mit`, `sa`), and none that speaks for another one (``barred``: `nc` in a text of CC BY-SA). So of notices that
+differ in one word only the right one is found, and words that merely stand somewhere in a text are no match. The join
+is exact and never compares a block with a template it cannot match:
+
+- words are ordered by how many documents hold them, rarest first;
+- length filter: texts with fewer words of every template than it asks for are left out before they are looked at by place;
+- prefix filter: a template of n words that must share k has its first n - k + 1 words as prefix, and the rarest shared
+  word of a matching block is one of them; places of these words meet templates in an equi-join on the word;
+- positional filter: around such a place, at most a block's length away, must stand k - 1 different words that come after
+  it in the template's order;
+- what remains is verified block by block.
+
+A text is cut into words once; what the joins carry is one short stretch of words for each place of a prefix word, so a
+very long text costs what its words cost. Templates are the caller's list, at most ``MAX_TEMPLATES``, so what is
+broadcast does not grow with the documents.
 Null and blank texts have no words and no labels. Rows are told apart by doc_id and a hash of the text;
-rows equal in both get equal results. An empty table gives an empty one.
+rows equal in both get equal results. An empty table gives an empty one. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import stored, text_key
 
 THRESHOLD = 0.8
+MAX_TEMPLATES = 1000
 
 # What is no part of a word (after A-Z became a-z), phrases and the label of each.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -44,21 +47,45 @@ PHRASES = {
     "mit license": "mit",
 }
 
+
+@dataclass(frozen=True)
+class Template:
+    """A notice, its label, words that a block must hold, and words that it must not hold."""
+
+    label: str
+    text: str
+    needed: str = ""
+    barred: str = ""
+
+    @property
+    def words(self) -> list[str]:
+        return list(dict.fromkeys(_all_words(self.text)))
+
+    def least(self, threshold: float) -> int:
+        """Different words that a block must share."""
+        return math.ceil(threshold * len(self.words) - 1e-9)
+
+    def run(self, threshold: float) -> int:
+        """Words of a block."""
+        return math.ceil(len(_all_words(self.text)) / threshold - 1e-9)
+
+
 # Notices that license authors ask to be copied, by SPDX-like label.
 TEMPLATES = (
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-            "General Public License as published by the Free Software Foundation"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-            "associated documentation files"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted "
-            "provided that the following conditions are met"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    Template("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", "gnu 3", "lesser affero library"),
+    Template("gpl-2.0", "This work is licensed under the GNU General Public License, version 2", "gnu 2", "lesser affero library"),
+    Template("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                    "General Public License as published by the Free Software Foundation", "gnu", "lesser affero library"),
+    Template("apache-2.0", "Licensed under the Apache License, Version 2.0", "apache 2"),
+    Template("mit", "Released under the MIT License", "mit"),
+    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+                    "associated documentation files", "permission granted"),
+    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted "
+                    "provided that the following conditions are met", "redistribution binary"),
+    Template("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", "cc by nc 4", "sa nd"),
+    Template("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", "cc by sa 4", "nc nd"),
+    Template("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "creative attribution 4",
+             "noncommercial sharealike noderivatives noderivs nc sa nd"),
 )
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,21 +100,12 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def phrase_places(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, text: str = "text") -> DataFrame:
-    """Add n_words and places, an array of (start, label): where a phrase's words stand in a row.
-
-    Words are only looked at one by one in texts where a regular expression finds a phrase.
-    """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    found = "(?i)" + "|".join((GAP + "+").join(p.split()) for p in phrases)
-    out = docs.withColumn("_words", words(F.col(text))).withColumn("n_words", F.size("_words").cast("long"))
-    out = out.withColumn("_lower", F.when(F.rlike(whole, F.lit(found)), F.transform("_words", lower_ascii)))
-
+def _phrase_places(phrases: Mapping[str, str]) -> Column:
+    """(start, label) of every place where a phrase's words stand in a row in ``_lower``; null has none."""
     at = F.sequence(F.lit(0), F.size("_lower") - 1)
     kind = "array<struct<start:int,label:string>>"
     each = [_starts(at, phrase.split(), label) for phrase, label in phrases.items()]
-    places = F.when(F.size("_lower") > 0, F.flatten(F.array(*each)).cast(kind)).otherwise(F.array().cast(kind))
-    return out.withColumn("places", places).drop("_words", "_lower")
+    return F.when(F.size("_lower") > 0, F.flatten(F.array(*each)).cast(kind)).otherwise(F.array().cast(kind))
 
 
 def _starts(at: Column, phrase: Sequence[str], label: str) -> Column:
@@ -102,97 +120,90 @@ def _starts(at: Column, phrase: Sequence[str], label: str) -> Column:
 
 
 def _all_words(text: str) -> list[str]:
-    import re
-
     return re.findall(r"[0-9a-z]+", text.lower())
 
 
-def _template_words(text: str) -> list[str]:
-    return list(dict.fromkeys(_all_words(text)))
-
-
-def word_order(docs: DataFrame, vocabulary: Sequence[str], text: str = "text") -> list[str]:
-    """The words of ``vocabulary``, rarest in all of ``docs`` first. One row per word comes back."""
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(w,) for w in vocabulary], "word string")
-    each = docs.select(F.explode(words(F.col(text))).alias("word")).select(F.lower("word").alias("word"))
-    counts = {r["word"]: r["n"] for r in each.join(F.broadcast(known), "word").groupBy("word").agg(F.count("*").alias("n")).collect()}
-    return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
-
-
-def _wrapped(docs: DataFrame, templates: Sequence[tuple[str, str]], threshold: float, order: list[str], text: str) -> DataFrame:
-    """Runs of words that match, as :func:`template_matches` gives them; block is the line in which a run begins."""
-    rules = []
-    for number, (label, template) in enumerate(templates):
-        ws, size = _template_words(template), len(_all_words(template))
-        rules.append((number, label, ws, math.ceil(threshold * len(ws) - 1e-9), math.ceil(size / threshold - 1e-9)))
-    table = docs.sparkSession.createDataFrame(rules, "template int, label string, wanted array<string>, least int, run int")
-    several = docs.where(F.contains(F.col(text), F.lit("\n"))).select("doc_id", F.col(text).alias("_text"))
-    own = F.array_intersect(F.transform(words(F.col("_text")), lower_ascii), F.lit(order))
-    # ten templates or so: each text is held against all of them, its template words once worked out
-    met = several.withColumn("_own", own).join(F.broadcast(table), F.size(F.array_intersect("_own", "wanted")) >= F.col("least")).drop("_own")
-
-    def line_words(line: Column, number: Column) -> Column:
-        return F.transform(words(line), lambda w: F.struct(number.alias("line"), lower_ascii(w).alias("word")))
-
-    met = met.withColumn("_placed", F.flatten(F.transform(F.split("_text", "\n"), line_words)))
-    at = F.filter(F.sequence(F.lit(0), F.size("_placed") - 1), lambda i: F.array_contains("wanted", F.get("_placed", i)["word"]))
-
-    def run(i: Column) -> Column:
-        inside = F.transform(F.slice("_placed", i + 1, F.col("run")), lambda x: x["word"])
-        return F.struct(F.get("_placed", i)["line"].alias("block"), F.size(F.array_intersect(inside, "wanted")).alias("shared"))
-
-    met = met.withColumn("_runs", F.transform(at, run))
-    best = F.filter("_runs", lambda r, i: (r["shared"] >= F.col("least")) & (r["shared"] > F.coalesce(F.get("_runs", i + 1)["shared"], F.lit(0))))
-    found = met.select("doc_id", text_key("_text").alias("key"), "template", "label", F.size("wanted").alias("_n"), F.explode(best).alias("_run"))
-    return found.select("doc_id", "key", F.col("_run.block").alias("block"), "template", "label", (F.col("_run.shared") / F.col("_n")).alias("score"))
-
-
-def template_matches(
-    docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text",
-) -> DataFrame:
-    """Every block and template that meet: doc_id, key (hash of the text), block (line where it begins, from 0), template, label, score."""
-    spark = docs.sparkSession
-    texts = [_template_words(t) for _, t in templates]
-    order = word_order(docs, sorted({w for t in texts for w in t}), text)
-    rank = {w: n for n, w in enumerate(order)}
-    lines, prefixes = [], []
-    for number, (ws, (label, _)) in enumerate(zip(texts, templates, strict=True)):
-        ranks = sorted(rank[w] for w in ws)
-        least = math.ceil(threshold * len(ranks) - 1e-9)
-        lines.append((number, label, ranks, least))
-        prefixes += [(r, number, place, len(ranks), least) for place, r in enumerate(ranks[:len(ranks) - least + 1])]
-    rules = spark.createDataFrame(lines, "template int, label string, ranks array<int>, least int")
-    prefix = spark.createDataFrame(prefixes, "rank int, template int, place int, length int, least int")
-    # a document without any prefix word has no matching block; most texts end here
-    gap_before, gap_after = f"(?<![^{GAP[1:-1]}])", f"(?![^{GAP[1:-1]}])"
-    first = "|".join(sorted({order[r] for r, *_ in prefixes}))
+def _list(words_: Sequence[str]) -> Column:
+    return F.lit(list(words_)) if words_ else F.array().cast("array<string>")
+
+
+def _read(docs: DataFrame, templates: Sequence[Template], threshold: float, phrases: Mapping[str, str], text: str) -> DataFrame:
+    """The documents, cut into words once: doc_id, key, n_words, places of phrases, the words of templates that a text
+    holds, and all its words if these are enough for a template. Stored."""
+    if not 0 < len(templates) <= MAX_TEMPLATES:
+        raise ValueError(f"{len(templates)} templates, not 1 to {MAX_TEMPLATES}")
+    vocabulary = sorted({w for t in templates for w in t.words})
     whole = F.coalesce(F.col(text), F.lit(""))
-    some = docs.where(F.rlike(whole, F.lit(f"(?i){gap_before}(?:{first}){gap_after}")))
-    blocks = some.select("doc_id", text_key(text).alias("key"), F.posexplode(F.split(whole, "\n")).alias("block", "line"))
-    ranks_of = F.create_map(*[x for w, n in rank.items() for x in (F.lit(w), F.lit(n))])
-    own = F.array_intersect(F.transform(words(F.col("line")), lower_ascii), F.lit(order))
-    blocks = blocks.select("doc_id", "key", "block", F.array_sort(F.transform(own, lambda w: F.element_at(ranks_of, w))).alias("own"))
-    blocks = blocks.where(F.size("own") >= min(x[3] for x in lines))
-    met = blocks.select("*", F.size("own").alias("size"), F.posexplode("own").alias("at", "rank")).join(F.broadcast(prefix), "rank")
-    left = 1 + F.least(F.col("length") - F.col("place") - 1, F.col("size") - F.col("at") - 1)
-    met = met.where((F.col("size") >= F.col("least")) & (left >= F.col("least")))
-    pairs = met.groupBy("doc_id", "key", "block", "template").agg(F.first("own").alias("own"))
-    shared = F.size(F.array_intersect("own", "ranks"))
-    pairs = pairs.join(F.broadcast(rules), "template").where(shared >= F.col("least"))
-    alone = pairs.select("doc_id", "key", "block", "template", "label", (shared / F.size("ranks")).alias("score"))
-    both = alone.unionByName(_wrapped(some, templates, threshold, order, text))
-    return both.groupBy("doc_id", "key", "block", "template", "label").agg(F.max("score").alias("score"))
-
-
-def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    found = "(?i)" + "|".join((GAP + "+").join(p.split()) for p in phrases)
+    # letters beyond A-Z may become ASCII ones here, never the other way, so this only lets some texts pass in vain
+    cut = docs.select("doc_id", text_key(text).alias("key"), whole.alias("_text"), words(F.lower(whole)).alias("_words"))
+    cut = cut.select("doc_id", "key", "_text", F.size("_words").cast("long").alias("n_words"), F.array_intersect("_words", _list(vocabulary)).alias("held"))
+    enough = F.lit(False)
+    for t in templates:
+        met = (F.size(F.array_intersect("held", _list(t.words))) >= t.least(threshold)) & (F.size(F.array_except(_list(t.needed.split()), F.col("held"))) == 0)
+        enough = enough | met
+    phrased = F.rlike("_text", F.lit(found)) if phrases else F.lit(False)
+    cut = cut.select("doc_id", "key", "n_words", "held", "_text", enough.alias("_enough"), phrased.alias("_phrased"))
+    cut = cut.withColumn("_lower", F.when(F.col("_enough") | F.col("_phrased"), words(lower_ascii(F.col("_text")))))
+    places = _phrase_places(phrases) if phrases else F.array().cast("array<struct<start:int,label:string>>")
+    return stored(cut.select("doc_id", "key", "n_words", "held", places.alias("places"), F.when(F.col("_enough"), F.col("_lower")).alias("words")), "licenses")
+
+
+def _word_order(read: DataFrame, templates: Sequence[Template]) -> list[str]:
+    """The words of all templates, those that the fewest documents hold first. One row per word comes back."""
+    counts = {r["word"]: r["count"] for r in read.select(F.explode("held").alias("word")).groupBy("word").count().collect()}
+    return sorted({w for t in templates for w in t.words}, key=lambda w: (counts.get(w, 0), w))
+
+
+_PREFIX = "word string, template int, label string, wanted array<string>, after array<string>, least int, run int, needed array<string>, barred array<string>"
+
+
+def _matches(read: DataFrame, templates: Sequence[Template], threshold: float) -> DataFrame:
+    rank = {w: n for n, w in enumerate(_word_order(read, templates))}
+    prefixes = []
+    for number, t in enumerate(templates):
+        ws, least = sorted(t.words, key=rank.get), t.least(threshold)
+        for place, word in enumerate(ws[:len(ws) - least + 1]):
+            prefixes.append((word, number, t.label, ws, ws[place + 1:], least, t.run(threshold), t.needed.split(), t.barred.split()))
+    table = F.broadcast(read.sparkSession.createDataFrame(prefixes, _PREFIX))
+    first, longest = _list(sorted({p[0] for p in prefixes})), max(p[6] for p in prefixes)
+
+    # a place of a prefix word with the words around it: at most two blocks of the longest template
+    def stretch(i: Column) -> Column:
+        start = F.greatest(F.lit(0), i - (longest - 1))
+        return F.struct(i.alias("at"), F.get("words", i).alias("word"), start.alias("start"), F.slice("words", start + 1, i - start + longest).alias("near"))
+
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(first, F.get("words", i)))
+    each = read.where(F.size("words") > 0).select("doc_id", "key", F.explode(F.transform(at, stretch)).alias("_place")).select("doc_id", "key", "_place.*")
+    met = each.join(table, "word")
+    low = F.greatest(F.lit(0), F.col("at") - F.col("run") + 1)
+    met = met.withColumn("_low", low).withColumn("near", F.slice("near", low - F.col("start") + 1, F.col("at") - low + F.col("run")))
+    met = met.where(F.size(F.array_intersect("near", "after")) >= F.col("least") - 1)
+
+    def block(i: Column) -> Column:
+        inside = F.slice("near", i + 1, F.col("run"))
+        right = (F.size(F.array_except(F.col("needed"), inside)) == 0) & ~F.arrays_overlap(inside, "barred")
+        return F.struct((F.col("_low") + i).alias("start"), F.when(right, F.size(F.array_intersect(inside, "wanted"))).otherwise(0).alias("shared"))
+
+    begins = F.filter(F.sequence(F.lit(0), F.col("at") - F.col("_low")), lambda i: F.array_contains("wanted", F.get("near", i)))
+    blocks = F.filter(F.transform(begins, block), lambda b: b["shared"] >= F.col("least"))
+    found = met.select("doc_id", "key", "template", "label", F.size("wanted").alias("_n"), F.explode(blocks).alias("_block"))
+    found = found.select("doc_id", "key", "template", "label", F.col("_block.start").alias("start"), (F.col("_block.shared") / F.col("_n")).alias("score"))
+    # a block with several prefix words was met at each of them
+    return found.groupBy("doc_id", "key", "template", "label", "start").agg(F.max("score").alias("score"))
+
+
+def template_matches(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """Every block and template that meet: doc_id, key (hash of the text), template, label, start (its first word, from 0), score."""
+    return _matches(_read(docs, templates, threshold, {}, text), templates, threshold)
+
+
+def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, places (phrases), labels (both ways, distinct, sorted), score (best containment)."""
-    found = template_matches(docs, templates, threshold, text).groupBy("doc_id", "key").agg(
-        F.collect_set("label").alias("_labels"), F.max("score").alias("_score"))
+    read = _read(docs, templates, threshold, PHRASES, text)
+    found = _matches(read, templates, threshold).groupBy("doc_id", "key").agg(F.collect_set("label").alias("_labels"), F.max("score").alias("_score"))
     found = found.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "_labels", "_score")
-    counted = phrase_places(docs.select("doc_id", F.col(text).alias("text")), text="text")
-    counted = counted.select("doc_id", text_key().alias("key"), "n_words", "places")
-    joined = counted.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left")
+    joined = read.drop("words", "held").join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left")
     none = F.array().cast("array<string>")
     labels = F.array_union(F.transform("places", lambda p: p["label"]), F.coalesce("_labels", none))
     return joined.select("doc_id", "n_words", "places", F.array_sort(labels).alias("labels"), F.coalesce("_score", F.lit(0.0)).alias("score"))

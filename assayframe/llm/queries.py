@@ -102,6 +102,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def _template(t: licenses.Template) -> str:
+    lists = ", ".join(f"{x!r}::VARCHAR[]" for x in (t.words, t.needed.split(), t.barred.split()))
+    return f"('{t.label}', {lists}, {t.least(licenses.THRESHOLD)}, {t.run(licenses.THRESHOLD)})"
+
+
 _GAP = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _OP5 = rf"""
 WITH texts AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
@@ -110,11 +115,15 @@ worded AS (SELECT r, doc_id, text, regexp_extract_all(text, '{_GAP}') AS ws FROM
 phrases(phrase, label) AS (VALUES {", ".join(f"({p.split()!r}, '{v}')" for p, v in licenses.PHRASES.items())}),
 places AS (
   SELECT r, i AS start, label FROM (SELECT r, ws, unnest(range(0, len(ws))) AS i FROM worded) JOIN phrases ON ws[i + 1:i + len(phrase)] = phrase),
-templates(label, words) AS (VALUES {", ".join(f"('{v}', {licenses._template_words(t)!r})" for v, t in licenses.TEMPLATES)}),
-blocks AS (SELECT r, list_distinct(regexp_extract_all(b, '{_GAP}')) AS ws FROM (SELECT r, unnest(string_split(text, chr(10))) AS b FROM numbered)),
+templates(label, words, needed, barred, least, run) AS (VALUES {", ".join(_template(t) for t in licenses.TEMPLATES)}),
+held AS (
+  SELECT r, ws, t.* FROM (SELECT r, ws, list_distinct(ws) AS own FROM worded) JOIN templates t ON len(list_intersect(own, words)) >= least),
+blocks AS (
+  SELECT r, label, words, needed, barred, least, ws[i:i + run - 1] AS block
+  FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM held) WHERE list_contains(words, ws[i])),
 matches AS (
-  SELECT r, label, len(list_intersect(ws, words)) / len(words) AS score FROM blocks JOIN templates
-  ON len(list_intersect(ws, words)) >= ceil({licenses.THRESHOLD} * len(words) - 1e-9)),
+  SELECT r, label, len(list_intersect(list_distinct(block), words)) / len(words) AS score FROM blocks
+  WHERE len(list_intersect(list_distinct(block), words)) >= least AND list_has_all(block, needed) AND NOT list_has_any(block, barred)),
 base AS (
   SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY r),

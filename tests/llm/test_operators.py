@@ -158,40 +158,67 @@ def test_cascade_order_never_changes_the_verdict(odd):
     assert one == two
 
 
-def test_license_scan(spark):
-    data = [(1, "Released under the MIT License."), (2, None), (3, ""), (4, "CC BY, cc-by; Apache   LICENSE the gnu general\npublic license"),
-            (5, "licensed under\nApache"), (6, "aapache license mit licenses"), (7, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-            (1, "Released under the MIT License."), (None, "mit license")]
-    out = licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()
-    assert len(out) == len(data) and licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    for r in out:
-        text = next(t for i, t in data if i == r["doc_id"])
-        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        places = sorted((i, v) for p, v in licenses.PHRASES.items() for i in range(len(ws)) if ws[i:i + len(p.split())] == p.split())
-        labels, best = {v for _, v in places}, 0.0
-        for label, template in licenses.TEMPLATES:
-            wanted = set(re.findall("[0-9a-z]+", template.lower()))
-            for line in (text or "").split("\n"):
-                share = len(wanted & set(re.findall("[0-9a-z]+", line.lower()))) / len(wanted)
-                if share >= licenses.THRESHOLD:
-                    labels.add(label)
-                    best = max(best, share)
-        assert (r["n_words"], sorted((p["start"], p["label"]) for p in r["places"]), r["labels"], r["score"]) == (len(ws), places, sorted(labels), pytest.approx(best))
-
-
-def test_license_notices_wrapped_over_lines(spark):
-    gpl = ("/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
-           " * the Free Software Foundation, either version 3 of the License */\nint main()")
-    mit = "Permission is hereby granted, free of charge,\nto any person obtaining a copy of this software and\nassociated documentation files (the Software)"
-    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:"
-    far = "released early\n" + "some other words stand here\n" * 9 + "under the bridge\n" + "and more of them\n" * 9 + "mit is a school"
-    short = "x\nReleased under\nthe MIT\nLicense\ny"
-    data = [(1, gpl), (2, mit), (3, bsd), (4, far), (5, short), (5, short)]
-    docs = spark.createDataFrame(data, "doc_id long, text string")
-    got = sorted((r["doc_id"], r["labels"]) for r in licenses.scan(docs).collect())
-    assert got == [(1, ["gpl"]), (2, ["mit"]), (3, ["bsd"]), (4, []), (5, ["mit"]), (5, ["mit"])]
-    places = sorted({(r["doc_id"], r["block"], r["label"]) for r in licenses.template_matches(docs).collect()})
-    assert places == [(1, 0, "gpl"), (2, 0, "mit"), (3, 0, "bsd"), (5, 1, "mit")]
+GPL = ("/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+       " * the Free Software Foundation, either version 3 of the License */\nint main()")
+PERMISSION = "Permission is hereby granted, free of charge,\nto any person obtaining a copy of this software and\nassociated documentation files (the Software)"
+BSD = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:"
+FAR = "released early\n" + "some other words stand here\n" * 9 + "under the bridge\n" + "and more of them\n" * 9 + "mit is a school"
+CREATIVE = "This work is licensed under a Creative Commons Attribution{} 4.0 International License"
+# texts and the labels that they should get
+NOTICES = [
+    ("Released under the MIT License.", ["mit"]), (None, []), ("", []), ("CC BY, cc-by; Apache   LICENSE the gnu general\npublic license", ["apache", "cc-by", "gpl"]),
+    ("licensed under\nApache", []), ("aapache license mit licenses", []), (GPL, ["gpl"]), (PERMISSION, ["mit"]), (BSD, ["bsd"]), (FAR, []),
+    ("x\nReleased under\nthe MIT\nLicense\ny", ["mit"]), ("Released under the BSD License", []), ("Licensed under CC BY-NC 4.0", ["cc-by", "cc-by-nc-4.0"]),
+    ("Licensed under\nCC BY-SA 4.0.", ["cc-by", "cc-by-sa-4.0"]), ("Licensed under CC BY-NC-SA 4.0", ["cc-by"]),
+    ("This work is licensed under the GNU General Public License, version 3", ["gpl", "gpl-3.0"]),
+    ("This work is licensed under the GNU General Public\nLicense, version 2 " + "and so on " * 40, ["gpl", "gpl-2.0"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 3", []), (CREATIVE.format(""), ["cc-by-4.0"]),
+    (CREATIVE.format("-NonCommercial"), []), ("released " + "x " * 30 + "under the license " + "y " * 30 + "mit", []),
+    ("word " * 30000 + "Released under the MIT License " + "the license under " * 10000, ["mit"]), ("\u212aey \u0130 mit\u00df MIT LICENSE", ["mit"]),
+]
+
+
+def plain_scan(text):
+    """n_words, places, labels and score of a text, block by block."""
+    ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    places = sorted((i, v) for p, v in licenses.PHRASES.items() for i in range(len(ws)) if ws[i:i + len(p.split())] == p.split())
+    labels, best = {v for _, v in places}, 0.0
+    for t in licenses.TEMPLATES:
+        wanted, run = set(t.words), t.run(licenses.THRESHOLD)
+        for i in (i for i, w in enumerate(ws) if w in wanted):
+            block = set(ws[i:i + run])
+            share = len(wanted & block) / len(wanted)
+            if share >= licenses.THRESHOLD and block >= set(t.needed.split()) and not block & set(t.barred.split()):
+                labels.add(t.label)
+                best = max(best, share)
+    return len(ws), places, sorted(labels), best
+
+
+def test_license_scan_against_every_block(spark):
+    chance = random.Random(8)
+    pool = sorted({w for t in licenses.TEMPLATES for w in t.words + t.barred.split()})
+    mixed = []
+    for t in [t for t in licenses.TEMPLATES for _ in range(12)]:
+        ws = t.text.split()
+        for _ in range(chance.randrange(4)):
+            ws[chance.randrange(len(ws))] = chance.choice([*pool, "other", ""])
+        mixed.append(" ".join(chance.choices(pool, k=chance.randrange(40))) + chance.choice(" \n") + chance.choice([" ", "\n"]).join(ws) + " " + " ".join(chance.choices(pool, k=9)))
+    data = list(enumerate([t for t, _ in NOTICES] + mixed)) + [(0, NOTICES[0][0]), (0, NOTICES[0][0]), (None, "mit license"), (None, None)]
+    out = licenses.scan(spark.createDataFrame(data, "doc_id long, text string").withColumn("words", F.lit(1))).collect()
+    got = sorted((str(r["doc_id"]), r["n_words"], sorted((p["start"], p["label"]) for p in r["places"]), r["labels"], round(r["score"], 9)) for r in out)
+    assert got == sorted((str(i), n, places, labels, round(best, 9)) for i, t in data for n, places, labels, best in [plain_scan(t)])
+    found = {r["doc_id"]: r["labels"] for r in out}
+    assert [found[i] for i in range(len(NOTICES))] == [want for _, want in NOTICES]
+    assert sum(1 for _, _, _, _, score in got if score >= 0.8) > 50
+    assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_license_blocks_begin_where_they_match(spark):
+    docs = spark.createDataFrame(list(enumerate([GPL, FAR, "x\nReleased under\nthe MIT\nLicense\ny"])), "doc_id long, text string")
+    first = {(r["doc_id"], r["label"]): r["start"] for r in licenses.template_matches(docs).groupBy("doc_id", "label").agg(F.min("start").alias("start")).collect()}
+    assert first == {(0, "gpl"): 0, (2, "mit"): 1}
+    with pytest.raises(ValueError, match="templates"):
+        licenses.scan(docs, licenses.TEMPLATES * 101)
 
 
 def test_simhash_against_all_pairs(odd, empty, spark):
