@@ -6,8 +6,12 @@ largest inner product is the smallest distance, whatever the norms.
 Centroids are fitted on a sample of bounded size: k-means, then lists that the sample fills unevenly are split.
 They are searched by an in-memory graph of nearest centroids, from fixed entries, with a beam. Every vector goes
 to its nearest list and, as a boundary vector, to further ones whose distance is within ``BOUNDARY`` times the
-nearest. A query looks into lists within ``RATIO`` times its nearest centroid's distance: first into its nearest
-``LEAST_PROBES``, then into the others, of which only what beats the k-th of the first comes back. Long lists are dealt into
+nearest. A query looks into its nearest ``LEAST_PROBES`` lists, then into further ones, of which only what beats the k-th of
+the first comes back: as many as are searched (the beam), pruned by the ratio of their distance to that of the last of the
+first. Both figures are measured: ``TRIALS`` vectors of the sample, held out of the centroids, look for their k nearest in the
+sample by brute force; the beam is the least that reaches a list of ``COVERED`` of these, the ratio the least that leaves
+``WITHIN``. Neighbours among all vectors are nearer than those in the sample, so this is on the safe side. How many lists that makes
+follows from the data; there is no other limit. With ``exact`` every query looks into all lists. Long lists are dealt into
 blocks by a hash of the id, so no list is one task. What is sent to all tasks is the centroids and one row per
 list, at most ``MAX_LISTS``.
 
@@ -19,7 +23,7 @@ neighbours were found is answered from all lists. An empty table gives an empty
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,7 @@ K = 20
 # Vectors per list aimed at, lists at most, vectors of the sample per list.
 LIST_ROWS, MAX_LISTS, SAMPLE_PER_LIST = 64, 2048, 16
 COPIES, BOUNDARY = 4, 1.25
-PROBES, LEAST_PROBES, RATIO = 128, 8, 1.25
+LEAST_PROBES, TRIALS, COVERED, WITHIN = 8, 256, 0.98, 0.99
 DEGREE, ENTRIES, EXPAND, ROUNDS = 24, 32, 8, 6
 BLOCK_ROWS, QUERY_ROWS, HELD = 2048, 512, 400_000
 
@@ -44,6 +48,9 @@ class Centroids:
     points: np.ndarray
     graph: np.ndarray
     entries: np.ndarray
+    # lists a query looks into: of the ``beam`` nearest found, those within this ratio of the last one of the first
+    ratio: float = np.inf
+    beam: int = LEAST_PROBES
 
     def nearest(self, vectors: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and squared distances of about the ``beam`` nearest centroids, nearest first; -1 fills up."""
@@ -61,7 +68,7 @@ class Centroids:
             order = np.argsort(far, axis=1, kind="stable")[:, :beam]
             ids, far, done = ids[rows, order], far[rows, order], done[rows, order]
             open_ = np.where(done | ~np.isfinite(far), np.inf, far)
-            pick = np.argsort(open_, axis=1, kind="stable")[:, :EXPAND]
+            pick = np.argsort(open_, axis=1, kind="stable")[:, :max(EXPAND, beam // 16)]
             use = np.isfinite(open_[rows, pick])
             if not use.any():
                 return np.where(np.isfinite(far), ids, -1), far
@@ -105,6 +112,42 @@ def fit(sample: np.ndarray, lists: int, seed: int = 0) -> Centroids:
     return Centroids(points, graph, random.choice(len(points), min(ENTRIES, len(points)), replace=False))
 
 
+def calibrated(centroids: Centroids, sample: np.ndarray, largest: float, k: int) -> Centroids:
+    """The centroids with the ratio that the sample's own neighbours ask for, and a beam that holds all lists within it."""
+    trials = sample[:TRIALS]
+    scores = [trials[at:at + 32] @ sample.T for at in range(0, len(trials), 32)]
+    best = []
+    for block, some in enumerate(scores):
+        some[np.arange(len(some)), block * 32 + np.arange(len(some))] = -np.inf
+        best.append(np.argsort(-some, axis=1, kind="stable")[:, :min(k, len(sample) - 1)])
+    best = np.concatenate(best)
+    if not best.size:
+        return replace(centroids, beam=len(centroids.points))
+    points = np.hstack([trials, np.zeros((len(trials), 1))])
+    far = (points ** 2).sum(1)[:, None] + (centroids.points ** 2).sum(1) - 2 * points @ centroids.points.T
+    far = np.sqrt(np.maximum(0, far))
+    base = np.sort(far, axis=1)[:, [min(LEAST_PROBES, far.shape[1]) - 1]]
+    lists, ok = _lists_of(centroids, _lifted(sample[best.ravel()], largest))
+    row = np.repeat(np.arange(len(trials)), best.shape[1])
+    asked = np.where(ok, far[row[:, None], lists], np.inf).min(1)
+    ratio = float(np.quantile(asked / np.maximum(base[row, 0], np.finfo(float).tiny), WITHIN, method="higher"))
+    rank = np.concatenate([(far[n] <= asked[row == n, None]).sum(1) for n in range(len(trials))])
+    return replace(centroids, ratio=ratio, beam=max(LEAST_PROBES, int(np.quantile(rank, COVERED, method="higher"))))
+
+
+def _fitted(sample: np.ndarray, largest: float, lists: int, k: int) -> Centroids:
+    """Centroids of the sample, where it is large enough without the vectors on trial: these would be nearer than others are."""
+    rest = sample[TRIALS:] if len(sample) > 4 * TRIALS else sample
+    return calibrated(fit(_lifted(rest, largest), lists), sample, largest, k)
+
+
+def _lists_of(centroids: Centroids, lifted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists nearest to each vector, and which of them it goes to."""
+    ids, far = centroids.nearest(lifted, 4 * COPIES)
+    ids, far = ids[:, :COPIES], np.sqrt(np.maximum(0, far[:, :COPIES]))
+    return ids, (ids >= 0) & (far <= BOUNDARY * far[:, :1])
+
+
 def _home(sample: np.ndarray, points: np.ndarray) -> np.ndarray:
     half = (points ** 2).sum(1) / 2
     return np.concatenate([np.argmax(sample[at:at + 4096] @ points.T - half, axis=1) for at in range(0, len(sample), 4096)])
@@ -126,7 +169,8 @@ def usable(table: DataFrame, id_column: str = "vec_id", vector: str = "embedding
     return rows.where(F.col("id").isNotNull() & _valid(F.col("vector"))).groupBy("id").agg(F.min("vector").alias("vector"))
 
 
-def search(table: DataFrame, is_query: Column, k: int = K, id_column: str = "vec_id", vector: str = "embedding", lists: int | None = None) -> DataFrame:
+def search(table: DataFrame, is_query: Column, k: int = K, id_column: str = "vec_id", vector: str = "embedding", lists: int | None = None,
+           exact: bool = False) -> DataFrame:
     """The k nearest found for each row that ``is_query`` (a condition on ``id``) picks: query_id, rank, id, score."""
     spark = table.sparkSession
     rows = stored(usable(table, id_column, vector), "vectors")
@@ -141,10 +185,12 @@ def search(table: DataFrame, is_query: Column, k: int = K, id_column: str = "vec
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).orderBy(F.xxhash64("id"), "id").limit(2 * SAMPLE_PER_LIST * lists)
     some = sample.select("vector").toArrow()["vector"].combine_chunks()
     picked = _matrix(some) if len(some) else _matrix(rows.limit(1).select("vector").toArrow()["vector"].combine_chunks())
-    centroids = spark.sparkContext.broadcast(fit(_lifted(picked, largest), lists))
+    centroids = spark.sparkContext.broadcast(_fitted(picked, largest, lists, k))
     members = stored(rows.mapInArrow(_assign(centroids, largest), _MEMBER), "lists")
     blocks = stored(members.groupBy("list").agg((F.floor(F.count("*") / BLOCK_ROWS) + 1).cast("int").alias("blocks")), "blocks")
     queries = rows.where(is_query).withColumn("floor", F.lit(None).cast("double"))
+    if exact:
+        return _matched(queries.mapInArrow(_probe(centroids, "all"), _PROBE), members, blocks, k)
     near = stored(_matched(queries.mapInArrow(_probe(centroids, "near"), _PROBE), members, blocks, k), "near")
     floors = near.groupBy("query_id").agg(F.min("score").alias("_score"), F.count("*").alias("_n")).where(F.col("_n") >= k)
     floors = floors.select(F.col("query_id").alias("id"), F.col("_score").alias("floor"))
@@ -176,9 +222,8 @@ def _assign(centroids, largest: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ids, far = centroids.value.nearest(_lifted(_matrix(batch.column("vector")), largest), 4 * COPIES)
-                ids, far = ids[:, :COPIES], np.sqrt(np.maximum(0, far[:, :COPIES]))
-                row, at = np.nonzero((ids >= 0) & (far <= BOUNDARY * far[:, :1]))
+                ids, own = _lists_of(centroids.value, _lifted(_matrix(batch.column("vector")), largest))
+                row, at = np.nonzero(own)
                 yield _rows_of(batch, row, ids[row, at], "id", "vector")
 
     return run
@@ -196,10 +241,10 @@ def _probe(centroids, which: str):
                 n = len(centroids.value.points)
                 yield _rows_of(batch, np.repeat(np.arange(len(x)), n), np.tile(np.arange(n), len(x)), *columns)
                 continue
-            ids, far = centroids.value.nearest(np.hstack([x, np.zeros((len(x), 1))]), PROBES)
+            ids, far = centroids.value.nearest(np.hstack([x, np.zeros((len(x), 1))]), centroids.value.beam)
             far = np.sqrt(np.maximum(0, far))
             first = np.arange(ids.shape[1]) < LEAST_PROBES
-            keep = (ids >= 0) & (first if which == "near" else ~first & (far <= RATIO * far[:, :1]))
+            keep = (ids >= 0) & (first if which == "near" else ~first & (far <= centroids.value.ratio * far[:, [min(LEAST_PROBES, far.shape[1]) - 1]]))
             row, at = np.nonzero(keep)
             yield _rows_of(batch, row, ids[row, at], *columns)
 

@@ -406,6 +406,7 @@ def test_neighbours_reach_brute_force(spark):
     odd = [(5000, None), (5001, [0.0] * 16), (5002, [None] + [1.0] * 15), (5003, [float("nan")] + [1.0] * 15), (5004, [float("inf")] + [1.0] * 15), (None, [1.0] * 16), (7, [9.0] * 16)]
     table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
     out = neighbours.search(table, F.col("id") % 20 == 0).collect()
+    every = {(r["query_id"], r["rank"]): r["id"] for r in neighbours.search(table, F.col("id") % 20 == 0, exact=True).collect()}
     got = collections.defaultdict(list)
     for r in sorted(out, key=lambda r: (r["query_id"], r["rank"])):
         got[r["query_id"]].append((r["rank"], r["id"], r["score"]))
@@ -415,6 +416,7 @@ def test_neighbours_reach_brute_force(spark):
         scores[q] = -np.inf
         best = np.lexsort((np.arange(3000), -scores))[:20]
         hits += len({i for _, i, _ in got[q]} & set(best.tolist()))
+        assert [every[q, r] for r in range(1, 21)] == best.tolist()
         assert [r for r, *_ in got[q]] == list(range(1, 21)) and all(s == pytest.approx(scores[i], abs=1e-12) for _, i, s in got[q])
     assert set(got) == set(range(0, 3000, 20)) and hits >= 0.9 * 20 * len(got)
 
