@@ -1,9 +1,14 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-``features`` works out the counts that rules read. ``cascade`` orders rules by rejections per unit of
-cost, both measured on a sample of bounded size, and tests them as one CASE expression: a document that
-a rule rejects is not tested by the rules behind it. The order changes the cost and the name of the rule
-that rejects, never the verdict.
+A rule names the features that it reads. ``cascade`` tests rules as one CASE expression: a document that a rule rejects is
+not tested by the rules behind it. Features that the caller asks for, or that several rules read, are columns worked out
+once for every document; any other feature stands inside the branch of the one rule that reads it, so documents
+rejected before never pay for it.
+
+The order is by rejections per unit of cost, both measured on a sample of bounded size. The cost of a rule is the time of
+several passes over the raw texts of the sample, the features that are columns anyway given, less the time of passes
+that only read. The order changes the cost and the name of the rule that rejects, never the verdict; as times
+differ a little, rules of about the same worth may change places from run to run.
 
 A null or blank text has no words; all its counts are 0. Repeated windows are found by 64-bit hashes
 within one document. Rows are judged alone, so repeated rows get equal results and an empty table an empty
@@ -13,103 +18,163 @@ one. Columns of the input called like an output are replaced.
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, every_nth, stored, word_array
+from .common import WORD, every_nth, shielded, stored, word_array
 
 WINDOW = 8
-# So many documents, about, are tried to estimate costs and rejections.
-SAMPLE = 2000
+# So many documents, about, are tried to estimate costs and rejections, and so often in one timing.
+SAMPLE, PASSES = 2000, 8
+
+
+def _given(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _repeat_words(words: Column) -> Column:
+    """Words in windows found twice or more in their text."""
+    n = F.size(words)
+    windows = F.when(n < WINDOW, F.array().cast("array<bigint>")).otherwise(F.transform(
+        F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
+
+    def covered(ordered: Column) -> Column:
+        # equal neighbours in the order of hashes are repeats
+        same = lambda x, i: F.get(ordered, i)["h"].eqNullSafe(x["h"])
+        twice = F.filter(ordered, lambda x, i: same(x, i + 1) | same(x, i - 1))
+        return _given(F.array_sort(F.transform(twice, lambda x: x["i"])), lambda starts: F.aggregate(
+            # least() skips nulls: the last window, which has no next one, counts in full
+            F.zip_with(F.slice(starts, 2, F.size(starts)), starts, lambda b, a: F.least(F.lit(WINDOW), b - a)),
+            F.lit(0), lambda total, gap: total + gap))
+
+    # only documents with a repeated window are sorted
+    return _given(windows, lambda hashes: F.when(
+        F.size(F.array_distinct(hashes)) < F.size(hashes),
+        _given(F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), covered)).otherwise(0))
+
+
+def _times(pattern: str) -> Callable[[Column], Column]:
+    return lambda whole: F.regexp_count(whole, F.lit(pattern))
+
+
+# What features are counted from. Lines are those with a word.
+SOURCES: dict[str, Callable[[Column], Column]] = {
+    "whole": lambda text: F.coalesce(text, F.lit("")),
+    "words": word_array,
+    "lines": lambda text: F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.rlike(line, F.lit(WORD))),
+}
+# The features that rules can read: what each is counted from, and how.
+FEATURES: dict[str, tuple[str, Callable[[Column], Column]]] = {
+    "n_words": ("words", F.size),
+    "word_chars": ("words", lambda words: F.aggregate(words, F.lit(0).cast("long"), lambda total, w: total + F.char_length(w))),
+    "n_repeat_words": ("words", _repeat_words),
+    "n_lines": ("lines", F.size),
+    "n_dup_lines": ("lines", lambda lines: F.size(lines) - F.size(F.array_distinct(lines))),
+    "n_symbols": ("whole", _times("[#*$%&|<>]")),
+    "n_exclamations": ("whole", _times("!")),
+    "n_letters": ("whole", _times(r"\p{L}")),
+    "n_capitals": ("whole", _times(r"\p{Lu}")),
+    "n_words_with_letter": ("whole", _times(r"\p{L}[^\x20\x09-\x0D]*")),
+    "n_bullets": ("whole", _times(r"(?m)^[ \t]*[-*•]")),
+    "n_cut_off": ("whole", _times(r"(?m)(…|\.\.\.)[ \t]*$")),
+}
+OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` reads the text and the features, and is true or false, never null."""
+    """``rejects`` makes the test from the features in ``needs``, in that order; it is true or false, never null."""
 
     name: str
-    rejects: Column
+    needs: tuple[str, ...]
+    rejects: Callable[..., Column]
 
 
-def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(whole, "\n"), lambda line: F.rlike(line, F.lit(WORD)))
-    out = docs.withColumns({"_words": word_array(F.col(text)), "_lines": lines})
-    n = F.size("_words")
-    windows = F.when(n < WINDOW, F.array().cast("array<bigint>")).otherwise(F.transform(
-        F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("_words", i, WINDOW))))
-    out = out.withColumn("_hashes", windows)
-    out = out.withColumn("_repeats", F.size(F.array_distinct("_hashes")) < F.size("_hashes"))
-    # only documents with a repeated window are sorted; equal neighbours in that order are repeats
-    out = out.withColumn("_sorted", F.when(F.col("_repeats"), F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    same = lambda x, i: F.get("_sorted", i)["h"].eqNullSafe(x["h"])
-    twice = F.filter("_sorted", lambda x, i: same(x, i + 1) | same(x, i - 1))
-    out = out.withColumn("_starts", F.array_sort(F.transform(twice, lambda x: x["i"])))
-    gaps = F.zip_with(F.slice("_starts", 2, F.size("_starts")), "_starts", lambda b, a: F.least(F.lit(WINDOW), b - a))
-    # least() skips nulls: the last window, which has no next one, counts in full
-    covered = F.aggregate(gaps, F.lit(0), lambda total, gap: total + gap)
-    return out.withColumns({
-        "n_words": n.cast("long"),
-        "word_chars": F.aggregate("_words", F.lit(0).cast("long"), lambda total, w: total + F.char_length(w)),
-        "n_symbols": F.regexp_count(whole, F.lit("[#*$%&|<>]")).cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": F.when(F.col("_repeats"), covered).otherwise(0).cast("long"),
-    }).drop("_words", "_lines", "_hashes", "_repeats", "_sorted", "_starts")
-
-
-def base_rule() -> Column:
-    """Fewer than 20 words, or over 30 % of the words in windows that repeat."""
-    return (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-
-
-def default_rules(text: str = "text") -> list[Rule]:
+# Fewer than 20 words, or over 30 % of the words in windows that repeat.
+BASE = Rule("base", ("n_words", "n_repeat_words"), lambda n, repeated: (n < 20) | (repeated * 100 > n * 30))
+
+
+def default_rules() -> list[Rule]:
     """Rules for running text. Shares are of words or lines; a document without words has none."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    n = F.col("n_words")
     return [
-        Rule("symbols", F.col("n_symbols") * 10 > n * 2),
-        Rule("word_length", (F.col("word_chars") > n * 16) | (F.col("word_chars") < n * 2)),
-        Rule("duplicate_lines", F.col("n_dup_lines") * 10 > F.col("n_lines") * 3),
-        Rule("exclamations", F.regexp_count(whole, F.lit("!")) * 10 > n * 3),
-        Rule("capitals", F.regexp_count(whole, F.lit(r"\p{Lu}")) * 2 > F.regexp_count(whole, F.lit(r"\p{L}"))),
-        Rule("words_without_letters", F.regexp_count(whole, F.lit(r"\p{L}[^\x20\x09-\x0D]*")) * 10 < n * 6),
-        Rule("bullets", F.regexp_count(whole, F.lit(r"(?m)^[ \t]*[-*•]")) * 10 > F.col("n_lines") * 9),
-        Rule("cut_off_lines", F.regexp_count(whole, F.lit(r"(?m)(…|\.\.\.)[ \t]*$")) * 10 > F.col("n_lines") * 3),
+        Rule("symbols", ("n_symbols", "n_words"), lambda symbols, n: symbols * 10 > n * 2),
+        Rule("word_length", ("word_chars", "n_words"), lambda chars, n: (chars > n * 16) | (chars < n * 2)),
+        Rule("duplicate_lines", ("n_dup_lines", "n_lines"), lambda again, lines: again * 10 > lines * 3),
+        Rule("exclamations", ("n_exclamations", "n_words"), lambda marks, n: marks * 10 > n * 3),
+        Rule("capitals", ("n_capitals", "n_letters"), lambda capitals, letters: capitals * 2 > letters),
+        Rule("words_without_letters", ("n_words_with_letter", "n_words"), lambda lettered, n: lettered * 10 < n * 6),
+        Rule("bullets", ("n_bullets", "n_lines"), lambda bullets, lines: bullets * 10 > lines * 9),
+        Rule("cut_off_lines", ("n_cut_off", "n_lines"), lambda cut, lines: cut * 10 > lines * 3),
     ]
 
 
-def measured(sample: DataFrame, rules: Sequence[Rule]) -> list[Rule]:
-    """The rules in order of rejections per second over a sample that has the features."""
-    some = stored(sample, "sample")
-    shares = some.agg(*[F.coalesce(F.avg(r.rejects.cast("double")), F.lit(0.0)).alias(r.name) for r in rules]).first()
+def features(docs: DataFrame, text: str = "text", names: Sequence[str] = OUTPUTS) -> DataFrame:
+    """Add these features as columns."""
+    kinds = dict.fromkeys(FEATURES[name][0] for name in names)
+    helpers = {kind: f"the {kind} of {text}" for kind in kinds}
+    out = docs.withColumns({helpers[kind]: SOURCES[kind](F.col(text)) for kind in kinds}) if kinds else docs
+    counted = {name: FEATURES[name][1](F.col(f"`{helpers[FEATURES[name][0]]}`")).cast("long") for name in names}
+    return (out.withColumns(counted) if counted else out).drop(*helpers.values())
+
+
+def test_of(rule: Rule, have: Sequence[str], text: str = "text") -> Column:
+    """The rule's test: features in ``have`` are columns, others are counted on the spot."""
+    def feature(name: str) -> Column:
+        if name in have:
+            return F.col(name)
+        kind, count = FEATURES[name]
+        return (count(SOURCES[kind](F.col(text))) if kind == "whole" else _given(SOURCES[kind](F.col(text)), count)).cast("long")
+
+    return rule.rejects(*map(feature, rule.needs))
+
+
+def measured(sample: DataFrame, rules: Sequence[Rule], have: Sequence[str] = OUTPUTS, text: str = "text") -> list[Rule]:
+    """The rules in order of rejections per second over a sample of documents."""
+    some = stored(features(sample.select(text), text, have), "sample")
+    often = some.withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(PASSES))))
+    tests = {r.name: test_of(r, have, text) for r in rules}
+    shares = some.agg(*[F.coalesce(F.avg(t.cast("double")), F.lit(0.0)).alias(name) for name, t in tests.items()]).first()
 
-    def seconds(rule: Rule) -> float:
-        begun = time.perf_counter()
-        some.agg(F.count_if(rule.rejects)).collect()
-        return time.perf_counter() - begun
+    def seconds(test: Column) -> float:
+        taken = []
+        for _ in range(2):
+            begun = time.perf_counter()
+            often.agg(F.count_if(test)).collect()
+            taken.append(time.perf_counter() - begun)
+        return min(taken)
 
-    idle = min(seconds(Rule("none", F.lit(False))) for _ in range(2))
-    worth = {r.name: shares[r.name] / max(seconds(r) - idle, 1e-3) for r in rules}
+    idle = seconds(F.octet_length(text) < 0)
+    worth = {name: shares[name] / max(seconds(test) - idle, 1e-3) for name, test in tests.items()}
     return sorted(rules, key=lambda r: (-worth[r.name], r.name))
 
 
-def cascade(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Add rejected_by: the first rule in this order that rejects the document, else null."""
+def cascade(docs: DataFrame, rules: Sequence[Rule], have: Sequence[str] = OUTPUTS, text: str = "text") -> DataFrame:
+    """Add rejected_by: the first rule in this order that rejects the document, else null. Features in ``have`` are columns of
+    ``docs``."""
     first = F.lit(None).cast("string")
     for rule in reversed(rules):
-        first = F.when(rule.rejects, F.lit(rule.name)).otherwise(first)
+        first = F.when(test_of(rule, have, text), F.lit(rule.name)).otherwise(first)
     return docs.withColumn("rejected_by", first)
 
 
-def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str = "text") -> DataFrame:
-    """Features, base_failed, rejected_by and kept for every document; rules ordered by a sample."""
-    rules = default_rules(text) if rules is None else rules
-    ordered = measured(features(every_nth(docs, docs.count(), SAMPLE), text), rules)
-    counted = features(docs, text).withColumn("base_failed", base_rule())
-    out = cascade(counted, [Rule("base", F.col("base_failed")), *ordered])
-    return out.withColumn("kept", F.col("rejected_by").isNull())
+def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str = "text", outputs: Sequence[str] = OUTPUTS, base: Rule = BASE) -> DataFrame:
+    """Add the features in ``outputs``, base_failed (where they have all that ``base`` reads), rejected_by and kept.
+
+    The base rule goes first where its features are outputs, as it is free then; else its place is measured too.
+    """
+    rules = default_rules() if rules is None else list(rules)
+    docs, undo = shielded(docs, "doc_id", text)
+    free = set(base.needs) <= set(outputs)
+    dealt = rules if free else [base, *rules]
+    uses = Counter(name for rule in dealt for name in rule.needs)
+    have = [name for name in FEATURES if name in outputs or uses[name] > 1]
+    ordered = measured(every_nth(docs, docs.count(), SAMPLE), dealt, have, text)
+    out = cascade(features(docs, text, have), [base, *ordered] if free else ordered, have, text).withColumn("kept", F.col("rejected_by").isNull())
+    if free:
+        out = out.withColumn("base_failed", test_of(base, have, text))
+    return undo(out, *outputs, *(["base_failed"] if free else []), "rejected_by", "kept")

@@ -158,6 +158,29 @@ def test_cascade_order_never_changes_the_verdict(odd):
     assert one == two
 
 
+def test_features_of_one_rule_are_counted_in_its_branch(odd):
+    """A verdict alone is the same as with all counts; rules behind one that rejects do not run."""
+    full = by_id(rules.judge(odd).select("doc_id", "kept").collect(), "kept")
+    alone = rules.judge(odd, outputs=())
+    assert by_id(alone.select("doc_id", "kept").collect(), "kept") == full
+    assert not {"base_failed", "n_repeat_words"} & (set(alone.columns) - set(odd.columns))
+    broken = rules.Rule("broken", ("n_letters",), lambda n: F.raise_error(F.lit("tested")).cast("boolean") | (n < 0))
+    every = rules.Rule("every", ("n_exclamations",), lambda n: n >= 0)
+    counted = rules.features(odd, names=())
+    assert {r[0] for r in rules.cascade(counted, [every, broken], have=()).select("rejected_by").collect()} == {"every"}
+    with pytest.raises(Exception, match="tested"):
+        rules.cascade(counted, [broken, every], have=()).select("rejected_by").collect()
+
+
+def test_rules_are_ordered_by_rejections_for_their_cost(spark):
+    """Of rules that reject alike the cheap one goes first, of rules that cost alike the one that rejects more."""
+    docs = spark.createDataFrame([(i, ("Word, another one; " * 400) + "!" * (i % 10)) for i in range(400)], "doc_id long, text string")
+    dear = rules.Rule("a_dear", ("n_words_with_letter", "n_letters", "n_capitals"), lambda a, b, c: (a + b + c < 0) | (a > 0))
+    cheap = rules.Rule("z_cheap", ("n_words",), lambda n: n > 0)
+    never = rules.Rule("a_never", ("n_words",), lambda n: n < 0)
+    assert [r.name for r in rules.measured(docs, [never, dear, cheap], have=["n_words"])] == ["z_cheap", "a_dear", "a_never"]
+
+
 GPL = ("/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
        " * the Free Software Foundation, either version 3 of the License */\nint main()")
 PERMISSION = "Permission is hereby granted, free of charge,\nto any person obtaining a copy of this software and\nassociated documentation files (the Software)"
