@@ -29,7 +29,7 @@ from .common import WORD, every_nth, shielded, stored, word_array
 
 WINDOW = 8
 # So many documents, about, are tried to estimate costs and rejections, and so often in one timing.
-SAMPLE, PASSES = 2000, 8
+SAMPLE, PASSES = 2000, 4
 
 
 def _given(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -37,12 +37,14 @@ def _given(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words in windows found twice or more in their text."""
+def _windows(words: Column) -> Column:
     n = F.size(words)
-    windows = F.when(n < WINDOW, F.array().cast("array<bigint>")).otherwise(F.transform(
+    return F.when(n < WINDOW, F.array().cast("array<bigint>")).otherwise(F.transform(
         F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
 
+
+def _repeat_words(hashes: Column) -> Column:
+    """Words in windows found twice or more in their text."""
     def covered(ordered: Column) -> Column:
         # equal neighbours in the order of hashes are repeats
         same = lambda x, i: F.get(ordered, i)["h"].eqNullSafe(x["h"])
@@ -53,26 +55,26 @@ def _repeat_words(words: Column) -> Column:
             F.lit(0), lambda total, gap: total + gap))
 
     # only documents with a repeated window are sorted
-    return _given(windows, lambda hashes: F.when(
-        F.size(F.array_distinct(hashes)) < F.size(hashes),
-        _given(F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), covered)).otherwise(0))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes),
+                  _given(F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), covered)).otherwise(0)
 
 
 def _times(pattern: str) -> Callable[[Column], Column]:
     return lambda whole: F.regexp_count(whole, F.lit(pattern))
 
 
-# What features are counted from. Lines are those with a word.
-SOURCES: dict[str, Callable[[Column], Column]] = {
-    "whole": lambda text: F.coalesce(text, F.lit("")),
-    "words": word_array,
-    "lines": lambda text: F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.rlike(line, F.lit(WORD))),
+# What features are counted from, what that is made of, and how. Lines are those with a word.
+SOURCES: dict[str, tuple[str, Callable[[Column], Column]]] = {
+    "whole": ("text", lambda text: F.coalesce(text, F.lit(""))),
+    "words": ("text", word_array),
+    "lines": ("whole", lambda whole: F.filter(F.split(whole, "\n"), lambda line: F.rlike(line, F.lit(WORD)))),
+    "windows": ("words", _windows),
 }
 # The features that rules can read: what each is counted from, and how.
 FEATURES: dict[str, tuple[str, Callable[[Column], Column]]] = {
     "n_words": ("words", F.size),
     "word_chars": ("words", lambda words: F.aggregate(words, F.lit(0).cast("long"), lambda total, w: total + F.char_length(w))),
-    "n_repeat_words": ("words", _repeat_words),
+    "n_repeat_words": ("windows", _repeat_words),
     "n_lines": ("lines", F.size),
     "n_dup_lines": ("lines", lambda lines: F.size(lines) - F.size(F.array_distinct(lines))),
     "n_symbols": ("whole", _times("[#*$%&|<>]")),
@@ -115,11 +117,26 @@ def default_rules() -> list[Rule]:
 
 def features(docs: DataFrame, text: str = "text", names: Sequence[str] = OUTPUTS) -> DataFrame:
     """Add these features as columns."""
-    kinds = dict.fromkeys(FEATURES[name][0] for name in names)
-    helpers = {kind: f"the {kind} of {text}" for kind in kinds}
-    out = docs.withColumns({helpers[kind]: SOURCES[kind](F.col(text)) for kind in kinds}) if kinds else docs
-    counted = {name: FEATURES[name][1](F.col(f"`{helpers[FEATURES[name][0]]}`")).cast("long") for name in names}
-    return (out.withColumns(counted) if counted else out).drop(*helpers.values())
+    out, have = docs, {"text": F.col(text)}
+
+    def source(kind: str) -> Column:
+        nonlocal out
+        if kind not in have:
+            of, make = SOURCES[kind]
+            made = make(source(of))
+            out = out.withColumn(f"the {kind} of {text}", made)
+            have[kind] = F.col(f"`the {kind} of {text}`")
+        return have[kind]
+
+    counted = {name: FEATURES[name][1](source(FEATURES[name][0])).cast("long") for name in names}
+    return (out.withColumns(counted) if counted else out).drop(*[f"the {kind} of {text}" for kind in have])
+
+
+def _counted(kind: str, text: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a source, without columns for what lies between."""
+    of, make = SOURCES[kind]
+    made = make(text) if of == "text" else _counted(of, text, make)
+    return body(made) if kind == "whole" else _given(made, body)
 
 
 def test_of(rule: Rule, have: Sequence[str], text: str = "text") -> Column:
@@ -128,7 +145,7 @@ def test_of(rule: Rule, have: Sequence[str], text: str = "text") -> Column:
         if name in have:
             return F.col(name)
         kind, count = FEATURES[name]
-        return (count(SOURCES[kind](F.col(text))) if kind == "whole" else _given(SOURCES[kind](F.col(text)), count)).cast("long")
+        return _counted(kind, F.col(text), count).cast("long")
 
     return rule.rejects(*map(feature, rule.needs))
 
