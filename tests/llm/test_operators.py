@@ -412,6 +412,64 @@ def test_toxicity_on_held_out_documents(spark, odd, empty):
     assert {r["grade"] for r in toxicity.score(odd, toxicity.train(empty, labels)).collect()} == {0}
 
 
+def ordinal_loss(weights, thresholds, x, grade):
+    """Mean negative log-likelihood of the grades plus the L1 penalty, written out."""
+    total = 0.0
+    for row, g in zip(x, grade, strict=True):
+        above = [1.0, *(1 / (1 + math.exp(t - sum(w * v for w, v in zip(weights, row, strict=True)))) for t in thresholds), 0.0]
+        total -= math.log(above[g] - above[g + 1])
+    return total / len(x) + toxicity.PENALTY * sum(map(abs, weights))
+
+
+def test_ordinal_fit_reaches_the_best_by_search():
+    """The loss is convex, so moves along each axis, halved where none helps, end at its minimum."""
+    chance = np.random.default_rng(8)
+    x = chance.integers(0, 2, (150, 3)).astype(float)
+    grade = np.digitize(x @ [2.0, -1.5, 0.0] + chance.logistic(size=150), [0.5, 2.0])
+    point, step = [0.0, 0.0, 0.0, 0.0, 1.0], 0.5
+    best = ordinal_loss(point[:3], point[3:], x, grade)
+    while step > 2e-4:
+        moved = False
+        for i in range(5):
+            for d in (step, -step):
+                trial = [*point[:i], point[i] + d, *point[i + 1:]]
+                if trial[3] < trial[4] and (loss := ordinal_loss(trial[:3], trial[3:], x, grade)) < best:
+                    point, best, moved = trial, loss, True
+        step = step if moved else step / 2
+    scale = np.zeros(toxicity.DIMENSIONS)
+    scale[[5, 70, 900]] = 1.0
+    rows = [np.array([5, 70, 900])[r > 0] for r in x]
+    model = toxicity.fit(rows, grade, scale, grades=3)
+    assert ordinal_loss(model.weights[[5, 70, 900]], model.thresholds, x, grade) <= best + 1e-5
+    assert np.allclose(model.weights[[5, 70, 900]], point[:3], atol=0.05) and np.allclose(model.thresholds, point[3:], atol=0.05)
+    assert np.count_nonzero(model.weights) <= 3
+
+
+def test_toxicity_counted_by_spark_is_that_of_plain_loops(spark):
+    """Places, their log-odds, grades, weights and severities of a small table, worked out a second time without Spark."""
+    chance = random.Random(2)
+    rows = [(i, " ".join(chance.choices([f"w{j}" for j in range(40)], k=12) + chance.choices(["vile", "vilest", "mean"], k=i % 3)), int(i % 3 > 0)) for i in range(240)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    places = [[p for w in sorted(set(re.findall(r"[^\W_]+", t.lower()))) for p in toxicity.word_places(w)] for _, t, _ in rows]
+    toxic = np.array([t for *_, t in rows])
+    counts = [np.array([sum(p in have for have, t in zip(map(set, places), toxic, strict=True) if t == mark) for p in sorted(set().union(*places))]) for mark in (1, 0)]
+    odds, marking = toxicity.selected(*counts, int(toxic.sum()), int((toxic == 0).sum()))
+    scale, marks = np.zeros(toxicity.DIMENSIONS), set()
+    for p, o, m in zip(sorted(set().union(*places)), odds, marking, strict=True):
+        scale[p] = o
+        marks |= {p} if m else set()
+    grade = toxicity.graded(np.array([len(marks & set(p)) for p in places]), toxic > 0)
+    plain = toxicity.fit([np.array(p) for p in places], grade, scale)
+    assert np.allclose(model.weights, plain.weights, atol=1e-6) and np.allclose(model.thresholds, plain.thresholds, atol=1e-6)
+    assert np.count_nonzero(plain.weights)
+    out = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    for (i, *_), have in zip(rows, places, strict=True):
+        above = 1 / (1 + np.exp(plain.thresholds - plain.weights[have].sum()))
+        assert out[i]["severity"] == pytest.approx(above.sum(), abs=1e-5) and out[i]["toxic"] == (above[0] >= 0.5)
+
+
 def test_words_of_toxic_documents_only_are_features():
     bad, good = np.array([5, 4, 50, 0, 3, 11, 2]), np.array([0, 0, 0, 40, 24, 76, 0])
     few, _ = toxicity.selected(bad[[0, 1, 4, 5]], good[[0, 1, 4, 5]], 11, 76)
