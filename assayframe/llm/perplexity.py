@@ -39,6 +39,8 @@ ENTRIES = 4_000_000
 # One trusted document in so many is held out to set the threshold, which is this quantile of them.
 HELD_OUT, QUANTILE = 5, 0.99
 BATCH_BYTES = 1 << 20
+# Entries are packed by their first byte, so that no task packs all of an order; short ones are few and stay together.
+_FIRST = "CASE WHEN order - CAST(context AS INT) > 2 THEN shiftright(gram, 8 * (order - CAST(context AS INT) - 1)) ELSE 0L END"
 
 
 def _languages(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
@@ -97,7 +99,7 @@ def _discounts(table: DataFrame) -> DataFrame:
 
 def train(trusted: DataFrame) -> DataFrame:
     """The model: lang, shard (byte before the predicted one, -1 for all), order, context (whether the entry is the
-    weight that a context gives to the order below), gram, value."""
+    weight that a context gives to the order below), gram, value, first (by which entries are packed)."""
     level = counts(trusted).where("n > 0")
     entries = None
     for order in range(ORDER, 0, -1):
@@ -115,17 +117,17 @@ def train(trusted: DataFrame) -> DataFrame:
         entries = alpha.unionByName(weight) if entries is None else entries.unionByName(alpha).unionByName(weight)
         if order > 1:
             level = level.groupBy("lang", _low(F.col("gram"), order - 1).alias("gram")).agg(F.count("*").alias("n"))
-    return stored(entries, "model")
+    return stored(entries.withColumn("first", F.expr(_FIRST)), "model")
 
 
-_PACKED = "lang string, order int, context boolean, grams binary, values binary"
+_PACKED = "lang string, order int, context boolean, first long, grams binary, values binary"
 
 
 def _packed(part: pa.Table) -> pa.Table:
-    """The entries of one language, order and kind in one row, sorted: 16 bytes each, whoever loads them."""
+    """The entries of one language, order, kind and first byte in one row, sorted: 16 bytes each, whoever loads them."""
     grams, values = part["gram"].to_numpy(), part["value"].to_numpy()
     order = np.argsort(grams, kind="stable")
-    return pa.table({"lang": part["lang"][:1], "order": part["order"][:1], "context": part["context"][:1],
+    return pa.table({"lang": part["lang"][:1], "order": part["order"][:1], "context": part["context"][:1], "first": part["first"][:1],
                      "grams": pa.array([grams[order].astype("<i8").tobytes()], pa.binary()),
                      "values": pa.array([values[order].astype("<f8").tobytes()], pa.binary())})
 
@@ -136,9 +138,14 @@ class Shards:
     def __init__(self, packed: pa.Table, held: dict[str, set[int]]) -> None:
         """``held`` has the shards by language."""
         self.held = held
-        self.parts = {
-            (row["lang"], row["order"], row["context"]): (np.frombuffer(row["grams"], "<i8"), np.frombuffer(row["values"], "<f8"))
-            for row in packed.to_pylist()}
+        packed = packed.sort_by([(c, "ascending") for c in ("lang", "order", "context", "first")])
+        keys = list(zip(*[packed[c].to_pylist() for c in ("lang", "order", "context")], strict=True))
+        self.parts = {}
+        for key in dict.fromkeys(keys):
+            # entries of one first byte are sorted, and first bytes come in order: so are all entries
+            start, n = keys.index(key), keys.count(key)
+            self.parts[key] = tuple(
+                np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in packed[c].slice(start, n)]) for c, kind in (("grams", "<i8"), ("values", "<f8")))
 
     def _find(self, key: tuple, grams: np.ndarray, default: float) -> np.ndarray:
         if key not in self.parts:
@@ -214,7 +221,7 @@ def perplexities(docs: DataFrame, model: DataFrame, entries: int = ENTRIES) -> D
         wanted = F.lit(False)
         for name, held in names.items():
             wanted = wanted | ((F.col("lang") == name) & F.col("shard").isin(-1, *held))
-        table = model.where(wanted).groupBy("lang", "order", "context").applyInArrow(_packed, _PACKED).toArrow()
+        table = model.where(wanted).groupBy("lang", "order", "context", "first").applyInArrow(_packed, _PACKED).toArrow()
         shards = Shards(table, {name: set(held) for name, held in names.items()})
         return spark.sparkContext.broadcast(shards), list(names)
 
