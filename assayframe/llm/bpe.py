@@ -181,8 +181,8 @@ def _codec(path: str, pattern: str) -> _Codec:
     return kept(("bpe", path, pattern), lambda: _Codec(read_ranks(path), pattern))
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], codec: _Codec, text: str) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, text, BATCH_BYTES):
+def _encoded(batches: Iterator[pa.RecordBatch], codec: _Codec, text: str, batch_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, text, batch_bytes):
         ids = codec.encode(batch.column(text).fill_null("").to_pylist())
         yield put(batch, ids=pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary()),
                   n_tokens=pa.array([len(i) for i in ids], pa.int64()))
@@ -218,11 +218,14 @@ def decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.mapInArrow(lambda batches: _decoded(batches, _codec(path, pattern)), with_fields(docs.schema, *_BYTES))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Encode and decode in one worker: what ``decode(encode(...))`` gives, with one codec in memory for each task."""
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Encode and decode in one worker: what ``decode(encode(...))`` gives, with one codec in memory for each task.
+
+    ``batch_bytes`` of text are encoded at a time: fewer take less memory and a little more time.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern)
-        yield from _decoded(_encoded(batches, codec, text), codec)
+        yield from _decoded(_encoded(batches, codec, text, batch_bytes), codec)
 
     return docs.mapInArrow(run, with_fields(docs.schema, *_IDS, *_BYTES))
 
