@@ -16,6 +16,10 @@ from assayframe.llm.common import stored
 from assayframe.llm.queries import RANK_FILE, trusted_ids
 
 
+# Executors still hold the memory of the stages before, so the last one takes small batches.
+BATCH_BYTES = 1 << 20
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's quantile of trusted documents."""
     judged = perplexity.judge(docs, trusted_ids(spark, sf_dir))
@@ -44,7 +48,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text; ``exact`` says that decoding gives the text back."""
     path = public_tokenizers.path(RANK_FILE)
-    back = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
+    back = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN, batch_bytes=BATCH_BYTES)
     same = F.encode(F.coalesce("text", F.lit("")), "UTF-8") == F.col("decoded")
     return back.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("exact"))
 
