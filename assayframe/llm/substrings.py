@@ -244,6 +244,8 @@ def _pack(frequent: np.ndarray, buckets: int, window: int):
                     held = _Held()
         yield from held.rows(shrink, buckets)
         _Powers.forget()
+        del held
+        let_go()  # a worker that waits must not hold what the next stage needs
 
     return run
 
@@ -371,6 +373,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, keep_layout: bool = F
             out = batch.set_column(at, pa.field(text, pa.string()), pa.array([t.decode() for t in texts], pa.string()))
             out = out.drop_columns(["_places"])
             yield put(out, n_words=pa.array(n_words, pa.int64()), n_removed=pa.array(n_removed, pa.int64()))
+        let_go()
 
     schema = with_fields(joined.drop("_places").schema, ("n_words", "long"), ("n_removed", "long"))
     out = joined.mapInArrow(run, schema)
