@@ -23,12 +23,15 @@ class PieceIds(dict):
     """Numbers of the pieces seen, and their token ids one after another.
 
     A key that is a string stands for a space and that string; a tuple holds a piece as it is. Texts with one of the
-    strings in ``whole`` are never cut: to the tokenizer these are tokens wherever they stand.
+    strings in ``whole`` are never cut: to the tokenizer these are tokens wherever they stand. ``encode_run``, if given,
+    encodes pieces that all begin with a space and have no other one as the text they make one after another: it returns
+    all ids and how many each piece has.
     """
 
-    def __init__(self, encode: Callable[[Sequence[str]], Sequence[Sequence[int]]], known: int = KNOWN_PIECES, whole: Sequence[str] = ()) -> None:
+    def __init__(self, encode: Callable[[Sequence[str]], Sequence[Sequence[int]]], known: int = KNOWN_PIECES, whole: Sequence[str] = (),
+                 encode_run: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]] | None = None) -> None:
         super().__init__()
-        self._encode, self._known = encode, known
+        self._encode, self._known, self._encode_run = encode, known, encode_run
         self._whole = regex.compile("|".join(map(regex.escape, whole))) if whole else None
         self._new: list = []
         self._done = self._used = 0
@@ -59,28 +62,42 @@ class PieceIds(dict):
     def _learn(self) -> None:
         if not self._new:
             return
+        if self._encode_run is None:
+            self._add(self._found(self._new))
+        else:
+            whole = [n for n, k in enumerate(self._new) if type(k) is not str]
+            found = self._found([self._new[n] for n in whole])
+            run = np.delete(np.arange(len(self._new)), whole)
+            self._place(run, *self._encode_run([k for k in self._new if type(k) is str]), np.array(whole, np.int64), *_joined(found))
+        self._new.clear()
+
+    def _found(self, keys: list) -> list[Sequence[int]]:
+        """The ids of each key, worked out word by word."""
         # a key of two is a text that is not cut
-        pieces = [" " + k if isinstance(k, str) else k[-1] for k in self._new]
+        pieces = [" " + k if isinstance(k, str) else k[-1] for k in keys]
         cut = [_COARSE.findall(p) if "\n" in p and len(k) != 2 or not p else (p,) for k, p in zip(
-            [k if isinstance(k, tuple) else () for k in self._new], pieces, strict=True)]
+            [k if isinstance(k, tuple) else () for k in keys], pieces, strict=True)]
         words = list(dict.fromkeys(w for ws in cut for w in ws))
         ids = dict(zip(words, self._encode(words), strict=True))
-        found = [ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]] for ws in cut]
-        self._add(found)
-        self._new.clear()
+        return [ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]] for ws in cut]
 
     def _add(self, found: Sequence[Sequence[int]]) -> None:
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        size, count = self._used + int(lengths.sum()), self._done + len(found)
+        self._place(np.arange(len(found)), *_joined(found))
+
+    def _place(self, *parts: np.ndarray) -> None:
+        """Of the pieces not yet placed: which ones, their ids one after another and their lengths, and again so."""
+        size, count = self._used + sum(map(len, parts[1::3])), self._done + sum(map(len, parts[::3]))
         if size > len(self._flat):
             self._flat = np.concatenate([self._flat, np.zeros(size, np.uint32)])
         if count > len(self._starts):
             self._starts, self._lengths, self._uses = (
                 np.concatenate([x, np.zeros(count, np.int64)]) for x in (self._starts, self._lengths, self._uses))
-        self._flat[self._used:size] = np.fromiter((i for ids in found for i in ids), np.uint32, size - self._used)
-        self._lengths[self._done:count] = lengths
-        self._starts[self._done:count] = self._used + np.cumsum(lengths) - lengths
-        self._used, self._done = size, count
+        for which, ids, lengths in zip(parts[::3], parts[1::3], parts[2::3], strict=True):
+            self._flat[self._used:self._used + len(ids)] = ids
+            self._lengths[self._done + which] = lengths
+            self._starts[self._done + which] = self._used + np.cumsum(lengths) - lengths
+            self._used += len(ids)
+        self._done = count
 
     def _keys(self, text: str) -> list:
         if self._whole and self._whole.search(text):
@@ -130,3 +147,9 @@ class PieceIds(dict):
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         return self._flat[np.arange(total) + np.repeat(self._starts[numbers] - (ends - lengths), lengths)]
+
+
+def _joined(found: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as one array, and their lengths."""
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum())), lengths
