@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let_go, put, shielded, slices, small, stored, text_bytes, text_key, with_fields
+from .common import let_go, new_folder, put, shielded, slices, small, stored, text_bytes, text_key, with_fields
 
 ORDER, START = 5, 2
 # Small counts can give a discount of 0; then a context would leave nothing to what it has not seen.
@@ -99,9 +99,13 @@ def _discounts(table: DataFrame) -> DataFrame:
 
 def train(trusted: DataFrame) -> DataFrame:
     """The model: lang, shard (byte before the predicted one, -1 for all), order, context (whether the entry is the
-    weight that a context gives to the order below), gram, value, first (by which entries are packed)."""
+    weight that a context gives to the order below), gram, value, first (by which entries are packed).
+
+    Each order is written by itself, and no table that grows with the text is broadcast: a plan of all orders at once
+    has the broadcasts of all in the driver.
+    """
     level = counts(trusted).where("n > 0")
-    entries = None
+    path = new_folder(trusted.sparkSession, "model")
     for order in range(ORDER, 0, -1):
         level = stored(level, f"order{order}")
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
@@ -109,15 +113,16 @@ def train(trusted: DataFrame) -> DataFrame:
         own = level.join(F.broadcast(_discounts(level)), F.col("lang") == F.col("_lang")).withColumn("_d", F.least(d, F.col("n").cast("double")))
         own = own.withColumn("_context", F.shiftright("gram", 8))
         sums = own.groupBy("lang", "_context").agg(F.sum("n").alias("_total"), F.sum("_d").alias("_mass"))
-        seen = own.join(sums, ["lang", "_context"])
+        seen = own.join(sums.hint("merge"), ["lang", "_context"])
         alpha = seen.select("lang", (F.shiftright("gram", 8).bitwiseAND(F.lit(255)) if order > 1 else F.lit(-1).cast("long")).alias("shard"),
                             F.lit(order).alias("order"), F.lit(False).alias("context"), "gram", ((F.col("n") - F.col("_d")) / F.col("_total")).alias("value"))
         weight = sums.select("lang", (_low(F.col("_context"), 1) if order > 1 else F.lit(-1).cast("long")).alias("shard"),
                              F.lit(order).alias("order"), F.lit(True).alias("context"), F.col("_context").alias("gram"), (F.col("_mass") / F.col("_total")).alias("value"))
-        entries = alpha.unionByName(weight) if entries is None else entries.unionByName(alpha).unionByName(weight)
+        entries = alpha.unionByName(weight).withColumn("first", F.expr(_FIRST))
+        entries.write.mode("append").parquet(path)
         if order > 1:
             level = level.groupBy("lang", _low(F.col("gram"), order - 1).alias("gram")).agg(F.count("*").alias("n"))
-    return stored(entries.withColumn("first", F.expr(_FIRST)), "model")
+    return trusted.sparkSession.read.schema(entries.schema).parquet(path)
 
 
 _PACKED = "lang string, order int, context boolean, first long, grams binary, values binary"
@@ -208,22 +213,34 @@ def _score(shards, partial: bool):
     return run
 
 
-def perplexities(docs: DataFrame, model: DataFrame, entries: int = ENTRIES) -> DataFrame:
-    """Add ``perplexity``, per byte. ``docs`` has doc_id, lang and text."""
-    spark = docs.sparkSession
-    parts = passes(model, entries)
-    docs = docs.drop("perplexity")
+class Passes:
+    """A model cut into passes, each sent to all tasks when asked for; a model of one pass is sent once."""
+
+    def __init__(self, model: DataFrame, entries: int = ENTRIES) -> None:
+        self.model, self.parts, self._only = model, passes(model, entries), None
 
-    def load(pairs: list[tuple[str, int]]):
+    def load(self, pairs: list[tuple[str, int]]):
+        if self._only is not None:
+            return self._only
         names: dict[str, list[int]] = {}
         for name, shard in pairs:
             names.setdefault(name, []).append(shard)
         wanted = F.lit(False)
         for name, held in names.items():
             wanted = wanted | ((F.col("lang") == name) & F.col("shard").isin(-1, *held))
-        table = model.where(wanted).groupBy("lang", "order", "context", "first").applyInArrow(_packed, _PACKED).toArrow()
+        table = self.model.where(wanted).groupBy("lang", "order", "context", "first").applyInArrow(_packed, _PACKED).toArrow()
         shards = Shards(table, {name: set(held) for name, held in names.items()})
-        return spark.sparkContext.broadcast(shards), list(names)
+        found = self.model.sparkSession.sparkContext.broadcast(shards), list(names)
+        if len(self.parts) <= 1:
+            self._only = found
+        return found
+
+
+def perplexities(docs: DataFrame, model: DataFrame | Passes, entries: int = ENTRIES) -> DataFrame:
+    """Add ``perplexity``, per byte. ``docs`` has doc_id, lang and text."""
+    cut = model if isinstance(model, Passes) else Passes(model, entries)
+    parts, load = cut.parts, cut.load
+    docs = docs.drop("perplexity")
 
     value = F.when(F.col("_units") > 0, F.exp(-F.col("_sum") / F.col("_units"))).when(F.col("_sum").isNotNull(), 0.0).alias("perplexity")
     if len(parts) <= 1:
@@ -243,7 +260,7 @@ def perplexities(docs: DataFrame, model: DataFrame, entries: int = ENTRIES) -> D
     return docs.join(sums, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], value)
 
 
-def thresholds(held_out: DataFrame, model: DataFrame, quantile: float = QUANTILE, entries: int = ENTRIES) -> DataFrame:
+def thresholds(held_out: DataFrame, model: DataFrame | Passes, quantile: float = QUANTILE, entries: int = ENTRIES) -> DataFrame:
     """Per language: the quantile of the perplexities of trusted documents that the model has not seen."""
     scored = perplexities(held_out.select("doc_id", "lang", "text"), model, entries)
     return scored.groupBy(F.coalesce("lang", F.lit("")).alias("_lang")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
@@ -255,7 +272,7 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, e
     ids = trusted_ids.select(F.col("doc_id").alias("_doc")).distinct()
     trusted = stored(docs.select("doc_id", "lang", "text").join(small(ids), F.col("doc_id") == F.col("_doc"), "left_semi"), "trusted")
     held = F.pmod(F.xxhash64("doc_id", "text"), F.lit(HELD_OUT)) == 0
-    model = train(trusted.where(~held))
+    model = Passes(train(trusted.where(~held)), entries)
     limits = stored(thresholds(trusted.where(held), model, quantile, entries), "thresholds")
     scored = perplexities(docs, model, entries)
     # one row per language
