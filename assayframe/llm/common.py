@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -103,6 +104,7 @@ def kept(key, make):
 def let_go() -> None:
     """Workers outlive a stage: what one operator kept must not add to what the next one needs."""
     _kept.clear()
+    gc.collect()  # large objects may refer to each other: without this they stay until some later collection
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only with this C library
         ctypes.CDLL(None).malloc_trim(0)
