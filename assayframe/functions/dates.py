@@ -11,6 +11,7 @@ Results are TIMESTAMP_NTZ: the session time zone has no say in them.
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -97,10 +98,14 @@ def _month_number(month: Column) -> Column:
 
 
 def _in_order(text: Column) -> Column:
-    """Year-month-day of a lower-case date in any listed shape, else null."""
-    for shape, order in _SHAPES:
-        text = F.regexp_replace(text, shape, order)
-    return text
+    """Year-month-day of a lower-case date in any listed shape, else the text as it is.
+
+    Shapes with a month name or a quarter fit only texts with a letter, the others only texts without one, and neither
+    leaves what the other kind would rewrite. So a text is matched against the shapes of its kind.
+    """
+    lettered = [s for s in _SHAPES if _MONTH in s[0] or "q" in s[0]]
+    kinds = [reduce(lambda out, s: F.regexp_replace(out, *s), shapes, text) for shapes in (lettered, [s for s in _SHAPES if s not in lettered])]
+    return F.when(text.rlike("[a-z]"), kinds[0]).otherwise(kinds[1])
 
 
 def _with_colons(text: Column) -> Column:
@@ -129,6 +134,13 @@ def date_steps(
         f"_{part}_{source}" for part in ("text", "parts", "clock", "half", "zone", "year", "written", "moment"))
     c = F.col
 
+    def of_clock(group: int) -> Column:
+        # no time of day is without a colon
+        return F.when(F.contains(c(text), F.lit(":")), F.regexp_extract(c(text), _CLOCK, group)).when(c(text).isNotNull(), "")
+
+    def without_clock() -> Column:
+        return F.when(F.contains(c(text), F.lit(":")), F.regexp_replace(c(text), _CLOCK, "")).otherwise(c(text))
+
     def day_of() -> Column:
         short, month, number = (F.get(c(parts), F.lit(i)) for i in range(3))
         return F.concat_ws(
@@ -152,12 +164,12 @@ def date_steps(
     return (
         Prepared(text, (clean,), lambda: F.when(~c(clean).rlike(_ISO), _with_colons(F.lower(c(clean))))),
         Prepared(parts, (text,), lambda: F.split(_in_order(
-            F.regexp_replace(F.regexp_replace(c(text), _CLOCK, ""), _WEEKDAY, "")), "-")),
-        Prepared(clock, (text,), lambda: F.regexp_extract(c(text), _CLOCK, 1)),
-        Prepared(half, (text,), lambda: F.regexp_extract(c(text), _CLOCK, 2)),
+            F.regexp_replace(without_clock(), _WEEKDAY, "")), "-")),
+        Prepared(clock, (text,), lambda: of_clock(1)),
+        Prepared(half, (text,), lambda: of_clock(2)),
         # "gmt" is read as no zone at all
         Prepared(zone, (text,), lambda: F.nullif(F.replace(
-            F.regexp_extract(c(text), _CLOCK, 3), F.lit("gmt"), F.lit("")), F.lit(""))),
+            of_clock(3), F.lit("gmt"), F.lit("")), F.lit(""))),
         Prepared(year, (parts,), lambda: F.regexp_extract(F.get(c(parts), F.lit(0)), r"^=(\d+)$", 1).try_cast("int")),
         Prepared(written, (parts, clock, year), lambda: F.when(
             c(year).isNotNull(), F.concat_ws(" ", day_of(), F.nullif(c(clock), F.lit("")))).try_cast("timestamp_ntz")),
