@@ -16,9 +16,11 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -45,10 +47,7 @@ WITH RECURSIVE step(word, state) USING KEY (word) AS (
 )
 SELECT state FROM step ORDER BY word
 """
-_DECODE = """
-SELECT part, from_hex(string_agg(hex, '' ORDER BY pos)) AS bytes
-FROM tokens JOIN vocabulary USING (token) GROUP BY part ORDER BY part
-"""
+_DECODE = "SELECT bytes FROM tokens JOIN vocabulary USING (token) ORDER BY pos"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -86,8 +85,8 @@ class _Codec:
         self.database = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
         # the rank stands above 16 bits for the position of a pair
         self._load("merges", pair=pa.array(pairs, pa.string()), packed=pa.array(np.array(merged, np.int64) << 16))
-        self._load("vocabulary", token=pa.array(list(ranks.values()), pa.int32()), hex=pa.array([t.hex() for t in ranks]))
-        self.pieces = PieceIds(self._encode_pieces)
+        self._load("vocabulary", token=pa.array(list(ranks.values()), pa.int32()), bytes=pa.array(list(ranks), pa.binary()))
+        self.pieces = PieceIds(self._encode_pieces, encode_run=self._encode_run)
 
     def _load(self, name: str, **columns) -> None:
         self.database.register("loading", pa.table(columns))
@@ -101,30 +100,56 @@ class _Codec:
         return out
 
     def _encode_pieces(self, pieces: Sequence[str]) -> list[Sequence[int]]:
-        cut = [[w.encode() for w in self.pattern.findall(p)] for p in pieces]
-        ids: dict[bytes, Sequence[int]] = {}
-        open_words = []
-        for word in dict.fromkeys(w for ws in cut for w in ws):
-            rank = self.ranks.get(word)
-            if rank is not None:
-                ids[word] = (rank,)
-            elif len(word) > LONG_WORD:
-                ids[word] = _contract(word, self.ranks)
-            else:
-                open_words.append(word)
-        ids |= self._contract_words(open_words)
-        return [ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]] for ws in cut]
-
-    def _contract_words(self, words: list[bytes]) -> dict[bytes, Sequence[int]]:
+        cut = [self.pattern.findall(p) for p in pieces]
+        ids, lengths = self._encode_words([w for ws in cut for w in ws])
+        flat, total = ids.tolist(), np.concatenate([[0], np.cumsum(lengths)])
+        ends = total[np.cumsum([0, *map(len, cut)])].tolist()
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _encode_run(self, keys: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of pieces that are a space and a key, cut into words as one text, and how many each piece has.
+
+        Only the first word of such a piece begins with the space. Should their number differ, pieces are cut one by one.
+        """
+        words = self.pattern.findall("".join([" " + k for k in keys]))
+        starts = np.flatnonzero(np.fromiter(map(str.startswith, words, repeat(" ")), bool, len(words)))
+        if len(starts) != len(keys):
+            found = self._encode_pieces([" " + k for k in keys])
+            return np.array([i for ids in found for i in ids], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+        ids, lengths = self._encode_words(words)
+        return ids, np.add.reduceat(lengths, starts) if len(starts) else lengths
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words one after another, and how many each has. A word that comes again is worked out once."""
+        number = {w: n for n, w in enumerate(dict.fromkeys(words))}
+        ids, lengths = self._different_words([w.encode() for w in number])
+        index = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        takes = lengths[index]
+        return ids[_stretches(np.cumsum(lengths)[index] - takes, takes)], takes
+
+    def _different_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        rank = np.fromiter(map(self.ranks.get, words, repeat(-1)), np.int64, len(words))
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        whole, few, many = np.flatnonzero(rank >= 0), np.flatnonzero((rank < 0) & (size <= LONG_WORD)), np.flatnonzero((rank < 0) & (size > LONG_WORD))
+        lengths = np.ones(len(words), np.int64)
+        joined, lengths[few] = self._contract_words([words[n] for n in few.tolist()], size[few])
+        long = [_contract(words[n], self.ranks) for n in many.tolist()]
+        lengths[many] = list(map(len, long))
+        starts, ids = np.cumsum(lengths) - lengths, np.zeros(int(lengths.sum()), np.uint32)
+        ids[starts[whole]] = rank[whole]
+        ids[_stretches(starts[few], lengths[few])] = joined
+        for at, some in zip(starts[many].tolist(), long, strict=True):
+            ids[at:at + len(some)] = some
+        return ids, lengths
+
+    def _contract_words(self, words: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not words:
-            return {}
-        cuts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
-        state = _states(self.bytes[np.frombuffer(b"".join(words), np.uint8)], cuts)
-        found = self._query("seed", _ENCODE, word=np.arange(len(words), dtype=np.int32), state=pa.array(state, pa.string()))["state"].to_pylist()
-        tokens = np.frombuffer("".join(found).encode("utf-32-le"), "<u4").astype(np.int64) - _SHIFT
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        state = _states(self.bytes[np.frombuffer(b"".join(words), np.uint8)], np.concatenate([[0], np.cumsum(sizes)]))
+        found = self._query("seed", _ENCODE, word=np.arange(len(words), dtype=np.int32), state=pa.array(state, pa.string()))["state"]
+        tokens = np.frombuffer(_joined(found)[0].decode().encode("utf-32-le"), "<u4").astype(np.int64) - _SHIFT
         tokens -= 2048 * (tokens >= _SURROGATES - _SHIFT)
-        flat, ends = tokens.tolist(), np.cumsum([len(f) for f in found]).tolist()
-        return {word: flat[a:b] for word, a, b in zip(words, [0, *ends[:-1]], ends, strict=True)}
+        return tokens, pc.utf8_length(found).to_numpy().astype(np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.pieces.encode(texts)
@@ -137,10 +162,22 @@ class _Codec:
         token = np.concatenate(parts).astype(np.int32)
         if token.min() < 0 or token.max() >= len(self.known) or not self.known[token].all():
             raise ValueError("a token id is not in the vocabulary")
-        part = np.repeat(np.arange(len(parts), dtype=np.int32), lengths)
-        found = self._query("tokens", _DECODE, part=part, pos=np.arange(len(token), dtype=np.int64), token=token)
-        out = dict(zip(found["part"].to_pylist(), found["bytes"].to_pylist(), strict=True))
-        return [out.get(n, b"") for n in range(len(parts))]
+        found = self._query("tokens", _DECODE, pos=np.arange(len(token), dtype=np.int64), token=token)["bytes"]
+        whole, cuts = _joined(found)
+        ends = cuts[np.cumsum([0, *lengths])].tolist()
+        return [whole[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _joined(column: pa.ChunkedArray) -> tuple[bytes, np.ndarray]:
+    """The bytes of all values one after another, and where each begins and the last one ends."""
+    values = column.cast(pa.large_binary()).combine_chunks()
+    cuts = np.frombuffer(values.buffers()[1], np.int64)[values.offset:values.offset + len(values) + 1]
+    return values.buffers()[2].to_pybytes()[cuts[0]:cuts[-1]], cuts - cuts[0]
+
+
+def _stretches(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of stretches one after another."""
+    return np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
 
 
 def _contract(word: bytes, ranks: dict[bytes, int]) -> list[int]:

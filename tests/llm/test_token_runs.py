@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from assayframe.llm import tokenfiles
+from assayframe.llm import bpe, tokenfiles
 from assayframe.llm.queries import END_ID
+from tests.llm.test_operators import reference_encoding
 
 
 def test_words_new_to_a_worker_are_given_to_the_library_as_few_texts():
@@ -36,3 +38,27 @@ def test_words_new_to_a_worker_are_given_to_the_library_as_few_texts():
     ids, lengths = pieces.encode_all(texts, END_ID)
     want = [[*each, END_ID] for each in encode(texts)]
     assert ids.tolist() == [i for each in want for i in each] and lengths.tolist() == [len(each) for each in want]
+
+
+def test_byte_bpe_gives_new_words_to_the_database_as_one_run(monkeypatch):
+    """Each piece was cut and put together by itself, which took more time than the queries."""
+    codec = bpe._Codec(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    given = []
+    one_by_one = codec._encode_pieces
+    monkeypatch.setattr(codec.pieces, "_encode", lambda pieces: given.extend(pieces) or one_by_one(pieces))
+    texts = [" the xqzzv blorptang, the\nxqzzv\tend", " x" * 300, " " + "abé" * 200, " don't xqzzv\r\n blorptang 日本語ก"]
+    want = reference_encoding()
+    found = codec.encode(texts)
+    assert not given
+    assert [i.tolist() for i in found] == [want.encode_ordinary(t) for t in texts]
+    assert codec.decode(found) == [t.encode() for t in texts]
+    odd = ["", " ", "two  spaces", "end ", "\n a", "a  b", "\t \n x y"]
+    assert [i.tolist() for i in codec.encode(odd)] == [want.encode_ordinary(t) for t in odd]
+    assert codec.decode([np.zeros(0, np.uint32), found[0], np.zeros(0, np.uint32)]) == [b"", texts[0].encode(), b""]
+
+
+def test_byte_bpe_with_a_pattern_that_joins_words_cuts_pieces_one_by_one():
+    codec = bpe._Codec({bytes([b]): b for b in range(256)} | {b" a": 256}, r"[ab ]+|[^ab ]+")
+    ids, lengths = codec._encode_run(["a", "ab", "c"])
+    assert ids.tolist() == [256, 256, 98, 32, 99]
+    assert lengths.tolist() == [1, 2, 2]
