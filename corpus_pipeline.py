@@ -18,6 +18,9 @@ from assayframe.llm.queries import RANK_FILE, trusted_ids
 
 # Executors still hold the memory of the stages before, so the last one takes small batches.
 BATCH_BYTES = 1 << 20
+# Bytes of rows that go to a worker at a time. Without it that is 10,000 rows: 25 MB of texts, held by the JVM in a buffer that
+# grows by doubling, and again by the worker, though operators cut it up into 1 to 4 MB. Results do not depend on it.
+SENT, SENT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,12 +56,24 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("exact"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality classifier", quality),
-    ("near duplicates", near_duplicates),
-    ("repeated passages", repeated_passages),
-    ("mixing", mixture),
-    ("byte-level BPE", tokens),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _sparing(stage: Stage) -> Stage:
+    """The stage with batches of ``SENT_BYTES``, a setting of the session that stays: Spark reads it when the result is asked for."""
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(SENT, str(SENT_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", _sparing(quality)),
+    ("near duplicates", _sparing(near_duplicates)),
+    ("repeated passages", _sparing(repeated_passages)),
+    ("mixing", _sparing(mixture)),
+    ("byte-level BPE", _sparing(tokens)),
 ]
 
 # The language model and the fingerprints are beyond SQL; tests hold the stages against brute force.

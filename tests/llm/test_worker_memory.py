@@ -5,6 +5,9 @@ from __future__ import annotations
 import gc
 import weakref
 
+import pyarrow as pa
+
+import corpus_pipeline
 from assayframe.llm import common
 
 
@@ -25,3 +28,20 @@ def test_what_a_worker_kept_is_gone_at_once_even_if_it_refers_to_itself():
         assert there() is None
     finally:
         gc.enable()
+
+
+def test_stages_of_the_pipeline_send_small_batches_to_workers(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": [batch.nbytes]})
+
+    def stage(spark, docs, sf_dir):
+        return docs.mapInArrow(sizes, "size long")
+
+    docs = spark.range(0, 6000, 1, 1).selectExpr("repeat(cast(id as string), 500) AS text")
+    try:
+        sent = [r["size"] for r in corpus_pipeline._sparing(stage)(spark, docs, "").collect()]
+    finally:
+        spark.conf.unset(corpus_pipeline.SENT)
+    assert len(sent) > 1 and max(sent) < 2 * corpus_pipeline.SENT_BYTES
+    assert {f.__qualname__ for _, f in corpus_pipeline.STAGES} == {"_sparing.<locals>.run"}
