@@ -8,10 +8,15 @@ and each different piece needs to be encoded only once per worker.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+# In the syntax of Arrow. It may find more texts than hold such a space: these are cut with patterns, to the same pieces.
+_ODD_TEXT = r" [\s\x0B\x1C-\x1F\x{85}\p{Z}]| \z"
 _ODD_SPACE = regex.compile(r" (?=\s)| \Z")
 _COARSE = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
 
@@ -33,6 +38,7 @@ class PieceIds(dict):
         super().__init__()
         self._encode, self._known, self._encode_run = encode, known, encode_run
         self._whole = regex.compile("|".join(map(regex.escape, whole))) if whole else None
+        self._odd = "|".join([*map(regex.escape, whole), _ODD_TEXT])
         self._new: list = []
         self._done = self._used = 0
         self._flat = np.zeros(1024, np.uint32)
@@ -111,6 +117,48 @@ class PieceIds(dict):
             del keys[0]
         return keys
 
+    def _numbers(self, texts: Sequence[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the pieces of all texts one after another, and how many each text has.
+
+        Arrow cuts the texts and finds their different words, so only these are looked up.
+        """
+        column = pa.array(texts, pa.large_string())
+        is_odd = pc.match_substring_regex(column, self._odd)
+        odd, plain = (np.flatnonzero(x.to_numpy(zero_copy_only=False)) for x in (is_odd, pc.invert(is_odd)))
+        split = pc.split_pattern(column.take(pa.array(plain)), " ")
+        cuts, words = split.offsets.to_numpy(), split.values
+        # what stands before the first space is a piece as it is, unless empty
+        heads = words.take(pa.array(cuts[:-1])).to_numpy(zero_copy_only=False)
+        headed = np.fromiter(map(bool, heads), bool, len(heads))
+        behind = np.ones(len(words), bool)
+        behind[cuts[:-1]] = False
+        coded = words.filter(pa.array(behind)).dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False)
+        number = np.fromiter(map(self.get, different, repeat(-1)), np.int64, len(different))
+        new = np.flatnonzero(number < 0)
+        number[new] = np.arange(len(self), len(self) + len(new))
+        self._new += different[new].tolist()
+        self.update(zip(different[new], number[new].tolist(), strict=True))
+        others = [self._keys(texts[n]) for n in odd.tolist()]
+        counts = np.zeros(len(texts), np.int64)
+        counts[plain] = np.diff(cuts) - ~headed
+        counts[odd] = list(map(len, others))
+        counts += end is not None
+        ends = np.cumsum(counts)
+        starts = ends - counts
+        numbers, word = np.zeros(counts.sum(), np.int64), np.ones(counts.sum(), bool)
+        first = starts[plain[headed]]
+        numbers[first] = np.fromiter((self[(h,)] for h in heads if h), np.int64, len(first))
+        word[first] = False
+        for at, keys in zip(starts[odd].tolist(), others, strict=True):
+            numbers[at:at + len(keys)] = [self[k] for k in keys]
+            word[at:at + len(keys)] = False
+        if end is not None:
+            numbers[ends - 1] = self[("", "", end)]
+            word[ends - 1] = False
+        numbers[word] = number[coded.indices.to_numpy()]
+        return numbers, counts
+
     def encode_all(self, texts: Sequence[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, as unsigned 32-bit integers, and how many each text has.
 
@@ -121,14 +169,7 @@ class PieceIds(dict):
         if end is not None and ("", "", end) not in self:
             self[("", "", end)] = len(self)
             self._add([[end]])
-        keys, counts = [], np.zeros(len(texts), np.int64)
-        for n, text in enumerate(texts):
-            some = self._keys(text)
-            if end is not None:
-                some.append(("", "", end))
-            counts[n] = len(some)
-            keys += some
-        numbers = np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+        numbers, counts = self._numbers(texts, end)
         self._learn()
         uses = np.bincount(numbers, minlength=self._done)
         self._uses[:self._done] += uses[:self._done]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 from assayframe.llm import bpe, tokenfiles
+from assayframe.llm.pieces import PieceIds
 from assayframe.llm.queries import END_ID
 from tests.llm.test_operators import reference_encoding
 
@@ -62,3 +65,20 @@ def test_byte_bpe_with_a_pattern_that_joins_words_cuts_pieces_one_by_one():
     ids, lengths = codec._encode_run(["a", "ab", "c"])
     assert ids.tolist() == [256, 256, 98, 32, 99]
     assert lengths.tolist() == [1, 2, 2]
+
+
+def test_only_the_different_words_of_a_batch_become_python_strings():
+    """Every word of every text was one, and was looked up by itself."""
+    pieces = PieceIds(lambda words: [[len(w)] for w in words], whole=["<|end|>"])
+    texts = ["one two three " * 100_000 + "four", "", " five", "six", "a  b c", "x<|end|> y", "\u3000 z", " \x85 "]
+    pieces.encode_all(["warm up"])  # loads modules
+    tracemalloc.start()
+    ids, lengths = pieces.encode_all(texts, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert lengths.tolist() == [300_002, 1, 2, 2, 5, 2, 3, 2]
+    assert ids[:5].tolist() == [3, 4, 6, 4, 4] and ids[300_000:].tolist() == [5, 0, 0, 5, 0, 3, 0, 1, 1, 2, 2, 0, 10, 0, 1, 2, 0, 3, 0]
+    assert peak < 25_000_000
+    # known and new words, heads and odd texts in one batch, in any order
+    again, sizes = pieces.encode_all([texts[n] for n in (5, 2, 0, 4)] + ["two new"], 0)
+    assert sizes.tolist() == [2, 2, 300_002, 5, 3] and again[-3:].tolist() == [3, 4, 0]
