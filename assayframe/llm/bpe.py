@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import kept, put, slices, with_fields
-from .pieces import PieceIds
+from .pieces import KNOWN_PIECES, PieceIds
 
 LONG_WORD = 256
 # Bytes of text, and number of tokens, that one query handles.
@@ -66,7 +66,7 @@ def _states(tokens: np.ndarray, cuts: np.ndarray) -> list[str]:
 class _Codec:
     """What a worker keeps of one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, known: int = KNOWN_PIECES) -> None:
         import duckdb
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
@@ -86,7 +86,7 @@ class _Codec:
         # the rank stands above 16 bits for the position of a pair
         self._load("merges", pair=pa.array(pairs, pa.string()), packed=pa.array(np.array(merged, np.int64) << 16))
         self._load("vocabulary", token=pa.array(list(ranks.values()), pa.int32()), bytes=pa.array(list(ranks), pa.binary()))
-        self.pieces = PieceIds(self._encode_pieces, encode_run=self._encode_run)
+        self.pieces = PieceIds(self._encode_pieces, known, encode_run=self._encode_run)
 
     def _load(self, name: str, **columns) -> None:
         self.database.register("loading", pa.table(columns))
@@ -213,9 +213,9 @@ def _contract(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _codec(path: str, pattern: str) -> _Codec:
+def _codec(path: str, pattern: str, known: int = KNOWN_PIECES) -> _Codec:
     """One codec per worker and vocabulary; workers serve many tasks."""
-    return kept(("bpe", path, pattern), lambda: _Codec(read_ranks(path), pattern))
+    return kept(("bpe", path, pattern, known), lambda: _Codec(read_ranks(path), pattern, known))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], codec: _Codec, text: str, batch_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -225,16 +225,16 @@ def _encoded(batches: Iterator[pa.RecordBatch], codec: _Codec, text: str, batch_
                   n_tokens=pa.array([len(i) for i in ids], pa.int64()))
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], codec: _Codec) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "ids", 4 * BATCH_TOKENS):
+def _decoded(batches: Iterator[pa.RecordBatch], codec: _Codec, batch_tokens: int = BATCH_TOKENS) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "ids", 4 * batch_tokens):
         parts, owner = [], []
         for row, ids in enumerate(batch.column("ids").fill_null(b"").to_pylist()):
             numbers = np.frombuffer(ids, "<u4")
-            cuts = range(0, len(numbers), BATCH_TOKENS)
-            parts += [numbers[c:c + BATCH_TOKENS] for c in cuts]
+            cuts = range(0, len(numbers), batch_tokens)
+            parts += [numbers[c:c + batch_tokens] for c in cuts]
             owner += [row] * len(cuts)
         out: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
-        for row, some in zip(owner, _in_turn(codec, parts), strict=True):
+        for row, some in zip(owner, _in_turn(codec, parts, batch_tokens), strict=True):
             out[row].append(some)
         yield put(batch, decoded=pa.array([b"".join(x) for x in out], pa.binary()))
 
@@ -255,23 +255,25 @@ def decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.mapInArrow(lambda batches: _decoded(batches, _codec(path, pattern)), with_fields(docs.schema, *_BYTES))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", batch_bytes: int = BATCH_BYTES,
+               batch_tokens: int = BATCH_TOKENS, known: int = KNOWN_PIECES) -> DataFrame:
     """Encode and decode in one worker: what ``decode(encode(...))`` gives, with one codec in memory for each task.
 
-    ``batch_bytes`` of text are encoded at a time: fewer take less memory and a little more time.
+    ``batch_bytes`` of text are encoded and ``batch_tokens`` decoded at a time, and a worker knows about ``known`` pieces:
+    fewer take less memory and more time.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path, pattern)
-        yield from _decoded(_encoded(batches, codec, text, batch_bytes), codec)
+        codec = _codec(path, pattern, known)
+        yield from _decoded(_encoded(batches, codec, text, batch_bytes), codec, batch_tokens)
 
     return docs.mapInArrow(run, with_fields(docs.schema, *_IDS, *_BYTES))
 
 
-def _in_turn(codec: _Codec, parts: list[np.ndarray]) -> Iterator[bytes]:
+def _in_turn(codec: _Codec, parts: list[np.ndarray], batch_tokens: int) -> Iterator[bytes]:
     """Decode so many parts at a time that their tokens fit one query."""
     held, size = [], 0
     for part in parts:
-        if held and size + len(part) > BATCH_TOKENS:
+        if held and size + len(part) > batch_tokens:
             yield from codec.decode(held)
             held, size = [], 0
         held.append(part)

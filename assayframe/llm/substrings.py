@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from .common import every_nth, let_go, put, shielded, slices, text_bytes, text_key, with_fields
 
 WINDOW, M, RUN = 35, 4, 256
-# Bytes of text whose strings are looked through for equal ones and compressed together, and that are packed at a time.
-HELD_BYTES, BATCH_BYTES = 4 << 20, 1 << 20
+# Bytes of text whose strings are looked through for equal ones and compressed together, and that are packed at a time:
+# hashing takes some 60 bytes for each of these.
+HELD_BYTES, BATCH_BYTES = 4 << 20, 256 << 10
 # Buckets for each shuffle partition at least, and bytes of text for one bucket at most.
 BUCKETS, BUCKET_BYTES = 16, 1 << 20
 # Of zstd.
@@ -226,10 +227,9 @@ class _Held:
 
 
 def _pack(frequent: np.ndarray, buckets: int, window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        let_go()
         shrink = zstandard.ZstdCompressor(level=LEVEL)
         held = _Held()
         for batch in slices(batches, "text", BATCH_BYTES):
@@ -243,8 +243,11 @@ def _pack(frequent: np.ndarray, buckets: int, window: int):
                     yield from held.rows(shrink, buckets)
                     held = _Held()
         yield from held.rows(shrink, buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        yield from rows(batches)  # what it held is gone when it ends
         _Powers.forget()
-        del held
         let_go()  # a worker that waits must not hold what the next stage needs
 
     return run
